@@ -117,7 +117,8 @@ def statistics(text: str) -> dict[str, float]:
         return dict.fromkeys(FIELDS, 0.0)
     lines = [x for x in text.replace("\r", "\n").split("\n") if x and not x.isspace()]
     tokens = text.split()
-    words = [w for w in (t.strip(_EDGE) for t in text.lower().split()) if w and not w.isdigit()]
+    marks = [t.strip(_EDGE) or t for t in text.lower().split()]
+    words = [w for w in marks if w and not w.isdigit() and w not in _EDGE]
     n = len(words)
     space, letter, stop = has("space"), has("letter"), has("stop")
     before, after = c[:-1], c[1:]
@@ -142,13 +143,14 @@ def statistics(text: str) -> dict[str, float]:
     odd = has("odd")
     broken = count("broken") + int(np.count_nonzero(odd[:-1] & odd[1:])) + 2 * int(np.count_nonzero(((before & _BITS["lead"]) != 0) & ((after & _BITS["high"]) != 0)))
     # distinct words in stretches of 60, so that long texts aren't taken for repetitive ones
-    shares = [len(set(words[i : i + 60])) / len(words[i : i + 60]) for i in range(0, max(1, n - 20), 60)] if n else [1.0]
+    shares = [len(set(marks[i : i + 60])) / len(marks[i : i + 60]) for i in range(0, max(1, len(marks) - 20), 60)]
     lengths = np.array([len(x.rstrip()) for x in lines], float)
     indents = [len(x) - len(x.lstrip()) for x in lines]
     share, cells, cell_length = _cells(lines) if len(lines) > 1 else (0.0, 0, 0.0)
     code, digits, letters = count("code") / visible, count("digit") / visible, int(np.count_nonzero(letter))
     return {
         "n_words": float(n),
+        "n_tokens": float(len(tokens)),
         "mean_word_length": sum(map(len, words)) / n if n else 0.0,
         "symbol_ratio": 1 - count("alnum") / visible,
         "lines_ending_in_punctuation": sum(x.rstrip()[-1] in _TERMINAL for x in lines) / max(1, len(lines)),
@@ -181,7 +183,7 @@ def statistics(text: str) -> dict[str, float]:
 
 
 FIELDS = (
-    "n_words mean_word_length symbol_ratio lines_ending_in_punctuation common_words n_lines sentence_ends marked_lines indent_changes length_autocorrelation median_line line_spread "
+    "n_words n_tokens mean_word_length symbol_ratio lines_ending_in_punctuation common_words n_lines sentence_ends marked_lines indent_changes length_autocorrelation median_line line_spread "
     "aligned_lines cells cell_length broken code tags odd_joins hex_tokens longest_token distinct_words vowels latin unspaced repeated commas dots lower_starts"
 ).split()
 
@@ -196,9 +198,9 @@ def _junk(s: dict[str, float]) -> bool:
         return True
     if s["latin"] > 0.6 and s["longest_token"] > 50 and s["n_words"] < 0.02 * s["longest_token"] * 10:
         return True
-    if n >= 8 and s["distinct_words"] < 0.42 and s["unspaced"] < 0.3:
+    if s["n_tokens"] >= 8 and s["distinct_words"] < 0.42 and s["unspaced"] < 0.3:
         return True
-    if s["latin"] > 0.6 and n >= 5 and (s["vowels"] < 0.2 or (s["odd_joins"] > 0.12 and s["odd_joins"] * n > 5)):
+    if s["latin"] > 0.45 and n >= 5 and (s["vowels"] < 0.2 or (s["odd_joins"] > 0.12 and s["odd_joins"] * n > 5)):
         return True
     return s["unspaced"] < 0.3 and n >= 25 and s["common_words"] < 0.02 and s["n_lines"] < 3 and s["odd_joins"] > 0.04
 
@@ -221,10 +223,11 @@ def kind(s: dict[str, float]) -> str:
         wrapped = s["lower_starts"] > 0.3 and s["line_spread"] < 0.25 and s["median_line"] > 35 and s["marked_lines"] < 0.3
         if not wrapped:
             return "list"
-    if s["sentence_ends"] <= 2 and n >= 8:
-        if s["dots"] >= 3 and s["dots"] / n > 0.08:
-            return "list"
-    if lines <= 3 and s["commas"] > 0.2 and s["commas"] * n >= 6 and n >= 15 and s["sentence_ends"] / n < 0.03 and s["longest_token"] < 30:
+    # entries one after the other in a line: many separators, few words between them, hardly an end
+    if n >= 8 and s["dots"] >= 3 and s["dots"] / n > 0.08 and s["sentence_ends"] <= 0.4 * s["dots"]:
+        return "list"
+    entries = s["commas"] * n
+    if lines <= 3 and entries >= 6 and s["commas"] > 0.14 and s["sentence_ends"] <= 0.2 * entries and s["sentence_ends"] < 0.03 * n and s["longest_token"] < 30:
         return "list"
     return "prose"
 
