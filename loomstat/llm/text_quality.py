@@ -200,7 +200,7 @@ def _junk(s: dict[str, float]) -> bool:
         return True
     if s["n_tokens"] >= 8 and s["distinct_words"] < 0.42 and s["unspaced"] < 0.3:
         return True
-    if s["latin"] > 0.45 and n >= 5 and (s["vowels"] < 0.2 or (s["odd_joins"] > 0.12 and s["odd_joins"] * n > 5)):
+    if s["latin"] > 0.45 and n >= 5 and (s["vowels"] < 0.2 or (s["odd_joins"] > 0.12 and s["odd_joins"] * s["n_tokens"] >= 4)):
         return True
     return s["unspaced"] < 0.3 and n >= 25 and s["common_words"] < 0.02 and s["n_lines"] < 3 and s["odd_joins"] > 0.04
 
@@ -227,7 +227,7 @@ def kind(s: dict[str, float]) -> str:
     if n >= 8 and s["dots"] >= 3 and s["dots"] / n > 0.08 and s["sentence_ends"] <= 0.4 * s["dots"]:
         return "list"
     entries = s["commas"] * n
-    if lines <= 3 and entries >= 6 and s["commas"] > 0.14 and s["sentence_ends"] <= 0.2 * entries and s["sentence_ends"] < 0.03 * n and s["longest_token"] < 30:
+    if lines <= 3 and entries >= 6 and s["commas"] > 0.14 and s["sentence_ends"] <= 0.2 * entries and s["sentence_ends"] <= max(2, 0.05 * n) and s["longest_token"] < 30:
         return "list"
     return "prose"
 
