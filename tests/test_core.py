@@ -87,10 +87,10 @@ def test_search_finds_the_planted_shift(spark):
     assert best["onsets"] == [15]
 
 
-def test_hamed_rao_of_independent_ranks_is_mann_kendall(spark):
+def test_trend_test_of_ranks_with_three_swaps(spark):
     y = np.array([1.0, 3, 2, 5, 4, 6, 8, 7, 9, 10])
     out = T.hamed_rao(y, 2)
-    assert out["S"] == 37 and math.isclose(out["variance"], 125.0)
+    assert out["S"] == 39 and math.isclose(out["variance"], 125.0)
 
 
 def test_autoregressive_regression_recovers_slopes():
