@@ -4,19 +4,19 @@ Similarity of two records is that of their sets of runs of 8 characters
 (Jaccard, 0.5 or more). Which pairs are worth the exact comparison is found
 over inverted lists:
 
-* Every text is read once. Runs whose hash falls under a rate are its anchors; a
-  *feature* is the hash of SPAN consecutive anchors, so it stands for a stretch
-  of text between edits. The rate depends on the text's length up to 1 / 16, two
-  texts within a factor of two of each other always share a rate, and texts of
-  up to 64 runs use all of them.
+* Every text is read once. Its runs are dealt to CLASSES by their hash; in each
+  class the least values of the runs under FUNCTIONS hash functions are taken,
+  and ROWS of these make a *feature*. Two texts of similarity J have a least
+  value in common with a chance of J, so each feature with J ** ROWS, wherever
+  the edits are and however common the runs.
 * A posting (feature, text) is shuffled by feature; the lists are merged in
-  order in one stream per partition (the sort does the heap's work).
-* As in DivideSkip, lists of up to SHORT texts are merged, which gives each pair
-  its number of shared short features; longer lists aren't merged. A pair is
-  retained if the number reaches T, which grows with the shorter text.
-* A text most of whose features lie in long lists could miss T by that. Such
-  texts are found by the same count, and their long lists are probed: each such
-  text is looked up in its long lists, in blocks of at most SHORT texts of the list.
+  order in one stream per partition (the sort does the heap's work), whatever
+  their length, which gives each pair its number of shared features.
+* A pair is retained from T = REQUIRED shared features on. At J = 0.5 it has
+  16 of 256 on average, and fewer than T with a chance of about 1 in 800,000.
+* A class of a short text has few runs. Texts of up to 2 * FEW runs have features
+  over all their runs too, and those of up to FEW only these; any two texts
+  within a factor of two of each other have one kind in common.
 * Retained pairs are compared exactly, over all runs of the whole texts.
 
 Texts equal in their letters and digits are one text from the start (the key is
@@ -42,21 +42,23 @@ from loomstat.session import cut, read_table
 
 #: Similarity from which on two records are near copies.
 SIMILARITY = 0.5
-#: Anchors of a feature.
-SPAN = 4
-#: Runs of a text at the first rate, and the number of halvings of the rate at most.
-BASE, LEVELS = 64, 4
-#: Texts of a list up to which it is merged.
-SHORT = 32
-#: Share of the features at the coarsest rate of the shorter text that a pair must have in common; similar pairs have
-#: several times that many.
-REQUIRED = 0.08
-#: Share of a text's expected features in long lists from which on these are probed for it.
-HOT_SHARE = 0.6
+#: Classes of the runs, hash functions of each class, and least values that make a feature (an even number).
+CLASSES, FUNCTIONS, ROWS = 16, 64, 4
+#: Runs up to which a text's features are over all its runs.
+FEW = 64
+#: Features that a pair must have in common.
+REQUIRED = 2
+#: Texts of a list, and pairs, that are paired at once.
+BLOCK, PAIRS = 64, 500_000
 #: Rows up to which a side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors of the hash functions, by class; the same in every task.
+_FACTORS = np.random.default_rng(3).integers(0, 2**31, (CLASSES, FUNCTIONS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: A number for each feature of a kind and class.
+_NAMES = np.arange(1, 2 * CLASSES * FUNCTIONS // ROWS + 1, dtype=np.uint64).reshape(2, CLASSES, -1)
+_EDGES = np.arange(1, CLASSES, dtype=np.uint64) << np.uint64(64 - int(np.log2(CLASSES)))
 
 
 def _lengths(texts_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,16 +72,27 @@ def _code(n: np.ndarray) -> np.ndarray:
     return np.clip(np.round(8 * np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 1, 255)
 
 
-def _level(code: np.ndarray) -> np.ndarray:
-    """Halvings of the rate; from the code, so that both sides of a pair and the SQL below agree."""
-    return np.clip((code - 1) // 8 - int(np.log2(BASE)), 0, LEVELS)
+def _features(runs: np.ndarray) -> np.ndarray:
+    """Features of a text, from its sorted distinct runs."""
+    x, kinds = runs.astype(np.uint32), []
+    if len(x) <= 2 * FEW:
+        kinds.append((0, [(c, x) for c in range(CLASSES)]))
+    if len(x) > FEW:
+        at = [0, *np.searchsorted(runs, _EDGES).tolist(), len(x)]
+        kinds.append((1, [(c, x[at[c] : at[c + 1]]) for c in range(CLASSES) if at[c] < at[c + 1]]))
+    least = np.concatenate([(part[:, None] * _FACTORS[c]).min(axis=0) for _, parts in kinds for c, part in parts])
+    names = np.concatenate([_NAMES[kind, c] for kind, parts in kinds for c, _ in parts])
+    least = least.reshape(-1, ROWS).astype(np.uint64)
+    for j in range(0, ROWS, 2):
+        names = shingles.mix(names * _STEP + (least[:, j] << np.uint64(32) | least[:, j + 1]))
+    return (names >> np.uint64(20)).astype(np.int64)
 
 
 def scan(texts_: list[str], with_features: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a few hundred texts at once: their keys (-1 without a run), and features with the text each belongs to.
 
     A key has 55 bits of a hash of the text's runs in order and 8 bits of the size
-    of its set of runs, on a scale of eighths of an octave; the size sets the rates.
+    of its set of runs, on a scale of eighths of an octave.
     """
     h, begin, end = _lengths(texts_)
     n = end - begin
@@ -87,51 +100,21 @@ def scan(texts_: list[str], with_features: bool = True) -> tuple[np.ndarray, np.
     some = np.flatnonzero(n > 0)
     if not len(some):
         return keys, np.empty(0, np.int64), np.empty(0, np.int64)
+    sets = [np.unique(h[begin[i] : end[i]]) for i in some]
     n, begin = n[some], begin[some]
     doc = np.repeat(np.arange(len(some)), n)
     first = np.cumsum(n) - n
     place = np.arange(len(doc)) - first[doc]
     x = h[begin[doc] + place]
-    anchored = [(x >> np.uint64(40)) & np.uint64((1 << k) - 1) == 0 for k in range(LEVELS + 1)]
-    own = np.flatnonzero(np.choose(_level(_code(n))[doc], anchored))
-    order = np.lexsort((x[own], doc[own]))
-    ox, od = x[own][order], doc[own][order]
-    fresh = np.ones(len(od), bool)
-    fresh[1:] = (ox[1:] != ox[:-1]) | (od[1:] != od[:-1])
-    every, different = np.bincount(od, minlength=len(n)), np.bincount(od[fresh], minlength=len(n))
-    # the size of the set, from the share of different anchors; counted where that share is small
-    distinct = n * different / np.maximum(every, 1)
-    for i in np.flatnonzero(different < 0.5 * np.maximum(every, 1)):
-        distinct[i] = len(np.unique(x[first[i] : first[i] + n[i]]))
-    code = _code(distinct)
-    level = _level(code)
     with np.errstate(over="ignore"):
         weighted = x * ((place.astype(np.uint64) + np.uint64(1)) * _STEP | np.uint64(1))
         sums = shingles.mix(np.add.reduceat(weighted, first) + n.astype(np.uint64))
-    keys[some] = ((sums >> np.uint64(9)) << np.uint64(8)).astype(np.int64) | code
+    keys[some] = ((sums >> np.uint64(9)) << np.uint64(8)).astype(np.int64) | _code(np.array([len(r) for r in sets]))
     if not with_features:
         return keys, np.empty(0, np.int64), np.empty(0, np.int64)
-    found, owner = [], []
-    for k in range(LEVELS + 1):
-        wants = (level == k) | (level == k - 1)
-        at = np.flatnonzero(anchored[k] & wants[doc]) if not wants.all() else np.flatnonzero(anchored[k])
-        if not len(at):
-            continue
-        ax, ad = x[at], doc[at]
-        count = np.bincount(ad, minlength=len(n))
-        with np.errstate(over="ignore"):
-            # a text of fewer anchors than a feature takes those it has
-            f = ax.copy()
-            for j in range(1, SPAN):
-                same = np.zeros(len(ad), bool)
-                same[:-j] = ad[j:] == ad[:-j]
-                f[same] = f[same] * _STEP + ax[np.flatnonzero(same) + j]
-            f = shingles.mix(f + np.uint64(k)) >> np.uint64(20)
-        start = np.cumsum(count) - count
-        whole = np.arange(len(ad)) - start[ad] <= np.maximum(0, count[ad] - SPAN)
-        found.append(f[whole].astype(np.int64))
-        owner.append(some[ad[whole]])
-    return keys, np.concatenate(found), np.concatenate(owner)
+    with np.errstate(over="ignore"):
+        found = [_features(r) for r in sets]
+    return keys, np.concatenate(found), np.repeat(some, [len(f) for f in found])
 
 
 def _pieces(texts_: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -185,84 +168,69 @@ def postings(joined: DataFrame) -> DataFrame:
 
 
 def _similar_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs((a & 255) - (b & 255)) <= 11
+    """Whether the sizes of the sets are within a factor of two, or a rounding of it."""
+    return np.abs((a & 255) - (b & 255)) <= 9
+
+
+def _pairs(f: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts of whole lists, in pieces; f is sorted, and k within a list."""
+    start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+    size = np.diff(np.append(start, len(f)))
+    for s in np.unique(size[size > 1]):
+        at = start[size == s]
+        if s > BLOCK:
+            for low in at:
+                own = k[low : low + s]
+                step = max(1, PAIRS // int(s))
+                for i in range(0, int(s), step):
+                    part = own[i : i + step]
+                    x, y = np.nonzero(np.arange(s) > (i + np.arange(len(part)))[:, None])
+                    yield part[x], own[y]
+            continue
+        i, j = np.triu_indices(s, 1)
+        step = max(1, PAIRS // len(i))
+        for low in range(0, len(at), step):
+            block = k[at[low : low + step, None] + np.arange(s)]
+            yield block[:, i].ravel(), block[:, j].ravel()
 
 
 def merged(lists: DataFrame) -> DataFrame:
-    """(k1, k2) for each short list that two texts share, and (key, -1 - feature) for each long list that a text is in."""
-
-    def pairs(f: np.ndarray, k: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        left, right = [], []
-        start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-        size = np.diff(np.append(start, len(f)))
-        for s in np.unique(size):
-            at = start[size == s]
-            if s == 1:
-                continue
-            block = k[at[:, None] + np.arange(s)]
-            if s > SHORT:
-                left.append(block.ravel())
-                right.append(np.repeat(-1 - f[at], s))
-                continue
-            i, j = np.triu_indices(s, 1)
-            a, b = block[:, i].ravel(), block[:, j].ravel()
-            ok = _similar_size(a, b)
-            left.append(a[ok])
-            right.append(b[ok])
-        return left, right
+    """(k1, k2) for each list that two texts of similar size share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = np.empty(0, np.int64)
-        f, k, long = empty, empty, None
+        def out(f: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in _pairs(f, k):
+                ok = _similar_size(a, b)
+                if ok.any():
+                    yield batches_of({"k1": a[ok], "k2": b[ok]}, schema)
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the list that the last batch ended in
         for batch in batches:
-            g, q = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            left, right = [], []
-            if long is not None:
-                same = int(np.searchsorted(g, long, "right"))
-                if same:  # the rest of a long list: it is streamed, not held
-                    own = q[:same][np.concatenate(([q[0] != last], q[1:same] != q[: same - 1]))]
-                    left.append(own)
-                    right.append(np.full(len(own), -1 - long, np.int64))
-                    last, g, q = q[same - 1], g[same:], q[same:]
-                if len(g):
-                    long = None
-            if len(g):
-                f, k = np.concatenate((f, g)), np.concatenate((k, q))
-                fresh = np.concatenate(([True], (f[1:] != f[:-1]) | (k[1:] != k[:-1])))
-                f, k = f[fresh], k[fresh]
-                tail = int(np.searchsorted(f, f[-1], "left"))
-                a, b = pairs(f[:tail], k[:tail]) if tail else ([], [])
-                left += a
-                right += b
-                f, k = f[tail:], k[tail:]
-                if len(f) > SHORT:
-                    left.append(k)
-                    right.append(-1 - f)
-                    long, last, f, k = f[0], k[-1], empty, empty
-            if left:
-                yield batches_of({"k1": np.concatenate(left), "k2": np.concatenate(right)}, schema)
-        if len(f):
-            left, right = pairs(f, k)
-            if left:
-                yield batches_of({"k1": np.concatenate(left), "k2": np.concatenate(right)}, schema)
+            f, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(f):
+                continue
+            tail = int(np.searchsorted(f, f[-1], "left"))
+            if held and (tail or held[0][0][0] != f[0]):
+                same = int(np.searchsorted(f, held[0][0][0], "right"))
+                yield from out(*_distinct([*held, (f[:same], k[:same])]))
+                f, k, held = f[same:], k[same:], []
+                tail = int(np.searchsorted(f, f[-1], "left")) if len(f) else 0
+            if tail:
+                yield from out(*_distinct([(f[:tail], k[:tail])]))
+            if len(f):
+                held.append((f[tail:], k[tail:]))
+        if held:
+            yield from out(*_distinct(held))
 
     schema = arrow_schema(lists, "k1 bigint, k2 bigint")
     return lists.repartition("f").sortWithinPartitions("f", "key").mapInArrow(run, "k1 bigint, k2 bigint")
 
 
-def expected(key: str = "k1") -> str:
-    """Features that a text of this size has, by its rates."""
-    code = f"(({key} & 255) - 1)"
-    level = f"least({LEVELS}, greatest(0, {code} div 8 - {int(np.log2(BASE))}))"
-    return f"(power(2, {code} / 8.0 - {level}) * (case when {level} = {LEVELS} then 1.0 else 1.5 end))"
-
-
-def required(k1: str = "k1", k2: str = "k2") -> str:
-    """T of a pair, from the features at the rate that it shares for certain; 1 for texts of which all runs are used."""
-    less = f"(case when {k1} & 255 < {k2} & 255 then {k1} else {k2} end)"
-    code = f"(({less} & 255) - 1)"
-    shared = f"power(2, {code} / 8.0 - least({LEVELS}, greatest(0, {code} div 8 - {int(np.log2(BASE)) - 1})))"
-    return f"(case when {code} <= {8 * int(np.log2(BASE))} then 1 else greatest(3, ceil({REQUIRED} * {shared})) end)"
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted postings, each once."""
+    f, k = (np.concatenate(x) for x in zip(*parts))
+    fresh = np.concatenate(([True], (f[1:] != f[:-1]) | (k[1:] != k[:-1])))
+    return f[fresh], k[fresh]
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -271,22 +239,9 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def candidates(joined: DataFrame) -> DataFrame:
-    """(k1, k2) of the pairs to compare. What is written to the shared folder: retained pairs and long lists."""
+    """(k1, k2) of the pairs to compare."""
     counts = merged(postings(joined)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    kept = cut(counts.where(f"k2 < 0 or n >= {required()}").select("k1", "k2"))
-    short, long = kept.where("k2 >= 0"), kept.where("k2 < 0").select(F.col("k1").alias("key"), (-1 - F.col("k2")).alias("f"))
-    hot = cut(long.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {HOT_SHARE} * {expected('key')}").select("key"))
-    if hot.isEmpty():
-        return short
-    # texts that lie in long lists for the most part: their long lists are probed for them, in blocks
-    own = long.join(hot, "key", "left_semi")
-    spread = F.ceil(F.col("size") / SHORT).cast("int")
-    sizes = long.groupBy("f").agg(F.count(F.lit(1)).alias("size"))
-    probe = own.join(sizes, "f").select("f", F.col("key").alias("a"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("block"))
-    block = long.join(own.select("f").distinct(), "f", "left_semi").join(sizes, "f").select("f", F.col("key").alias("b"), F.pmod(F.xxhash64("key"), spread).cast("int").alias("block"))
-    met = probe.join(block, ["f", "block"]).where("a <> b and abs((a & 255) - (b & 255)) <= 11")
-    probed = met.select(F.least("a", "b").alias("k1"), F.greatest("a", "b").alias("k2"), "f").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
-    return short.unionByName(probed.where(f"n >= {required()}").select("k1", "k2")).distinct()
+    return cut(counts.where(f"n >= {REQUIRED}").select("k1", "k2"))
 
 
 def compared(pairs: DataFrame, joined: DataFrame, who: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -103,6 +103,23 @@ def test_groups_of_many_copies_and_long_lists(spark):
     assert got == {(a, b) for a in ids for b in ids if a < b}
 
 
+def _near(spark, texts):
+    rows = [(i, None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "article_no long, title string, body string").repartition(3)
+    pairs, who = near_copies.near_copies(df, "article_no", "title", "body")
+    sets = [shingles.shingle_set(f" {t}") for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if shingles.jaccard(sets[a], sets[b]) >= 0.5}
+    return {tuple(r) for r in near_copies.record_pairs(pairs, who).collect()}, want
+
+
+def test_large_group_with_scattered_edits_each(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base = [word() for _ in range(520)]
+    got, want = _near(spark, [" ".join(word() if i % 13 == k % 13 else w for i, w in enumerate(base)) for k in range(130)])
+    assert len(want) > 500 and got == want
+
+
 # 4
 def test_summary_bound_holds():
     rng = np.random.default_rng(0)
