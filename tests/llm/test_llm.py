@@ -120,6 +120,18 @@ def test_large_group_with_scattered_edits_each(spark):
     assert len(want) > 500 and got == want
 
 
+def test_single_characters_changed_all_over_long_texts(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(150):
+        t = rng.choices(letters, k=9000)
+        texts.append("".join(t))
+        texts.append("".join(rng.choice(letters) if i % 26 == 0 else c for i, c in enumerate(t)))
+    got, want = _near(spark, texts)
+    assert len(want) > 100 and got == want
+
+
 # 4
 def test_summary_bound_holds():
     rng = np.random.default_rng(0)
