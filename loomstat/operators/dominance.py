@@ -63,10 +63,10 @@ _DRAW = "block_length int, layer string, replicate bigint, q2 double, q3 double,
 
 
 def stationary_bootstrap(spark: SparkSession, panels: np.ndarray, blocks: tuple[int, ...] = (3, 4, 5), replicates: int = 5000, seed: int = 42, chunk: int = 250) -> DataFrame:
-    """Draws of months, alone (temporal) and with a random measurement panel too; (panels, months, 4), panel 0 the observed.
+    """Draws of months, alone (temporal) and with a random measurement panel too; (panels, months, 4), panel 0 the observed, the rest replicates.
 
     Chunks of draws are the tasks' work; each has its own seed, so any partitioning gives the same draws.
-    The panels are months by dimensions of a bounded number of replicates and travel with the task.
+    Without a replicate there is only the temporal layer. The panels are months by dimensions of a bounded number of replicates and travel with the task.
     """
     chunks = [(b, i, min(chunk, replicates - i)) for b in blocks for i in range(0, replicates, chunk)]
     work = spark.createDataFrame(chunks, "block int, start int, size int").repartition(len(chunks))
@@ -78,8 +78,10 @@ def stationary_bootstrap(spark: SparkSession, panels: np.ndarray, blocks: tuple[
                 rows = []
                 for i in range(size):
                     at = stationary_indices(rng, panels.shape[1], int(block))
-                    pick = int(rng.integers(0, len(panels)))
-                    for layer, panel in (("temporal", panels[0]), ("temporal_and_measurement", panels[pick])):
+                    layers = [("temporal", panels[0])]
+                    if len(panels) > 1:
+                        layers.append(("temporal_and_measurement", panels[int(rng.integers(1, len(panels)))]))
+                    for layer, panel in layers:
                         g = general_dominance(panel[at])
                         rows.append((int(block), layer, int(start + i), *g, float(g.sum())))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DRAW.split(", ")])

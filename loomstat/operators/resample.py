@@ -36,15 +36,16 @@ def replicate_measures(long: DataFrame, replicates: int) -> DataFrame:
 _OUT = "replicate bigint, year_month string, party string, dimension string, mean double, raw_iqr double"
 
 
-def cluster_bootstrap(long: DataFrame, replicates: int, seed: int = 42, chunk: int = 250, namespace: str = "joint_article_cluster") -> DataFrame:
-    """Exact multinomial draws within each month. A group is one month and chunk of replicates."""
-    chunks = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(chunk))).alias("chunk")
-    rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight", chunks)
+def cluster_bootstrap(long: DataFrame, replicates: int, seed: int = 42, chunk: int = 250, namespace: str = "joint_article_cluster", iqr: bool = True) -> DataFrame:
+    """Exact multinomial draws within each month. A group is one month; its replicates are drawn in chunks. Without ``iqr`` only means."""
+    rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        month, start = pdf["year_month"].iloc[0], int(pdf["chunk"].iloc[0])
-        size = min(chunk, replicates - start)
         articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
+        return pd.concat([drawn(pdf, articles, at, start) for start in range(0, replicates, chunk)])
+
+    def drawn(pdf: pd.DataFrame, articles: np.ndarray, at: np.ndarray, start: int) -> pd.DataFrame:
+        month, size = pdf["year_month"].iloc[0], min(chunk, replicates - start)
         rng = np.random.default_rng(child_seed(seed, f"{namespace}_{month}_{start}"))
         counts = rng.multinomial(len(articles), np.full(len(articles), 1 / len(articles)), size=size)
         out = []
@@ -54,10 +55,10 @@ def cluster_bootstrap(long: DataFrame, replicates: int, seed: int = 42, chunk: i
             s, w, c = s[ok], w[ok], counts[:, a[ok]]
             total = c @ w if len(s) else np.zeros(size)
             mean = np.divide(c @ (s * w), total, out=np.full(size, np.nan), where=total > 0) if len(s) else np.full(size, np.nan)
-            out.append(pd.DataFrame({"replicate": np.arange(start, start + size), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": _weighted_iqr(s, c)}))
+            out.append(pd.DataFrame({"replicate": np.arange(start, start + size), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": _weighted_iqr(s, c) if iqr else np.nan}))
         return pd.concat(out)
 
-    made = rows.groupBy("year_month", "chunk").applyInPandas(one, _OUT)
+    made = rows.groupBy("year_month").applyInPandas(one, _OUT)
     return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("mean", "raw_iqr")})
 
 

@@ -124,9 +124,20 @@ def replicate_regressions(spark: SparkSession, root: str) -> DataFrame:
     return G.replicate_regressions(_replicate_panels(spark, root))
 
 
+def _measurement_panels(spark: SparkSession, root: str, replicates: int) -> np.ndarray:
+    """(panels, months, dimensions): the gaps of every replicate of the cluster bootstrap that has all of them."""
+    mean = lambda party: F.max(F.when(F.col("party") == party, F.col("mean")))
+    gaps = B.cluster_bootstrap(I.long(spark, root), replicates, iqr=False).groupBy("replicate", "year_month", "dimension").agg((mean("republican") - mean("democrat")).alias("gap"))
+    wide = gaps.groupBy("replicate", "year_month").pivot("dimension", list(M.DIMENSIONS)).agg(F.first("gap")).toPandas()  # a row a month and replicate
+    wide = wide.sort_values(["replicate", "year_month"])
+    values = wide[list(M.DIMENSIONS)].to_numpy(float).reshape(-1, wide["year_month"].nunique(), len(M.DIMENSIONS))
+    return values[np.isfinite(values).all(axis=(1, 2))]
+
+
 def stationary_bootstrap(spark: SparkSession, root: str) -> DataFrame:
     rows = _dominance_panel(spark, root).orderBy("year_month").toPandas()  # one row a month
-    return D.dominance_summary(D.stationary_bootstrap(spark, np.array([rows[list(M.DIMENSIONS)].to_numpy(float)]), replicates=300, chunk=50))
+    observed = rows[list(M.DIMENSIONS)].to_numpy(float)[None]
+    return D.dominance_summary(D.stationary_bootstrap(spark, np.concatenate([observed, _measurement_panels(spark, root, 5000)])))
 
 
 _W = "WITH" + I.SQL

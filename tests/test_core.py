@@ -66,6 +66,12 @@ def test_stationary_draws_run_on():
     assert ((np.diff(at) % 30) == 1).mean() > 0.5 and at.min() >= 0 and at.max() < 30
 
 
+def test_measurement_layer_adds_to_the_temporal(spark):
+    rows = catalogue.queries()["stationary_bootstrap"](spark, DATA.replace("0.001", "0.01")).collect()  # has complete panels
+    by = {(r["block_length"], r["layer"], r["statistic"]): r["mean"] for r in rows}
+    assert len(by) == 42 and all(by[b, "temporal", x] != by[b, "temporal_and_measurement", x] for b in (3, 4, 5) for x in ("q2", "q3", "q4", "full_r2"))
+
+
 def test_ar_likelihood_equals_covariance_form():
     rng = np.random.default_rng(3)
     y = rng.normal(size=25)
