@@ -121,28 +121,41 @@ def search(spark: SparkSession, y: list[float], name: str, least: int = 3, most:
                 by_size: dict[int, list[tuple[int, ...]]] = {}
                 for s in sets:
                     by_size.setdefault(len(s), []).append(s)
-                best = {s: -np.inf for s in sets}
+                extra = (steps.shape[1] - 1,) if trend else ()
+                at = {m: np.array([(0, *(t - 1 for t in s), *extra) for s in group]) for m, group in by_size.items()}
+                best = {m: np.full(len(group), -np.inf) for m, group in by_size.items()}
                 for phi in grid(int(p)):
                     uy, log_det = whiten(v, phi)
                     ux, _ = whiten(steps, phi)
                     gram, cross, yy = ux.T @ ux, ux.T @ uy, float(uy @ uy)
-                    extra = (steps.shape[1] - 1,) if trend else ()
-                    for m, group in by_size.items():
-                        at = np.array([(0, *(t - 1 for t in s), *extra) for s in group])
-                        g, c = gram[at[:, :, None], at[:, None, :]], cross[at]
-                        rss = yy - np.einsum("ij,ij->i", c, np.linalg.solve(g + 1e-12 * np.eye(at.shape[1]), c[..., None])[..., 0])
-                        ll = -n / 2 * (np.log(2 * np.pi * np.maximum(rss, 1e-300) / n) + 1) - log_det / 2
-                        for s, value in zip(group, ll):
-                            if value > best[s]:
-                                best[s] = value
-                rows = sorted(((-2 * ll + (2 * len(s) + 2 + int(trend) + p) * math.log(n), s) for s, ll in best.items()))[:keep]
-                fits = [(s, fit(v, s, int(p), trend)) for _, s in rows]
+                    for m in by_size:
+                        rss = _rss(gram, cross, yy, at[m])
+                        np.maximum(best[m], -n / 2 * (np.log(2 * np.pi * np.maximum(rss, 1e-300) / n) + 1) - log_det / 2, out=best[m])
+                rows = []
+                for m, ll in best.items():
+                    value = -2 * ll + (2 * m + 2 + int(trend) + p) * math.log(n)
+                    rows += [(value[i], by_size[m][i]) for i in np.argsort(value, kind="stable")[:keep]]
+                fits = [(s, fit(v, s, int(p), trend)) for _, s in sorted(rows)[:keep]]
                 yield pd.DataFrame({"series": name, "n_breakpoints": [len(s) for s, _ in fits], "ar_order": int(p), "onsets": [list(s) for s, _ in fits], "loglik": [f["loglik"] for _, f in fits], "raw_bic": [f["bic"] for _, f in fits], "objective": [f["objective"] for _, f in fits]})
 
     schema = "series string, n_breakpoints int, ar_order int, onsets array<int>, loglik double, raw_bic double, objective double"
     return seeds.mapInPandas(run, schema).orderBy("objective", "ar_order", "n_breakpoints").limit(keep)
 
 
+def _rss(gram: np.ndarray, cross: np.ndarray, yy: float, at: np.ndarray) -> np.ndarray:
+    """Residual sums of squares on each row's columns: a Cholesky decomposition of all rows at once."""
+    k, rss = at.shape[1], np.full(len(at), yy)
+    low: dict[tuple[int, int], np.ndarray] = {}
+    z: list[np.ndarray] = []
+    for j in range(k):
+        for q in range(j):
+            low[j, q] = (gram[at[:, j], at[:, q]] - sum(low[j, r] * low[q, r] for r in range(q))) / low[q, q]
+        low[j, j] = np.sqrt(np.maximum(gram[at[:, j], at[:, j]] + 1e-12 - sum(low[j, q] ** 2 for q in range(j)), 1e-12))
+        z.append((cross[at[:, j]] - sum(low[j, q] * z[q] for q in range(j))) / low[j, j])
+        rss = rss - z[j] ** 2
+    return rss
+
+
 def _tails(n: int, first: int, least: int, more: int) -> list[tuple[int, ...]]:
     out: list[tuple[int, ...]] = [()]
     if more > 0:

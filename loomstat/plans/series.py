@@ -94,11 +94,11 @@ def _values(spark: SparkSession, root: str) -> list[float]:
 
 
 def changepoint_search(spark: SparkSession, root: str) -> DataFrame:
-    return P.search(spark, _values(spark, root), "gap", least=6, most=2)
+    return P.search(spark, _values(spark, root), "gap", least=3, most=4)
 
 
 def trend_break_comparison(spark: SparkSession, root: str) -> DataFrame:
-    return P.compare_classes(spark, _values(spark, root), "gap", least=8, most=1)
+    return P.compare_classes(spark, _values(spark, root), "gap", least=3, most=4)
 
 
 def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:

@@ -93,6 +93,19 @@ def test_search_finds_the_planted_shift(spark):
     assert best["onsets"] == [15]
 
 
+def test_queries_find_four_breaks_with_short_regimes(spark, monkeypatch):
+    from loomstat.plans import series
+
+    rng = np.random.default_rng(6)
+    level = np.repeat([0.0, 8, 1, 9, 2], [8, 3, 9, 4, 12])
+    y = level + rng.normal(size=36) * 0.3
+    monkeypatch.setattr(series, "_values", lambda *_: y.tolist())
+    assert series.changepoint_search(spark, DATA).first()["onsets"] == [9, 12, 21, 25]
+    monkeypatch.setattr(series, "_values", lambda *_: (y + 0.5 * np.arange(36)).tolist())
+    best = {r["model_class"]: r for r in series.trend_break_comparison(spark, DATA).collect()}
+    assert best["break_plus_trend"]["onsets"] == [9, 12, 21, 25] and best["break_plus_trend"]["delta"] == 0
+
+
 def test_trend_test_of_ranks_with_three_swaps(spark):
     y = np.array([1.0, 3, 2, 5, 4, 6, 8, 7, 9, 10])
     out = T.hamed_rao(y, 2)
