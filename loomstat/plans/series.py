@@ -85,7 +85,7 @@ def partial_autocorrelation(spark: SparkSession, root: str) -> DataFrame:
 
 
 def cluster_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    return B.cluster_bootstrap(I.long(spark, root), 200)
+    return B.cluster_bootstrap(I.long(spark, root), 500)
 
 
 def _values(spark: SparkSession, root: str) -> list[float]:
@@ -109,13 +109,15 @@ def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:
 
 
 def influence(spark: SparkSession, root: str) -> DataFrame:
-    return G.leave_one_out(I.panel(spark, root), 0)
+    panel = I.panel(spark, root)
+    y, x = G.panel_arrays(panel.toPandas())  # one row a month
+    return G.leave_one_out(panel, min((0, 1), key=lambda k: G.bivariate(y, x, k)["bic"]))
 
 
-def _replicate_panels(spark: SparkSession, root: str, replicates: int = 20) -> DataFrame:
+def _replicate_panels(spark: SparkSession, root: str, replicates: int = 500) -> DataFrame:
     from pyspark.sql import Window
 
-    wide = M.composite_index(B.replicate_measures(I.long(spark, root), replicates).withColumnRenamed("n_drawn", "n_articles"), by=("replicate",))
+    wide = M.composite_index(B.cluster_bootstrap(I.long(spark, root).where("dimension = 'q1'"), replicates).withColumn("n_articles", F.lit(None).cast("bigint")), by=("replicate",))
     t = (F.row_number().over(Window.partitionBy("replicate").orderBy("year_month")) - 1).alias("t")
     return wide.select(F.col("replicate").cast("bigint").alias("replicate"), t, F.col("rep_raw_iqr").alias("rep"), F.col("dem_raw_iqr").alias("dem"), "polarization")
 

@@ -106,6 +106,26 @@ def test_queries_find_four_breaks_with_short_regimes(spark, monkeypatch):
     assert best["break_plus_trend"]["onsets"] == [9, 12, 21, 25] and best["break_plus_trend"]["delta"] == 0
 
 
+def test_bootstrap_queries_have_500_replicates(spark):
+    from loomstat.plans import series
+
+    assert series._replicate_panels(spark, DATA).select("replicate").distinct().count() == 500
+    assert series.cluster_bootstrap(spark, DATA).select("replicate").distinct().count() == 500
+
+
+def test_influence_uses_the_selected_order(spark, monkeypatch):
+    from loomstat.plans import series
+
+    rng = np.random.default_rng(7)
+    e = np.zeros((60, 2))
+    for t in range(1, 60):
+        e[t] = 0.8 * e[t - 1] + rng.normal(size=2)
+    rows = [(t, str(t), float(rng.normal()), float(a), float(b)) for t, (a, b) in enumerate(e)]
+    panel = spark.createDataFrame(rows, "t int, year_month string, polarization double, rep double, dem double")
+    monkeypatch.setattr(series.I, "panel", lambda *_: panel)
+    assert all(r["phi"] > 0.5 for r in series.influence(spark, DATA).collect())
+
+
 def test_trend_test_of_ranks_with_three_swaps(spark):
     y = np.array([1.0, 3, 2, 5, 4, 6, 8, 7, 9, 10])
     out = T.hamed_rao(y, 2)
