@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.binding import let
+from loomstat.llm.binding import let
 from loomstat.session import cut, read_table
 
 #: Steps of the power iteration.

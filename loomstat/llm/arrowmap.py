@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomstat.session import ship
+
 Columns = dict[str, "pa.Array | np.ndarray"]
 
 
@@ -27,6 +29,12 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Columns | None],
             if batch.num_rows and (columns := work(batch)) is not None:
                 yield batches_of(columns, arrow)
 
+    return map_tasks(df, run, schema)
+
+
+def map_tasks(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors first."""
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

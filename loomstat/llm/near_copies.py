@@ -1,23 +1,30 @@
 """Problem 3: records that tell the same text with small edits, by T-occurrence search.
 
-Similarity of two records is that of their sets of runs of 8 characters
-(Jaccard, 0.5 or more). Which pairs are worth the exact comparison is found
-over inverted lists:
-
-* Every text is read once. Its runs are dealt to CLASSES by their hash; in each
-  class the least values of the runs under FUNCTIONS hash functions are taken,
-  and ROWS of these make a *feature*. Two texts of similarity J have a least
-  value in common with a chance of J, so each feature with J ** ROWS, wherever
-  the edits are and however common the runs.
-* A posting (feature, text) is shuffled by feature; the lists are merged in
-  order in one stream per partition (the sort does the heap's work), whatever
-  their length, which gives each pair its number of shared features.
-* A pair is retained from T = REQUIRED shared features on. At J = 0.5 it has
-  16 of 256 on average, and fewer than T with a chance of about 1 in 800,000.
-* A class of a short text has few runs. Texts of up to 2 * FEW runs have features
-  over all their runs too, and those of up to FEW only these; any two texts
-  within a factor of two of each other have one kind in common.
-* Retained pairs are compared exactly, over all runs of the whole texts.
+Similarity of two records is that of their sets of runs of 8 characters (Jaccard,
+0.5 or more). Every list of a single run is long in a corpus made of recurring
+phrases, so lists are divided as in DivideSkip:
+
+* *Short lists.* A text's runs are dealt to CLASSES by their hash; in each class
+  the least values of the runs under FUNCTIONS hash functions are taken, and ROWS
+  of these make a *feature*. Two texts of similarity J have a least value in
+  common with a chance of J, so each feature with J ** ROWS, wherever the edits
+  are and however common the runs. Lists of features are merged in order (the
+  sort does the heap's work) and give each pair its number of shared features.
+  A pair goes on from T = REQUIRED shared features: at J = 0.5 it has 10 of 320
+  on average and fewer than 2 with a chance of about 1 in 2,000, at J = 0.55 of
+  1 in 100,000.
+* *Long lists* are those of the single runs. They are never merged: for a pair
+  from the short lists each run of the smaller text is looked up by binary search
+  in the sorted runs of the larger, and the pair is retained if the overlap
+  reaches what J requires of the two sizes. This is exact.
+
+Lists of any length are merged. One of more than LONG texts is cut into blocks,
+whose pairs are dealt over all tasks, so that no task has a hot list's work. The
+lists are dealt to parts whose number grows with the number of texts.
+
+A class of a short text has few runs. Texts of up to 2 * FEW runs have features
+over all their runs too, and those of up to FEW only these; any two texts within
+a factor of two of each other have one kind in common.
 
 Texts equal in their letters and digits are one text from the start (the key is
 their hash); copies join the result at the end and have no postings of their own.
@@ -33,97 +40,77 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm import shingles
-from loomstat.llm.arrowmap import arrow_schema, batches_of, map_batches, texts
+from loomstat.llm.arrowmap import arrow_schema, batches_of, map_batches, map_tasks, texts
 from loomstat.session import cut, read_table
 
 #: Similarity from which on two records are near copies.
 SIMILARITY = 0.5
-#: Classes of the runs, hash functions of each class, and least values that make a feature (an even number).
-CLASSES, FUNCTIONS, ROWS = 16, 64, 4
+#: Classes of the runs, hash functions of each class, and least values that make a feature.
+CLASSES, FUNCTIONS, ROWS = 16, 100, 5
 #: Runs up to which a text's features are over all its runs.
 FEW = 64
 #: Features that a pair must have in common.
 REQUIRED = 2
-#: Texts of a list, and pairs, that are paired at once.
-BLOCK, PAIRS = 64, 500_000
-#: Rows up to which a side is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Postings of a part; there are as many parts as that takes.
+PART_POSTINGS = 3_000_000
+#: Texts from which on a list is paired by blocks of so many, and pairs that are made at once.
+LONG, PAIRS = 1024, 500_000
+#: Bytes up to which a side is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 32 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Odd factors of the hash functions, by class; the same in every task.
+#: Odd factors of the hash functions; the same in every task.
 _FACTORS = np.random.default_rng(3).integers(0, 2**31, (CLASSES, FUNCTIONS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Features of a class and of a text.
+_EACH = FUNCTIONS // ROWS
+FEATURES = CLASSES * _EACH
 #: A number for each feature of a kind and class.
-_NAMES = np.arange(1, 2 * CLASSES * FUNCTIONS // ROWS + 1, dtype=np.uint64).reshape(2, CLASSES, -1)
+_NAMES = np.arange(1, 2 * FEATURES + 1, dtype=np.uint64).reshape(2, CLASSES, _EACH)
 _EDGES = np.arange(1, CLASSES, dtype=np.uint64) << np.uint64(64 - int(np.log2(CLASSES)))
 
 
-def _lengths(texts_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    a, at = shingles.code_points(texts_)
-    h = shingles.run_hashes(a)
-    begin = at[:-1]
-    return h, begin, np.maximum(begin, at[1:] - shingles.RUN + 1)
+def _keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of each text's letters and digits, and 0 for a text without a run."""
+    return np.array([xxhash.xxh3_64_intdigest(a[x:y]) if y - x >= shingles.RUN else 0 for x, y in zip(at, at[1:])], np.uint64).view(np.int64)
 
 
-def _code(n: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(8 * np.log2(np.maximum(n, 1))).astype(np.int64) + 1, 1, 255)
+def _sets(a: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct runs of each text."""
+    h = shingles.run_hashes(a)
+    return [np.unique(h[x : max(x, y - shingles.RUN + 1)]) for x, y in zip(at, at[1:])]
 
 
-def _features(runs: np.ndarray) -> np.ndarray:
-    """Features of a text, from its sorted distinct runs."""
-    x, kinds = runs.astype(np.uint32), []
+def features(runs: np.ndarray) -> np.ndarray:
+    """Features of a text, as 64-bit hashes, from its sorted distinct runs."""
+    x, found, names = runs.astype(np.uint32), [], []
     if len(x) <= 2 * FEW:
-        kinds.append((0, [(c, x) for c in range(CLASSES)]))
+        found.append((x[:, None] * _FACTORS.reshape(1, -1)).min(axis=0).reshape(CLASSES, FUNCTIONS))
+        names.append(_NAMES[0])
     if len(x) > FEW:
-        at = [0, *np.searchsorted(runs, _EDGES).tolist(), len(x)]
-        kinds.append((1, [(c, x[at[c] : at[c + 1]]) for c in range(CLASSES) if at[c] < at[c + 1]]))
-    least = np.concatenate([(part[:, None] * _FACTORS[c]).min(axis=0) for _, parts in kinds for c, part in parts])
-    names = np.concatenate([_NAMES[kind, c] for kind, parts in kinds for c, _ in parts])
-    least = least.reshape(-1, ROWS).astype(np.uint64)
-    for j in range(0, ROWS, 2):
-        names = shingles.mix(names * _STEP + (least[:, j] << np.uint64(32) | least[:, j + 1]))
-    return (names >> np.uint64(20)).astype(np.int64)
-
-
-def scan(texts_: list[str], with_features: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a few hundred texts at once: their keys (-1 without a run), and features with the text each belongs to.
-
-    A key has 55 bits of a hash of the text's runs in order and 8 bits of the size
-    of its set of runs, on a scale of eighths of an octave.
-    """
-    h, begin, end = _lengths(texts_)
-    n = end - begin
-    keys = np.full(len(n), -1, np.int64)
-    some = np.flatnonzero(n > 0)
-    if not len(some):
-        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
-    sets = [np.unique(h[begin[i] : end[i]]) for i in some]
-    n, begin = n[some], begin[some]
-    doc = np.repeat(np.arange(len(some)), n)
-    first = np.cumsum(n) - n
-    place = np.arange(len(doc)) - first[doc]
-    x = h[begin[doc] + place]
-    with np.errstate(over="ignore"):
-        weighted = x * ((place.astype(np.uint64) + np.uint64(1)) * _STEP | np.uint64(1))
-        sums = shingles.mix(np.add.reduceat(weighted, first) + n.astype(np.uint64))
-    keys[some] = ((sums >> np.uint64(9)) << np.uint64(8)).astype(np.int64) | _code(np.array([len(r) for r in sets]))
-    if not with_features:
-        return keys, np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.concatenate(([0], np.searchsorted(runs, _EDGES)))
+        some = np.diff(np.append(at, len(x))) > 0  # a class without a run has no feature
+        found.append(np.minimum.reduceat(x[:, None] * _FACTORS[0], at[some], axis=0))
+        names.append(_NAMES[1][some])
+    least = np.concatenate(found).reshape(-1, ROWS).astype(np.uint64)
+    h = np.concatenate(names).ravel()
     with np.errstate(over="ignore"):
-        found = [_features(r) for r in sets]
-    return keys, np.concatenate(found), np.repeat(some, [len(f) for f in found])
+        for j in range(ROWS):
+            h = shingles.mix(h * _STEP + least[:, j])
+    return h
 
 
-def _pieces(texts_: list[str]) -> Iterator[tuple[int, list[str]]]:
+def _pieces(texts_: list[str]) -> Iterator[list[str]]:
     """A batch in pieces that stay in a CPU's cache."""
     low, size = 0, 0
     for i, t in enumerate(texts_):
         size += len(t)
         if size > 300_000 or i + 1 == len(texts_):
-            yield low, texts_[low : i + 1]
+            yield texts_[low : i + 1]
             low, size = i + 1, 0
 
 
@@ -136,114 +123,160 @@ def members(joined: DataFrame) -> DataFrame:
     """(id, key): each record with the key of its text; texts without a run have none."""
 
     def work(batch: pa.RecordBatch) -> dict | None:
-        keys = np.concatenate([scan(piece, False)[0] for _, piece in _pieces(texts(batch.column(1)))])
-        return {"id": batch.column(0).filter(pa.array(keys >= 0)), "key": keys[keys >= 0]}
+        keys = np.concatenate([_keys(*shingles.code_points(piece)) for piece in _pieces(texts(batch.column(1)))])
+        return {"id": batch.column(0).filter(pa.array(keys != 0)), "key": keys[keys != 0]}
 
     return map_batches(joined, work, "id bigint, key bigint").distinct()
 
 
-def postings(joined: DataFrame) -> DataFrame:
-    """(feature, key); a task gives a text's postings once, however many copies it reads."""
+_POSTINGS = "part int, key bigint, size int, found array<int>"
+
+
+def postings(joined: DataFrame, parts: int) -> DataFrame:
+    """(part, key, size, found): a text's features that lie in a part, in 32 bits beside the part's own.
+
+    A task gives a text's postings once, however many copies it reads.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found, owners = [], []
-            for _, piece in _pieces(texts(batch.column(1))):
-                keys, f, owner = scan(piece)
-                new = np.zeros(len(keys), bool)
-                for i, key in enumerate(keys.tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        new[i] = True
-                fresh = new[owner]
-                found.append(f[fresh])
-                owners.append(keys[owner[fresh]])
-            if len(seen) > 2_000_000:  # only saves repetition, so it may be forgotten
-                seen.clear()
-            yield batches_of({"f": np.concatenate(found), "key": np.concatenate(owners)}, schema)
-
-    schema = arrow_schema(joined, "f bigint, key bigint")
-    return joined.mapInArrow(run, "f bigint, key bigint")
-
-
-def _similar_size(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sizes of the sets are within a factor of two, or a rounding of it."""
-    return np.abs((a & 255) - (b & 255)) <= 9
-
-
-def _pairs(f: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of texts of whole lists, in pieces; f is sorted, and k within a list."""
-    start = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
-    size = np.diff(np.append(start, len(f)))
-    for s in np.unique(size[size > 1]):
-        at = start[size == s]
-        if s > BLOCK:
-            for low in at:
-                own = k[low : low + s]
-                step = max(1, PAIRS // int(s))
-                for i in range(0, int(s), step):
-                    part = own[i : i + step]
-                    x, y = np.nonzero(np.arange(s) > (i + np.arange(len(part)))[:, None])
-                    yield part[x], own[y]
-            continue
-        i, j = np.triu_indices(s, 1)
-        step = max(1, PAIRS // len(i))
-        for low in range(0, len(at), step):
-            block = k[at[low : low + step, None] + np.arange(s)]
-            yield block[:, i].ravel(), block[:, j].ravel()
-
-
-def merged(lists: DataFrame) -> DataFrame:
-    """(k1, k2) for each list that two texts of similar size share."""
+            for piece in _pieces(texts(batch.column(1))):
+                part, key, size, flat, counts = [], [], [], [], []
+                a, at = shingles.code_points(piece)
+                keys = _keys(a, at)
+                for k, runs in zip(keys.tolist(), _sets(a, at)):
+                    if k == 0 or k in seen:
+                        continue
+                    seen.add(k)
+                    h = features(runs)
+                    own = (h % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(own, kind="stable")
+                    own = own[order]
+                    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                    part.append(own[start])
+                    counts.append(np.diff(np.append(start, len(own))))
+                    flat.append((h[order] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    key.append(np.full(len(start), k, np.int64))
+                    size.append(np.full(len(start), len(runs), np.int32))
+                if len(seen) > 2_000_000:  # only saves repetition, so it may be forgotten
+                    seen.clear()
+                if part:
+                    offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
+                    yield batches_of({"part": np.concatenate(part), "key": np.concatenate(key), "size": np.concatenate(size), "found": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))}, schema)
+
+    schema = arrow_schema(joined, _POSTINGS)
+    return map_tasks(joined, run, _POSTINGS)
+
+
+def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each part its texts' keys and sizes, and its postings merged: features in order, with the text of each."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        own = batch.column("part").to_numpy()
+        for p in np.unique(own).tolist():
+            held.setdefault(p, []).append(batch.filter(pa.array(own == p)))
+    for p in list(held):
+        t = pa.Table.from_batches(held.pop(p)).combine_chunks()
+        key, size, found = t["key"].to_numpy(), t["size"].to_numpy(), t["found"].combine_chunks()
+        keys, first, at = np.unique(key, return_index=True, return_inverse=True)
+        per = np.diff(found.offsets.to_numpy())
+        code = found.values.to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(at, per).astype(np.uint64)
+        code = np.unique(code)  # copies of a text that several tasks read
+        yield keys, size[first], (code >> np.uint64(32)), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar."""
+    return np.minimum(x, y) >= SIMILARITY * np.maximum(x, y)
+
+
+_COUNTED = "k1 bigint, k2 bigint, n bigint"
+
+
+def _counted(keys: np.ndarray, sizes: np.ndarray, pairs: list[np.ndarray]) -> dict | None:
+    """Pairs of texts (numbers i * n + j with i < j) with how often each occurs."""
+    if not pairs:
+        return None
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return {"k1": keys[pair // len(keys)], "k2": keys[pair % len(keys)], "n": n.astype(np.int64)}
+
+
+def merged(lists: DataFrame, parts: int, most: int = LONG) -> DataFrame:
+    """(k1, k2, n): in how many lists of a part two texts of similar size meet."""
+    dealt = lists.repartition(parts, "part")
+
+    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sizes, f, doc in _lists(batches):
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(f)), bool), f[1:] != f[:-1])))
+            length = np.diff(np.append(start, len(f)))
+            pairs, made = [], 0
+            for s in np.unique(length[(length > 1) & (length <= most)]).tolist():
+                at = start[length == s]
+                i, j = np.triu_indices(s, 1)
+                step = max(1, PAIRS // len(i))
+                for low in range(0, len(at), step):
+                    block = doc[at[low : low + step, None] + np.arange(s)]  # in order of key
+                    x, y = block[:, i].ravel(), block[:, j].ravel()
+                    ok = _alike(sizes[x], sizes[y])
+                    pairs.append(x[ok] * len(keys) + y[ok])
+                    made += len(pairs[-1])
+                    if made > 20 * PAIRS:
+                        yield batches_of(_counted(keys, sizes, pairs), counted)
+                        pairs, made = [], 0
+            if pairs:
+                yield batches_of(_counted(keys, sizes, pairs), counted)
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sizes, f, doc in _lists(batches):
+            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(f)), bool), f[1:] != f[:-1])))
+            length = np.diff(np.append(start, len(f)))
+            for at, s in zip(start[length > most].tolist(), length[length > most].tolist()):
+                own = [doc[at + i : at + min(i + most, s)] for i in range(0, s, most)]
+                for i, x in enumerate(own):
+                    for j, y in enumerate(own[i:], i):
+                        both = [pa.array([z], pa.list_(t)) for z, t in ((keys[x], pa.int64()), (sizes[x], pa.int32()), (keys[y], pa.int64()), (sizes[y], pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([pa.array([i == j]), *both], schema=blocked)
+
+    def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                k1, s1, k2, s2 = (batch.column(c)[r].values.to_numpy() for c in range(1, 5))
+                ok = _alike(s1[:, None], s2[None, :])
+                if batch.column(0)[r].as_py():
+                    ok = np.triu(ok, 1)
+                x, y = np.nonzero(ok)
+                if len(x):
+                    a, b = k1[x], k2[y]
+                    yield batches_of({"k1": np.minimum(a, b), "k2": np.maximum(a, b), "n": np.ones(len(x), np.int64)}, counted)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(f: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _pairs(f, k):
-                ok = _similar_size(a, b)
-                if ok.any():
-                    yield batches_of({"k1": a[ok], "k2": b[ok]}, schema)
+    block_schema = "same boolean, k1 array<bigint>, s1 array<int>, k2 array<bigint>, s2 array<int>"
+    counted, blocked = arrow_schema(lists, _COUNTED), arrow_schema(lists, block_schema)
+    long = map_tasks(map_tasks(dealt, blocks, block_schema).repartition(parts), paired, _COUNTED)
+    return map_tasks(dealt, short, _COUNTED).unionByName(long)
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the list that the last batch ended in
-        for batch in batches:
-            f, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(f):
-                continue
-            tail = int(np.searchsorted(f, f[-1], "left"))
-            if held and (tail or held[0][0][0] != f[0]):
-                same = int(np.searchsorted(f, held[0][0][0], "right"))
-                yield from out(*_distinct([*held, (f[:same], k[:same])]))
-                f, k, held = f[same:], k[same:], []
-                tail = int(np.searchsorted(f, f[-1], "left")) if len(f) else 0
-            if tail:
-                yield from out(*_distinct([(f[:tail], k[:tail])]))
-            if len(f):
-                held.append((f[tail:], k[tail:]))
-        if held:
-            yield from out(*_distinct(held))
-
-    schema = arrow_schema(lists, "k1 bigint, k2 bigint")
-    return lists.repartition("f").sortWithinPartitions("f", "key").mapInArrow(run, "k1 bigint, k2 bigint")
-
-
-def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted postings, each once."""
-    f, k = (np.concatenate(x) for x in zip(*parts))
-    fresh = np.concatenate(([True], (f[1:] != f[:-1]) | (k[1:] != k[:-1])))
-    return f[fresh], k[fresh]
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose rows were counted; beyond the bound it is left to a shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def candidates(joined: DataFrame) -> DataFrame:
+
+def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """Broadcast a side of fixed-width rows whose number was counted; beyond the bound it is left to a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def candidates(joined: DataFrame, n_texts: int, part_postings: int = PART_POSTINGS, most: int = LONG) -> DataFrame:
     """(k1, k2) of the pairs to compare."""
-    counts = merged(postings(joined)).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"))
+    parts = max(8, -(-n_texts * FEATURES // part_postings))
+    counts = merged(postings(joined, parts), parts, most).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
     return cut(counts.where(f"n >= {REQUIRED}").select("k1", "k2"))
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values of the smaller sorted array a binary search finds in the larger."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) if len(x) else 0
+
+
 def compared(pairs: DataFrame, joined: DataFrame, who: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(k1, k2, shared, total) of the pairs that are similar, by all runs of both whole texts."""
     wanted = pairs.select(F.explode(F.array("k1", "k2")).alias("key")).distinct()
@@ -257,24 +290,22 @@ def compared(pairs: DataFrame, joined: DataFrame, who: DataFrame, similarity: fl
         distinct: dict[int, str] = {}
         for k, t in (*zip(k1.tolist(), batch.column("t1").to_pylist()), *zip(k2.tolist(), batch.column("t2").to_pylist())):
             distinct[k] = t
-        h, begin, end = _lengths(list(distinct.values()))
-        sets = {k: np.unique(h[a:b]) for k, a, b in zip(distinct, begin, end)}
+        sets = dict(zip(distinct, (s for piece in _pieces(list(distinct.values())) for s in _sets(*shingles.code_points(piece)))))
         shared, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for i in range(n):
-            x, y = sets[k1[i]], sets[k2[i]]
-            shared[i] = len(np.intersect1d(x, y, assume_unique=True)) if 2 * min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-            total[i] = len(x) + len(y) - shared[i]
+        for i, (a, b) in enumerate(zip(k1.tolist(), k2.tolist())):
+            shared[i] = overlap(sets[a], sets[b])
+            total[i] = len(sets[a]) + len(sets[b]) - shared[i]
         ok = shared >= similarity * total
         return {"k1": k1[ok], "k2": k2[ok], "shared": shared[ok], "total": total[ok]}
 
     return map_batches(both.select("k1", "k2", "t1", "t2"), work, "k1 bigint, k2 bigint, shared bigint, total bigint")
 
 
-def near_copies(df: DataFrame, key: str, title: str, body: str) -> tuple[DataFrame, DataFrame]:
+def near_copies(df: DataFrame, key: str, title: str, body: str, **sizes: int) -> tuple[DataFrame, DataFrame]:
     """Similar pairs of texts (k1, k2, shared, total), and the records of each text (id, key)."""
     joined = _joined(df, key, title, body)
     who = cut(members(joined))
-    return cut(compared(candidates(joined), joined, who)), who
+    return cut(compared(candidates(joined, who.count(), **sizes), joined, who)), who
 
 
 def record_pairs(pairs: DataFrame, who: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.arrowmap import arrow_schema
+from loomstat.llm.arrowmap import arrow_schema, map_tasks
 from loomstat.llm.token_ids import with_lengths
 from loomstat.session import cut, read_table
 
@@ -115,7 +115,7 @@ def packed(items: DataFrame, blocks: int, tag: str) -> DataFrame:
         if held:
             yield from close()
 
-    return ordered.mapInArrow(run, schema_text)
+    return map_tasks(ordered, run, schema_text)
 
 
 def containers_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:

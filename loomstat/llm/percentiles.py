@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm.arrowmap import arrow_schema
+from loomstat.llm.arrowmap import arrow_schema, map_tasks
 from loomstat.session import read_table
 
 K, PARTS = 4096, 8
@@ -179,7 +179,7 @@ def month_summaries(df: DataFrame, k: int = K, parts: int = PARTS) -> DataFrame:
         yield from close()
 
     schema = arrow_schema(df, _SUMMARY)
-    return ordered.mapInArrow(run, _SUMMARY)
+    return map_tasks(ordered, run, _SUMMARY)
 
 
 def combined(summaries: DataFrame, k: int = K, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
@@ -212,7 +212,7 @@ def combined(summaries: DataFrame, k: int = K, percentiles: tuple[int, ...] = PE
         yield from close()
 
     schema = arrow_schema(summaries, _RESULT)
-    return ordered.mapInArrow(run, _RESULT)
+    return map_tasks(ordered, run, _RESULT)
 
 
 def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:

@@ -103,10 +103,10 @@ def test_groups_of_many_copies_and_long_lists(spark):
     assert got == {(a, b) for a in ids for b in ids if a < b}
 
 
-def _near(spark, texts):
+def _near(spark, texts, **sizes):
     rows = [(i, None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "article_no long, title string, body string").repartition(3)
-    pairs, who = near_copies.near_copies(df, "article_no", "title", "body")
+    pairs, who = near_copies.near_copies(df, "article_no", "title", "body", **sizes)
     sets = [shingles.shingle_set(f" {t}") for t in texts]
     want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if shingles.jaccard(sets[a], sets[b]) >= 0.5}
     return {tuple(r) for r in near_copies.record_pairs(pairs, who).collect()}, want
@@ -132,6 +132,56 @@ def test_single_characters_changed_all_over_long_texts(spark):
     assert len(want) > 100 and got == want
 
 
+def _recall(spark, texts):
+    got, want = _near(spark, texts)
+    assert got <= want and want, (len(got), len(want))
+    return len(got) / len(want), len(want)
+
+
+@pytest.mark.parametrize("size, pairs", [(1500, 60), (6000, 40), (20000, 20)])
+def test_an_edit_every_25_letters(spark, size, pairs):
+    rng = random.Random(size)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(pairs):
+        t = "".join(rng.choices(letters, k=size))
+        texts += [t, "".join(letters[(letters.index(c) + 1) % 26] if i % rng.randint(25, 28) == 0 else c for i, c in enumerate(t))]
+    share, n = _recall(spark, texts)
+    assert n > pairs / 2 and share >= 0.99
+
+
+def test_pairs_that_share_a_set_phrase(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    phrase = "".join(rng.choices(letters, k=900))
+    texts = []
+    for _ in range(60):
+        own = "".join(rng.choices(letters, k=900))
+        texts += [phrase + own, own[:450] + phrase + own[450:600] + "".join(rng.choices(letters, k=300))]
+    share, n = _recall(spark, texts)
+    assert n >= 60 and share >= 0.99
+
+
+def test_reordered_paragraphs(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        parts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(30)]
+        texts.append(" ".join(parts))
+        rng.shuffle(parts)
+        texts.append(" ".join(parts[:24]))
+    share, n = _recall(spark, texts)
+    assert n >= 40 and share >= 0.99
+
+
+def test_a_long_list_is_paired_by_blocks(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(150)]
+    got, want = _near(spark, [" ".join(w if i % 40 != k else f"x{k}y" for i, w in enumerate(base)) for k in range(40)], part_postings=2000, most=8)
+    assert len(want) == 780 and got == want
+
+
 # 4
 def test_summary_bound_holds():
     rng = np.random.default_rng(0)
