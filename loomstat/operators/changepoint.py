@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.dist import student_quantile, student_two_sided
 from loomstat.operators.trend import acf, ljung_box_p
+from loomstat.session import map_frames
 
 
 def whiten(m: np.ndarray, phi: tuple[float, ...]) -> tuple[np.ndarray, float]:
@@ -139,7 +140,7 @@ def search(spark: SparkSession, y: list[float], name: str, least: int = 3, most:
                 yield pd.DataFrame({"series": name, "n_breakpoints": [len(s) for s, _ in fits], "ar_order": int(p), "onsets": [list(s) for s, _ in fits], "loglik": [f["loglik"] for _, f in fits], "raw_bic": [f["bic"] for _, f in fits], "objective": [f["objective"] for _, f in fits]})
 
     schema = "series string, n_breakpoints int, ar_order int, onsets array<int>, loglik double, raw_bic double, objective double"
-    return seeds.mapInPandas(run, schema).orderBy("objective", "ar_order", "n_breakpoints").limit(keep)
+    return map_frames(seeds, run, schema).orderBy("objective", "ar_order", "n_breakpoints").limit(keep)
 
 
 def _rss(gram: np.ndarray, cross: np.ndarray, yy: float, at: np.ndarray) -> np.ndarray:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import child_seed
+from loomstat.session import map_frames
 
 
 def general_dominance_sql(df: DataFrame, outcome: str, predictors: tuple[str, str, str]) -> DataFrame:
@@ -86,7 +87,7 @@ def stationary_bootstrap(spark: SparkSession, panels: np.ndarray, blocks: tuple[
                         rows.append((int(block), layer, int(start + i), *g, float(g.sum())))
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DRAW.split(", ")])
 
-    return work.mapInPandas(run, _DRAW)
+    return map_frames(work, run, _DRAW)
 
 
 def dominance_summary(draws: DataFrame) -> DataFrame:

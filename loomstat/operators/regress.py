@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.dist import student_quantile, student_two_sided
 from loomstat.operators.trend import acf, ljung_box_p
+from loomstat.session import by_group
 
 
 def _segments(kept: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def replicate_regressions(panels: DataFrame, orders: tuple[int, ...] = (0, 1)) -
         fits = [(k, bivariate(y, x, k)) for k in orders]
         return pd.DataFrame([(int(pdf["replicate"].iloc[0]), k, f["phi"], f["loglik"], f["bic"], f["beta"][1, 0], f["beta"][1, 1], f["beta"][1, 0] - f["beta"][1, 1]) for k, f in fits], columns=[c.split()[0] for c in _REPLICATE.split(", ")])
 
-    return panels.groupBy("replicate").applyInPandas(one, _REPLICATE)
+    return by_group(panels, ["replicate"], one, _REPLICATE)
 
 
 def leave_one_out(panel: DataFrame, order: int = 1) -> DataFrame:
@@ -110,7 +111,7 @@ def leave_one_out(panel: DataFrame, order: int = 1) -> DataFrame:
         f = bivariate(y, x, order, pdf["t"].to_numpy())
         return pd.DataFrame({"omitted": [int(pdf["omitted"].iloc[0])], "phi": [f["phi"]], "rep_polarization": [f["beta"][1, 0]], "dem_polarization": [f["beta"][1, 1]]})
 
-    return each.groupBy("omitted").applyInPandas(one, "omitted int, phi double, rep_polarization double, dem_polarization double")
+    return by_group(each, ["omitted"], one, "omitted int, phi double, rep_polarization double, dem_polarization double")
 
 
 def residual_diagnostics(f: dict, lags: tuple[int, ...] = (4, 8)) -> pd.DataFrame:

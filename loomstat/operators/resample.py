@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomstat.functions.text import child_seed
 from loomstat.operators.measure import DIMENSIONS, raw_iqr
+from loomstat.session import by_group
 
 #: Cumulative Poisson(1) probabilities in ten thousandths: k is the number of them at or under the hash.
 _POISSON = (3679, 7358, 9197, 9810, 9963, 9994, 9999)
@@ -58,7 +59,7 @@ def cluster_bootstrap(long: DataFrame, replicates: int, seed: int = 42, chunk: i
             out.append(pd.DataFrame({"replicate": np.arange(start, start + size), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": _weighted_iqr(s, c) if iqr else np.nan}))
         return pd.concat(out)
 
-    made = rows.groupBy("year_month").applyInPandas(one, _OUT)
+    made = by_group(rows, ["year_month"], one, _OUT)
     return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("mean", "raw_iqr")})
 
 

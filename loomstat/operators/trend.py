@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.dist import chi2_tail, normal_quantile, normal_two_sided
+from loomstat.session import by_group
 
 
 def as_series(df: DataFrame, name: str, value: str, month: str = "year_month") -> DataFrame:
@@ -128,7 +129,7 @@ def hamed_rao_tests(series: DataFrame, lag: int = 2) -> DataFrame:
         trend = "no trend" if out["p_value"] >= 0.05 else "increasing" if out["S"] > 0 else "decreasing"
         return pd.DataFrame([{"series": pdf["series"].iloc[0], "n": len(y), **out, "trend": trend}])
 
-    return series.where("y is not null").groupBy("series").applyInPandas(one, schema)
+    return by_group(series.where("y is not null"), ["series"], one, schema)
 
 
 def partial_autocorrelations(series: DataFrame, lags: int = 6) -> DataFrame:
@@ -137,4 +138,4 @@ def partial_autocorrelations(series: DataFrame, lags: int = 6) -> DataFrame:
         p = pacf(y, lags)
         return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": range(1, lags + 1), "pacf": p, "band": 1.96 / math.sqrt(len(y))})
 
-    return series.where("y is not null").groupBy("series").applyInPandas(one, "series string, lag int, pacf double, band double")
+    return by_group(series.where("y is not null"), ["series"], one, "series string, lag int, pacf double, band double")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of sessions made here; a session handed in by a caller keeps its own.
@@ -16,6 +18,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -32,12 +35,15 @@ def local_session(cores: int = 8, name: str = "loomstat", **conf: str) -> SparkS
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session where it is unset (tests, a laptop) gets a temporary folder.
+    Only a local session where it is unset (tests, a laptop) gets a temporary folder;
+    on a cluster, whose executors don't share one, it must be given.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomstat-checkpoint-"))
 
 
@@ -51,7 +57,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that their Python workers can import it wherever it is installed."""
+    """Send this package to the executors once, so that their Python workers can import it wherever it is installed.
+
+    Every operator that runs Python on the executors calls it. The temporary folder holds the zipped code on its way, no data.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -64,6 +73,18 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def by_group(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``applyInPandas`` with this package sent to the executors first; for groups that stay small, such as a series."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(work, schema)
+
+
+def map_frames(df: DataFrame, work: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` with this package sent to the executors first."""
+    ship(df.sparkSession)
+    return df.mapInPandas(work, schema)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{root}/{name}.parquet")
