@@ -57,7 +57,7 @@ FEW = 64
 #: Features that a pair must have in common.
 REQUIRED = 2
 #: Postings of a part; there are as many parts as that takes.
-PART_POSTINGS = 3_000_000
+PART_POSTINGS = 2_000_000
 #: Texts from which on a list is paired by blocks of so many, and pairs that are made at once.
 LONG, PAIRS = 1024, 500_000
 #: Bytes up to which a side is broadcast; beyond, it is shuffled.
@@ -82,26 +82,31 @@ def _keys(a: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sets(a: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """Sorted distinct runs of each text."""
     h = shingles.run_hashes(a)
-    return [np.unique(h[x : max(x, y - shingles.RUN + 1)]) for x, y in zip(at, at[1:])]
+    return [shingles.distinct(h[x : max(x, y - shingles.RUN + 1)]) for x, y in zip(at, at[1:])]
 
 
-def features(runs: np.ndarray) -> np.ndarray:
-    """Features of a text, as 64-bit hashes, from its sorted distinct runs."""
-    x, found, names = runs.astype(np.uint32), [], []
+def _least(runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The least values of a text, a row for each feature, and the names of the features, from its sorted distinct runs."""
+    x = runs.astype(np.uint32)
     if len(x) <= 2 * FEW:
-        found.append((x[:, None] * _FACTORS.reshape(1, -1)).min(axis=0).reshape(CLASSES, FUNCTIONS))
-        names.append(_NAMES[0])
+        yield (x[:, None] * _FACTORS.reshape(1, -1)).min(axis=0).reshape(-1, ROWS), _NAMES[0].ravel()
     if len(x) > FEW:
         at = np.concatenate(([0], np.searchsorted(runs, _EDGES)))
         some = np.diff(np.append(at, len(x))) > 0  # a class without a run has no feature
-        found.append(np.minimum.reduceat(x[:, None] * _FACTORS[0], at[some], axis=0))
-        names.append(_NAMES[1][some])
-    least = np.concatenate(found).reshape(-1, ROWS).astype(np.uint64)
-    h = np.concatenate(names).ravel()
+        least = np.minimum.reduceat(x[:, None] * _FACTORS[0], at[some], axis=0)
+        yield least.reshape(-1, ROWS), _NAMES[1].ravel() if some.all() else _NAMES[1][some].ravel()
+
+
+def features(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of texts, as 64-bit hashes, and the number of the text each belongs to."""
+    found = [(i, *f) for i, runs in enumerate(sets) if len(runs) for f in _least(runs)]
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h, least = np.concatenate([names for _, _, names in found]), np.concatenate([values for _, values, _ in found])
     with np.errstate(over="ignore"):
         for j in range(ROWS):
             h = shingles.mix(h * _STEP + least[:, j])
-    return h
+    return h, np.repeat([i for i, _, _ in found], [len(names) for _, _, names in found])
 
 
 def _pieces(texts_: list[str]) -> Iterator[list[str]]:
@@ -142,28 +147,26 @@ def postings(joined: DataFrame, parts: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for piece in _pieces(texts(batch.column(1))):
-                part, key, size, flat, counts = [], [], [], [], []
                 a, at = shingles.code_points(piece)
-                keys = _keys(a, at)
-                for k, runs in zip(keys.tolist(), _sets(a, at)):
-                    if k == 0 or k in seen:
-                        continue
-                    seen.add(k)
-                    h = features(runs)
-                    own = (h % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(own, kind="stable")
-                    own = own[order]
-                    start = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                    part.append(own[start])
-                    counts.append(np.diff(np.append(start, len(own))))
-                    flat.append((h[order] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    key.append(np.full(len(start), k, np.int64))
-                    size.append(np.full(len(start), len(runs), np.int32))
+                keys, fresh = _keys(a, at), []
+                for i, k in enumerate(keys.tolist()):
+                    if k and k not in seen:
+                        seen.add(k)
+                        fresh.append(i)
+                sets = _sets(a, at)
+                sets = [sets[i] for i in fresh]
+                h, doc = features(sets)
+                code = doc.astype(np.uint64) * np.uint64(parts) + h % np.uint64(parts)
+                order = np.argsort(code)
+                code = code[order]
+                start = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
                 if len(seen) > 2_000_000:  # only saves repetition, so it may be forgotten
                     seen.clear()
-                if part:
-                    offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-                    yield batches_of({"part": np.concatenate(part), "key": np.concatenate(key), "size": np.concatenate(size), "found": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))}, schema)
+                if len(start):
+                    own, part = (code[start] // np.uint64(parts)).astype(np.int64), (code[start] % np.uint64(parts)).astype(np.int32)
+                    low = (h[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    found = pa.ListArray.from_arrays(pa.array(np.append(start, len(code)).astype(np.int32)), pa.array(low))
+                    yield batches_of({"part": part, "key": keys[fresh][own], "size": np.array([len(x) for x in sets], np.int32)[own], "found": found}, schema)
 
     schema = arrow_schema(joined, _POSTINGS)
     return map_tasks(joined, run, _POSTINGS)
@@ -182,7 +185,7 @@ def _lists(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
         keys, first, at = np.unique(key, return_index=True, return_inverse=True)
         per = np.diff(found.offsets.to_numpy())
         code = found.values.to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32) | np.repeat(at, per).astype(np.uint64)
-        code = np.unique(code)  # copies of a text that several tasks read
+        code = shingles.distinct(code)  # copies of a text that several tasks read
         yield keys, size[first], (code >> np.uint64(32)), (code & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -198,20 +201,25 @@ def _counted(keys: np.ndarray, sizes: np.ndarray, pairs: list[np.ndarray]) -> di
     """Pairs of texts (numbers i * n + j with i < j) with how often each occurs."""
     if not pairs:
         return None
-    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-    return {"k1": keys[pair // len(keys)], "k2": keys[pair % len(keys)], "n": n.astype(np.int64)}
+    pair = np.sort(np.concatenate(pairs))
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1])))
+    x, y = np.divmod(pair[start], len(keys))
+    return {"k1": keys[x], "k2": keys[y], "n": np.diff(np.append(start, len(pair)))}
 
 
 def merged(lists: DataFrame, parts: int, most: int = LONG) -> DataFrame:
-    """(k1, k2, n): in how many lists of a part two texts of similar size meet."""
-    dealt = lists.repartition(parts, "part")
+    """(k1, k2, n): in how many lists of a part two texts of similar size meet.
 
-    def short(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The merge is one pass, whose result is written: pairs of ordinary lists, and pairs of
+    blocks of long ones, which are dealt over all tasks to be paired there.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sizes, f, doc in _lists(batches):
             start = np.flatnonzero(np.concatenate((np.ones(min(1, len(f)), bool), f[1:] != f[:-1])))
             length = np.diff(np.append(start, len(f)))
             pairs, made = [], 0
-            for s in np.unique(length[(length > 1) & (length <= most)]).tolist():
+            for s in np.flatnonzero(np.bincount(length[length <= most], minlength=3)[2:]) + 2:
                 at = start[length == s]
                 i, j = np.triu_indices(s, 1)
                 step = max(1, PAIRS // len(i))
@@ -222,21 +230,21 @@ def merged(lists: DataFrame, parts: int, most: int = LONG) -> DataFrame:
                     pairs.append(x[ok] * len(keys) + y[ok])
                     made += len(pairs[-1])
                     if made > 20 * PAIRS:
-                        yield batches_of(_counted(keys, sizes, pairs), counted)
+                        yield output(_counted(keys, sizes, pairs))
                         pairs, made = [], 0
             if pairs:
-                yield batches_of(_counted(keys, sizes, pairs), counted)
-
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sizes, f, doc in _lists(batches):
-            start = np.flatnonzero(np.concatenate((np.ones(min(1, len(f)), bool), f[1:] != f[:-1])))
-            length = np.diff(np.append(start, len(f)))
+                yield output(_counted(keys, sizes, pairs))
             for at, s in zip(start[length > most].tolist(), length[length > most].tolist()):
                 own = [doc[at + i : at + min(i + most, s)] for i in range(0, s, most)]
                 for i, x in enumerate(own):
                     for j, y in enumerate(own[i:], i):
-                        both = [pa.array([z], pa.list_(t)) for z, t in ((keys[x], pa.int64()), (sizes[x], pa.int32()), (keys[y], pa.int64()), (sizes[y], pa.int32()))]
-                        yield pa.RecordBatch.from_arrays([pa.array([i == j]), *both], schema=blocked)
+                        yield output({}, i == j, keys[x], sizes[x], keys[y], sizes[y])
+
+    def output(pairs: dict, *block: object) -> pa.RecordBatch:
+        n = len(pairs["n"]) if pairs else 1
+        columns = [pa.array(pairs[c]) if pairs else pa.nulls(1, pa.int64()) for c in ("k1", "k2", "n")]
+        columns += [pa.array([x], type=f.type) if block else pa.nulls(n, f.type) for x, f in zip(block or [None] * 5, list(schema)[3:])]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def paired(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,10 +258,13 @@ def merged(lists: DataFrame, parts: int, most: int = LONG) -> DataFrame:
                     a, b = k1[x], k2[y]
                     yield batches_of({"k1": np.minimum(a, b), "k2": np.maximum(a, b), "n": np.ones(len(x), np.int64)}, counted)
 
-    block_schema = "same boolean, k1 array<bigint>, s1 array<int>, k2 array<bigint>, s2 array<int>"
-    counted, blocked = arrow_schema(lists, _COUNTED), arrow_schema(lists, block_schema)
-    long = map_tasks(map_tasks(dealt, blocks, block_schema).repartition(parts), paired, _COUNTED)
-    return map_tasks(dealt, short, _COUNTED).unionByName(long)
+    blocks = ["same", "b1", "s1", "b2", "s2"]
+    text = f"{_COUNTED}, same boolean, b1 array<bigint>, s1 array<int>, b2 array<bigint>, s2 array<int>"
+    counted, schema = arrow_schema(lists, _COUNTED), arrow_schema(lists, text)
+    both = cut(map_tasks(lists.repartition(parts, "part"), run, text))
+    pairs, long = both.where("k1 is not null").select("k1", "k2", "n"), both.where("same is not null").select(blocks)
+    n = long.count()
+    return pairs.unionByName(map_tasks(long.repartition(max(parts, n // 64)), paired, _COUNTED)) if n else pairs
 
 
 def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
@@ -263,7 +274,7 @@ def _small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
 
 def candidates(joined: DataFrame, n_texts: int, part_postings: int = PART_POSTINGS, most: int = LONG) -> DataFrame:
     """(k1, k2) of the pairs to compare."""
-    parts = max(8, -(-n_texts * FEATURES // part_postings))
+    parts = max(2, -(-n_texts * FEATURES // part_postings))
     counts = merged(postings(joined, parts), parts, most).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
     return cut(counts.where(f"n >= {REQUIRED}").select("k1", "k2"))
 

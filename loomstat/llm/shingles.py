@@ -22,7 +22,7 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 @lru_cache(maxsize=1)
 def _kept() -> np.ndarray:
     """For each code point, whether it is a letter or a digit."""
-    return np.frombuffer(bytes(chr(i).isalnum() for i in range(0x110000)), dtype=np.bool_)
+    return np.frombuffer(bytes(map(str.isalnum, map(chr, range(0x110000)))), dtype=np.bool_)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,10 +61,21 @@ def run_hashes(a: np.ndarray) -> np.ndarray:
         return mix(h)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a sort is several times faster here than numpy's own way by hashing."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    fresh = np.empty(len(x), bool)
+    fresh[0] = True
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct run hashes of one text."""
     a, _ = code_points([text])
-    return np.unique(run_hashes(a))
+    return distinct(run_hashes(a))
 
 
 def plain_set(title: str | None, body: str) -> set[str]:
