@@ -8,7 +8,8 @@ seed alone: not on other records, partitions, runs or batches. A larger rate
 keeps all members of a smaller one.
 
 The halves are four 32-bit words; a round's function is SHA-256 of the half.
-All of it is built-in expressions, so it stays in generated code.
+All of it is built-in expressions, one fold over the rounds for each row, which
+a generator keeps from being copied into the filter that follows.
 
 Defined cases: writings of one id that differ in case or outer white space are
 one record; null and blank ids are none; an id of another form has the number
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.session import read_table
@@ -65,9 +66,9 @@ def with_permuted(df: DataFrame, identifier: str, seed: int = SEED, rounds: int
     # one fold over the rounds: written as columns on columns, the optimizer would inline each round into the next
     fold = f"""aggregate(sequence(0, {rounds - 1}), named_struct('l', {words.format('_d', 0, 3)}, 'r', {words.format('_d', 4, 7)}),
         (acc, k) -> transform(array(sha2(concat('{seed}:', cast(k as string), ':', concat_ws(',', cast(acc.r as array<string>))), 256)),
-            h -> named_struct('l', acc.r, 'r', transform(sequence(0, 3), i -> acc.l[i] ^ {word.format('h')})))[0])"""
-    out = out.withColumn("_p", F.expr(fold))
-    return out.withColumn("permuted", F.expr("shiftleft(_p.l[0], 21) | shiftright(_p.l[1], 11)")).drop("_d", "_p")
+            h -> named_struct('l', acc.r, 'r', transform(sequence(0, 3), i -> acc.l[i] ^ {word.format('h')})))[0],
+        acc -> shiftleft(acc.l[0], 21) | shiftright(acc.l[1], 11))"""
+    return out.select("*", F.explode(F.array(F.expr(fold))).alias("permuted")).drop("_d")
 
 
 def sample(df: DataFrame, identifier: str, batch: str, rate: float = RATE, as_of: int | None = None, seed: int = SEED) -> DataFrame:
@@ -93,13 +94,12 @@ def p5_article_ids_by_batch(spark: SparkSession, root: str) -> DataFrame:
     """How many records and members there are as of each load batch."""
     rows = with_permuted(read_table(spark, root, "article_level_scores").select("stable_article_id", "load_batch"), "stable_article_id")
     records = rows.groupBy("record_id").agg(F.min("load_batch").alias("first_batch"), F.max((F.col("permuted") < int(RATE * (1 << _BITS))).cast("int")).alias("is_in"))
-    batches = records.groupBy("first_batch").agg(F.count(F.lit(1)).alias("n"), F.sum("is_in").alias("m"))
-    b = batches.select(F.col("first_batch").alias("b")).where("b is not null")
-    # both sides have a row for each load batch
-    return b.join(F.broadcast(batches), F.coalesce("first_batch", F.lit(0)) <= F.col("b")).groupBy(F.col("b").alias("as_of_batch")).agg(F.sum("n").alias("n_records"), F.sum("m").alias("n_members"))
+    batches = records.groupBy(F.coalesce("first_batch", F.lit(-1)).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_in").alias("m"))
+    upto = Window.orderBy("b")  # a row for each load batch
+    return batches.select(F.nullif("b", F.lit(-1)).alias("as_of_batch"), F.sum("n").over(upto).alias("n_records"), F.sum("m").over(upto).alias("n_members")).where("as_of_batch is not null")
 
 
-def _oracle(table: str, column: str) -> str:
+def _permuted_sql(table: str, column: str) -> str:
     def word(c: str, i: int) -> str:
         return f"CAST('0x' || substr({c}, {8 * i + 1}, 8) AS BIGINT)"
 
@@ -109,7 +109,12 @@ def _oracle(table: str, column: str) -> str:
     for r in range(ROUNDS):
         h = f"sha256('{SEED}:{r}:' || w4 || ',' || w5 || ',' || w6 || ',' || w7)"
         sql += f",\nh{r} AS (SELECT *, {h} AS h FROM s{r}),\ns{r + 1} AS (SELECT id, first_batch, {', '.join(f'w{i + 4} AS w{i}' for i in range(4))}, {', '.join(f'xor(w{i}, {word('h', i)}) AS w{i + 4}' for i in range(4))} FROM h{r})"
-    return sql + f"\nSELECT id AS {column}, first_batch, w0 * 2097152 + (w1 >> 11) AS permuted FROM s{ROUNDS} WHERE w0 * 2097152 + (w1 >> 11) < {int(RATE * (1 << _BITS))}"
+    return sql + f",\np AS (SELECT id, first_batch, w0 * 2097152 + (w1 >> 11) AS permuted FROM s{ROUNDS})\n"
+
+
+def _oracle(table: str, column: str) -> str:
+    return _permuted_sql(table, column) + f"SELECT id AS {column}, first_batch, permuted FROM p WHERE permuted < {int(RATE * (1 << _BITS))}"
 
 
 ORACLE = {"p5_sentence_ids": _oracle("sentence_id_crosswalk", "stable_sentence_id"), "p5_article_ids": _oracle("article_level_scores", "stable_article_id")}
+ORACLE["p5_article_ids_by_batch"] = _permuted_sql("article_level_scores", "stable_article_id") + f"SELECT as_of_batch, count(*) AS n_records, count(*) FILTER (permuted < {int(RATE * (1 << _BITS))}) AS n_members FROM p JOIN (SELECT DISTINCT first_batch AS as_of_batch FROM p WHERE first_batch IS NOT NULL) ON coalesce(first_batch, -1) <= as_of_batch GROUP BY 1"
