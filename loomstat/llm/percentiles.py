@@ -9,11 +9,13 @@ this very summary, not a probability. Up to K values a summary is exact.
 
 Summaries of the same K combine by adding their buffers and collapsing; the
 order is that of month and part, a balanced tree by the levels themselves. So
-summaries are kept by single months of ``computed_at`` and combined afterwards.
+summaries are kept by single months of ``computed_at`` and combined afterwards,
+FAN parts at a time, until one is left.
 
-A group is spread over PARTS by its replicate number, so that a group with a
-third of all rows is a small share of any task; sent-again rows of one key meet
-in one part and are dropped there in a stream sorted by key.
+A group is spread over parts by its replicate number, as many as keep a part at
+PART_ROWS, so that a group with a third of all rows is a small share of any task;
+sent-again rows of one key meet in one part and are dropped there in a stream
+sorted by key.
 
 Defined cases: null and NaN are left out; a key counts once, in the month in
 which it was computed first; null keys are a group of their own; a group
@@ -23,7 +25,7 @@ percentile p of n values is the value of rank ceil(p n / 100).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from loomstat.llm.arrowmap import arrow_schema, map_tasks
 from loomstat.session import read_table
 
-K, PARTS = 4096, 8
+K, PART_ROWS, FAN = 4096, 2_000_000, 32
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 MEASURES = ("mean", "raw_iqr")
 
@@ -114,12 +116,18 @@ _SUMMARY = "year_month string, party string, dimension string, measure string, c
 _RESULT = "year_month string, party string, dimension string, measure string, percentile int, value double, n bigint, rank_error_bound bigint"
 
 
-def _emit(names: str, rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def month_summaries(df: DataFrame, k: int = K, parts: int = PARTS) -> DataFrame:
+def parts_of(df: DataFrame) -> int:
+    """In how many parts the rows of a group are summarised."""
+    return max(1, -(-df.count() // PART_ROWS))
+
+
+def month_summaries(df: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
     """A row for each buffer of each summary: group, measure, month of computed_at, part."""
+    parts = parts or parts_of(df)
     rows = df.select(
         "year_month", "party", "dimension", F.pmod(F.xxhash64("replicate"), F.lit(parts)).cast("int").alias("part"), "replicate",
         F.date_format("computed_at", "yyyy-MM").alias("computed_month"), *[F.nanvl(m, F.lit(None)).alias(m) for m in MEASURES], "computed_at",
@@ -139,18 +147,16 @@ def month_summaries(df: DataFrame, k: int = K, parts: int = PARTS) -> DataFrame:
                     out.append((*now[:3], m, month, now[3], level, s.n if i == 0 else 0, s.error if i == 0 else 0, b))
             open_.clear()
             if out:
-                yield _emit(_SUMMARY, out, schema)
+                yield _emit(out, schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes = [np.asarray(batch.column(c).dictionary_encode().indices.fill_null(-1)) for c in group[:3]] + [batch.column("part").to_numpy()]
-            names = [batch.column(c).to_pylist() if c == "part" else None for c in group]
             change = np.zeros(batch.num_rows, bool)
             for c in codes:
                 change[1:] |= c[1:] != c[:-1]
             starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            del names
             replicate = batch.column("replicate").to_numpy()
             months = batch.column("computed_month").dictionary_encode()
             month_names, month_codes = months.dictionary.to_pylist(), np.asarray(months.indices.fill_null(-1))
@@ -182,24 +188,19 @@ def month_summaries(df: DataFrame, k: int = K, parts: int = PARTS) -> DataFrame:
     return map_tasks(ordered, run, _SUMMARY)
 
 
-def combined(summaries: DataFrame, k: int = K, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """Percentiles of each group and measure, from any set of its summaries."""
-    group = ["year_month", "party", "dimension", "measure"]
+def _merged(summaries: DataFrame, group: list[str], k: int, result: str, emit: Callable[[tuple, Summary], list[tuple]]) -> DataFrame:
+    """Summaries of a group merged in the order of month and part, and what ``emit`` makes of each."""
     ordered = summaries.repartition(*group).sortWithinPartitions(*group, "computed_month", "part", "level", F.col("n").desc())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, s = None, Summary(k)
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if s.n:
-                yield _emit(_RESULT, [(*now, p, v, s.n, s.error) for p, v in zip(percentiles, s.quantiles(percentiles))], schema)
-
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in group]
             levels, ns, errors, buffers = batch.column("level").to_pylist(), batch.column("n").to_pylist(), batch.column("error").to_pylist(), batch.column("buffer")
             for i, key in enumerate(zip(*columns)):
                 if key != now:
-                    yield from close()
+                    if s.n:
+                        yield _emit(emit(now, s), schema)
                     now, s = key, Summary(k)
                 one = Summary(k)
                 one.n, one.error = ns[i], errors[i]
@@ -209,15 +210,57 @@ def combined(summaries: DataFrame, k: int = K, percentiles: tuple[int, ...] = PE
                 else:
                     one.levels = [[] for _ in range(levels[i])] + [[b]]
                 s.merge(one)
-        yield from close()
+        if s.n:
+            yield _emit(emit(now, s), schema)
 
-    schema = arrow_schema(summaries, _RESULT)
-    return map_tasks(ordered, run, _RESULT)
+    schema = arrow_schema(summaries, result)
+    return map_tasks(ordered, run, result)
+
+
+def combined(summaries: DataFrame, k: int = K, percentiles: tuple[int, ...] = PERCENTILES, parts: int = 1) -> DataFrame:
+    """Percentiles of each group and measure, from any set of its summaries; ``parts`` is how many a group has at most."""
+    group = ["year_month", "party", "dimension", "measure"]
+
+    def buffers(key: tuple, s: Summary) -> list[tuple]:
+        return [(*key[:4], None, key[4], level, s.n if i == 0 else 0, s.error if i == 0 else 0, b) for i, (level, b) in enumerate(s.rows())]
+
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        summaries = _merged(summaries.withColumn("part", F.expr(f"cast(part div {FAN} as int)")), [*group, "part"], k, _SUMMARY, buffers)
+    return _merged(summaries, group, k, _RESULT, lambda key, s: [(*key, p, v, s.n, s.error) for p, v in zip(percentiles, s.quantiles(percentiles))])
+
+
+def percentiles_of(df: DataFrame, k: int = K) -> DataFrame:
+    parts = parts_of(df)
+    return combined(month_summaries(df, k, parts), k, parts=parts)
 
 
 def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Percentiles of mean and raw_iqr for each month, party and dimension, with the bound on the rank's error."""
-    return combined(month_summaries(read_table(spark, root, "monthly_stance")))
+    return percentiles_of(read_table(spark, root, "monthly_stance"))
+
+
+def ranks_off(df: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with how far each value's rank among the group's values is from the rank it stands for, by counting them."""
+    group = ["year_month", "party", "dimension"]
+    once = df.groupBy(*group, "replicate").agg(*[F.max(m).alias(m) for m in MEASURES])
+    long = once.unpivot([*group, "replicate"], list(MEASURES), "measure", "x").where("x is not null and not isnan(x)")
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*group, "measure"]]
+    per = found.groupBy(*group, "measure").agg(F.collect_list(F.struct("percentile", "value", "n", "rank_error_bound")).alias("p"))  # a row for each percentile
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    rows = long.alias("v").join(per.alias("f"), cond).select(*[f"f.{c}" for c in [*group, "measure"]], "x", F.explode("p").alias("p"))
+    counted = rows.groupBy(*group, "measure", "p").agg(F.count_if(F.col("x") < F.col("p.value")).alias("under"), F.count_if(F.col("x") <= F.col("p.value")).alias("upto"))
+    rank = F.expr("greatest(1, (p.n * p.percentile + 99) div 100)")
+    return counted.select(*group, "measure", "p.*", F.greatest(F.lit(0), F.col("under") + 1 - rank, rank - F.col("upto")).alias("off"))
+
+
+def p4_bound_holds(spark: SparkSession, root: str) -> DataFrame:
+    """With small buffers of 64 values, which collapse in every group of some size: whether each group's ranks keep to the bound they report."""
+    df = read_table(spark, root, "monthly_stance")
+    checked = ranks_off(df, percentiles_of(df, 64))
+    return checked.groupBy("year_month", "party", "dimension", "measure").agg(F.max("n").alias("n"), F.bool_and(F.col("off") <= F.col("rank_error_bound")).alias("within"), (F.max("rank_error_bound") > 0).alias("collapsed"))
 
 
 def p4_month_summaries(spark: SparkSession, root: str) -> DataFrame:
@@ -229,9 +272,17 @@ def p4_month_summaries(spark: SparkSession, root: str) -> DataFrame:
 #: Exact percentiles; where no group exceeds K values the summaries give the same.
 ORACLE = {
     "p4_percentiles": """
-WITH once AS (SELECT year_month, party, dimension, replicate, arg_min(mean, computed_at) AS m1, any_value(mean) AS m, any_value(raw_iqr) AS q FROM monthly_stance GROUP BY ALL),
+WITH once AS (SELECT year_month, party, dimension, replicate, any_value(mean) AS m, any_value(raw_iqr) AS q FROM monthly_stance GROUP BY ALL),
 long AS (SELECT year_month, party, dimension, 'mean' AS measure, m AS x FROM once UNION ALL SELECT year_month, party, dimension, 'raw_iqr', q FROM once),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY year_month, party, dimension, measure ORDER BY x) AS r, count(*) OVER (PARTITION BY year_month, party, dimension, measure) AS n FROM long WHERE x IS NOT NULL AND NOT isnan(x)),
 p AS (SELECT unnest([1, 5, 25, 50, 75, 95, 99]) AS percentile)
-SELECT year_month, party, dimension, measure, CAST(percentile AS INTEGER) AS percentile, x AS value, n, CAST(0 AS BIGINT) AS rank_error_bound FROM ranked, p WHERE r = greatest(1, (n * percentile + 99) // 100)"""
+SELECT year_month, party, dimension, measure, CAST(percentile AS INTEGER) AS percentile, x AS value, n, CAST(0 AS BIGINT) AS rank_error_bound FROM ranked, p WHERE r = greatest(1, (n * percentile + 99) // 100)""",
+    "p4_bound_holds": """
+WITH once AS (SELECT year_month, party, dimension, replicate, any_value(mean) AS m, any_value(raw_iqr) AS q FROM monthly_stance GROUP BY ALL),
+long AS (SELECT year_month, party, dimension, 'mean' AS measure, m AS x FROM once UNION ALL SELECT year_month, party, dimension, 'raw_iqr', q FROM once)
+SELECT year_month, party, dimension, measure, count(*) AS n, true AS "within", count(*) >= 128 AS collapsed FROM long WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL""",
+    "p4_month_summaries": """
+WITH once AS (SELECT year_month, party, dimension, replicate, strftime(min(computed_at), '%Y-%m') AS computed_month, any_value(mean) AS m, any_value(raw_iqr) AS q FROM monthly_stance GROUP BY year_month, party, dimension, replicate),
+long AS (SELECT year_month, party, dimension, computed_month, 'mean' AS measure, m AS x FROM once UNION ALL SELECT year_month, party, dimension, computed_month, 'raw_iqr', q FROM once)
+SELECT year_month, party, dimension, measure, computed_month, count(*) AS n, count(*) AS n_kept, CAST(0 AS BIGINT) AS rank_error_bound FROM long WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL""",
 }
