@@ -6,21 +6,25 @@ and its leading eigenvector holds the reliabilities. Pairs of annotators share
 different numbers of items: each entry is weighted by its overlap and shrunk
 where it is small, and an annotator's own entry, which isn't observed, is left
 out of sum and norm alike. The eigenvector is found by power iteration, each
-step a join of the sparse matrix with the vector and a sum by annotator.
+step a join of the sparse matrix with the vector and a sum by annotator, until
+no entry moves by more than TOLERANCE.
 
-A first consensus weights votes by log-likelihood under these reliabilities: an
-annotator gives the true label with this probability and else one from their
-own habit, so that one who always gives the same label adds little. From
-it each annotator's hits, near misses (one step of the scale) and far misses are
-counted, and these, with the spectral estimate as prior, weight the votes of
-the final consensus.
+There are two such matrices: agreement on the label, whose eigenvector says how
+often an annotator gives the true label, and agreement within a step of the scale,
+whose eigenvector says how often they come within a step of it. What lies between the two
+are near misses, the rest far ones.
+
+The consensus weights each vote by its log-likelihood under these two
+reliabilities: an annotator gives the true label, a neighbour of it or else one
+from their own habit, so that one who always gives the same label adds little.
 
 Labels: ``NA`` (also n/a, in any case) or a multiple of 10 from 0 to 100,
 also as 70.0, 070 or 70/100, with outer white space; anything else is none.
 
 Defined cases: rows of the same item and round count once; null and blank rater
-ids vote as rater ''; items without a readable label have no row; ties go to the
-label that is more frequent overall, then to the one that sorts first.
+ids vote as rater ''; items without a readable label have no row; a rater who shares
+no item with another has the reliability ALONE; ties go to the label that is more
+frequent overall, then to the one that sorts first.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from pyspark.sql import functions as F
 from loomstat.llm.binding import let
 from loomstat.session import cut, read_table
 
-#: Steps of the power iteration.
-STEPS = 10
+#: Change of an entry under which the power iteration ends, steps between two looks at it, and looks after which it is an error.
+TOLERANCE, STEPS, LOOKS = 1e-4, 6, 30
 #: Overlap at which an agreement counts by half.
 SHRINK = 5.0
-#: Votes' worth of the spectral estimate in the final weights.
-PRIOR = 10.0
+#: Reliability without anything to compare with.
+ALONE = 0.3
 
 
 def label_of(c: Column) -> Column:
@@ -56,14 +60,23 @@ def votes_of(df: DataFrame, question: str = "q1") -> DataFrame:
     return rows.where("label is not null").distinct().groupBy("item", "rater", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Distance of two labels on the scale; null if one of them is NA, 0 if both are.
+_APART = "case when {0} = {1} then 0 else abs(cast(nullif({0}, 'NA') as int) - cast(nullif({1}, 'NA') as int)) end"
+
+
 def agreement(votes: DataFrame) -> DataFrame:
-    """(r, s, m, w): agreement of two raters beyond chance and its weight, both ways round; one row for a pair of raters."""
+    """(r, s, w, m0, m10): agreement of two raters beyond chance, on the label and within a step, and its weight; both ways round."""
     a, b = votes.select("item", F.col("rater").alias("r"), F.col("label").alias("x"), F.col("n").alias("i")), votes.select("item", F.col("rater").alias("s"), F.col("label").alias("y"), F.col("n").alias("j"))
-    seen = a.join(b, "item").where("r <> s").groupBy("r", "s").agg(F.sum(F.expr("i * j")).alias("both"), F.sum(F.expr("case when x = y then i * j else 0 end")).alias("same"))
+    apart = F.expr(_APART.format("x", "y")).alias("apart")
+    seen = a.join(b, "item").where("r <> s").select("r", "s", F.expr("i * j").alias("k"), apart).groupBy("r", "s").agg(F.sum("k").alias("both"), *[F.sum(F.when(F.col("apart") <= d, F.col("k")).otherwise(0)).alias(f"same{d}") for d in (0, 10)])
     habit = habits(votes)
-    chance = habit.select(F.col("rater").alias("r"), "label", F.col("share").alias("p")).join(habit.select(F.col("rater").alias("s"), "label", F.col("share").alias("q")), "label").groupBy("r", "s").agg(F.sum(F.expr("p * q")).alias("chance"))
-    m = seen.join(chance, ["r", "s"]).withColumn("chance", F.least("chance", F.lit(0.95)))
-    return m.select("r", "s", F.expr("(same / both - chance) / (1 - chance)").alias("m"), F.expr(f"both * both / (both + {SHRINK})").alias("w"))
+    # each label beside itself and its neighbours, so that the join is one of equals
+    beside = F.expr("filter(array(named_struct('x', y, 'apart', 0), named_struct('x', cast(try_cast(y as int) - 10 as string), 'apart', 10), named_struct('x', cast(try_cast(y as int) + 10 as string), 'apart', 10)), v -> v.x is not null)")
+    other = habit.select(F.col("rater").alias("s"), F.col("label").alias("y"), F.col("share").alias("q")).select("s", "q", F.inline(beside))
+    by_chance = habit.select(F.col("rater").alias("r"), F.col("label").alias("x"), F.col("share").alias("p")).join(other, "x")
+    chance = by_chance.select("r", "s", F.expr("p * q").alias("pq"), "apart").groupBy("r", "s").agg(*[F.least(F.sum(F.when(F.col("apart") <= d, F.col("pq")).otherwise(0)), F.lit(0.95)).alias(f"chance{d}") for d in (0, 10)])
+    beyond = [F.expr(f"(same{d} / both - chance{d}) / (1 - chance{d})").alias(f"m{d}") for d in (0, 10)]
+    return seen.join(chance, ["r", "s"]).select("r", "s", F.expr(f"both * both / (both + {SHRINK})").alias("w"), *beyond)
 
 
 def habits(votes: DataFrame) -> DataFrame:
@@ -72,17 +85,23 @@ def habits(votes: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("rater"))).drop("n")
 
 
-def reliabilities(votes: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(rater, reliability) between 0 and 1."""
+def reliabilities(votes: DataFrame) -> DataFrame:
+    """(rater, exact, near): how often each rater gives the label, and comes within a step of it; between 0 and 1."""
     matrix = cut(agreement(votes))
-    v = votes.select("rater").distinct().withColumn("reliability", F.lit(0.6))
-    for k in range(steps):
-        near = matrix.join(v.select(F.col("rater").alias("s"), F.col("reliability").alias("a")), "s").groupBy(F.col("r").alias("rater")).agg((F.sum(F.expr("w * m * a")) / F.sum(F.expr("w * a * a"))).alias("new"))
-        # half of the old vector damps the oscillation between raters that were good and those they met
-        v = v.join(near, "rater", "left").select("rater", F.expr(f"least(0.98, greatest(0.01, {0.3 if k else 0.0} * reliability + {0.7 if k else 1.0} * coalesce(new, 0.3)))").alias("reliability"))
-        if k % 3 == 2 or k == steps - 1:
-            v = cut(v)
-    return v
+    v = votes.select("rater").distinct().withColumns({"exact": F.lit(0.6), "near": F.lit(0.8)})
+    fit = lambda m, a: F.sum(F.expr(f"w * {m} * {a}")) / F.sum(F.expr(f"w * {a} * {a}"))
+    for look in range(LOOKS):
+        for k in range(STEPS):
+            near = matrix.join(v.select(F.col("rater").alias("s"), F.col("exact").alias("a"), F.col("near").alias("b")), "s").groupBy(F.col("r").alias("rater")).agg(fit("m0", "a").alias("new0"), fit("m10", "b").alias("new10"))
+            # part of the old vector damps the oscillation between raters that were good and those they met
+            old = 0.3 if look or k else 0.0
+            step = lambda was, new: f"least(0.98, greatest(0.01, {old} * {was} + {1 - old} * coalesce({new}, {ALONE})))"
+            v = v.join(near, "rater", "left").select("rater", F.expr(step("exact", "new0")).alias("exact"), F.expr(step("near", "new10")).alias("near"), F.col("exact").alias("was0"), F.col("near").alias("was10"))
+        v = cut(v)
+        moved = v.agg(F.max(F.greatest(F.abs(F.col("exact") - F.col("was0")), F.abs(F.col("near") - F.col("was10"))))).first()[0]
+        if (moved or 0.0) <= TOLERANCE:
+            return v.select("rater", "exact", F.greatest("near", "exact").alias("near"))
+    raise ArithmeticError(f"the power iteration still moves by {moved} after {LOOKS * STEPS} steps")
 
 
 def _scored(votes: DataFrame, rated: DataFrame, log_like: str) -> DataFrame:
@@ -97,23 +116,14 @@ def _scored(votes: DataFrame, rated: DataFrame, log_like: str) -> DataFrame:
 
 
 def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item, label, score) and (rater, spectral, reliability, n_votes)."""
-    spectral = reliabilities(votes)
-    habit = habits(votes)
+    """(item, label, score) and (rater, reliability, near, n_votes)."""
+    spectral = cut(reliabilities(votes))
     # a far miss follows the rater's habit, smoothed towards every label of the scale alike
-    rated = habit.join(spectral, "rater").withColumn("q", F.expr("0.9 * share + 0.1 / 12"))
-    first = _scored(votes, rated, "case when label = c then ln(reliability + (1 - reliability) * q) else ln((1 - reliability) * q) end")
-    step = "abs(cast(nullif(label, 'NA') as int) - cast(nullif(c, 'NA') as int))"
-    kinds = votes.join(first.select("item", F.col("label").alias("c")), "item").groupBy("rater").agg(F.sum("n").alias("n_votes"), F.sum(F.expr("case when label = c then n else 0 end")).alias("hits"), F.sum(F.expr(f"case when {step} = 10 then n else 0 end")).alias("near"))
-    care = kinds.join(spectral, "rater").select(
-        "rater", "n_votes", F.col("reliability").alias("spectral"),
-        F.expr(f"(hits + {PRIOR} * reliability) / (n_votes + {PRIOR})").alias("reliability"),
-        F.expr(f"(near + {PRIOR} * (1 - reliability) / 3) / (n_votes + {PRIOR})").alias("near"),
-    )
-    both = habit.join(care.select("rater", "reliability", "near"), "rater").withColumn("q", F.expr("0.9 * share + 0.1 / 12"))
-    far = "greatest(0.002, 1 - reliability - near) * q"
-    final = _scored(votes, both, f"case when label = c then ln(reliability + {far}) when {step} = 10 then ln(near / 2 + {far}) else ln({far}) end")
-    return final, care.drop("near")
+    rated = habits(votes).join(spectral, "rater").select("rater", "label", F.col("exact").alias("reliability"), F.expr("greatest(0.01, near - exact) / 2").alias("beside"), F.expr("greatest(0.002, 1 - greatest(near, exact + 0.01)) * (0.9 * share + 0.1 / 12)").alias("far"))
+    apart = _APART.format("label", "c")
+    final = _scored(votes, rated, f"case {apart} when 0 then ln(reliability + far) when 10 then ln(beside + far) else ln(far) end")
+    n = votes.groupBy("rater").agg(F.sum("n").alias("n_votes"))
+    return final, spectral.join(n, "rater").select("rater", F.col("exact").alias("reliability"), "near", "n_votes")
 
 
 def _votes(spark: SparkSession, root: str) -> DataFrame:
@@ -135,5 +145,5 @@ def p7_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_raters(spark: SparkSession, root: str) -> DataFrame:
-    """Each rater's reliability: spectral estimate and share of votes that the consensus confirms."""
-    return consensus(_votes(spark, root))[1].select("rater", "n_votes", F.round("spectral", 6).alias("spectral"), F.round("reliability", 6).alias("reliability"))
+    """Each rater's reliability, and how often they come within a step of the label."""
+    return consensus(_votes(spark, root))[1].select("rater", "n_votes", F.round("reliability", 6).alias("reliability"), F.round("near", 6).alias("near"))
