@@ -10,6 +10,7 @@ import numpy as np
 import oracle
 import pytest
 from conftest import DATA
+from pyspark.sql import functions as F
 
 pytest.importorskip("loomstat.llm")
 
@@ -202,11 +203,24 @@ def test_summary_bound_holds():
         assert abs(rank - p * len(x) / 100) <= whole.error + 256
 
 
-def test_percentiles_within_bound(spark):
-    df = read_table(spark, DATA, "monthly_stance")
-    exact = {tuple(r[:5]): r[5] for r in percentiles.combined(percentiles.month_summaries(df)).select("year_month", "party", "dimension", "measure", "percentile", "value").collect()}
-    for r in percentiles.combined(percentiles.month_summaries(df, k=8), k=8).collect():
-        assert r["rank_error_bound"] >= 0 and (r["year_month"], r["party"], r["dimension"], r["measure"], r["percentile"]) in exact
+@pytest.mark.parametrize("parts", [1, 3, 70])  # 70 parts are combined in two rounds
+def test_percentiles_within_bound(spark, parts):
+    rng = np.random.default_rng(1)
+    values = {("2024-01", "a"): rng.lognormal(size=4000), ("2024-01", None): np.repeat([1.0, 2.0, 3.0], 100), ("2024-02", "a"): rng.normal(size=5)}
+    rows = [(m, p, "q", float(x), None if i % 50 == 0 else float("nan") if i % 50 == 1 else float(-x), 1, i, f"2024-0{i % 3 + 1}-01") for (m, p), v in values.items() for i, x in enumerate(v)]
+    rows += rows[:300]  # sent again
+    df = spark.createDataFrame(rows, "year_month string, party string, dimension string, mean double, raw_iqr double, n_articles long, replicate long, day string").withColumn("computed_at", F.to_timestamp("day"))
+    found = {tuple(r[:5]): r for r in percentiles.combined(percentiles.month_summaries(df, 16, parts), 16, parts=parts).collect()}
+    assert len(found) == 3 * 2 * len(percentiles.PERCENTILES)
+    for (m, p), v in values.items():
+        for measure, x in (("mean", np.sort(v)), ("raw_iqr", np.sort(-v[[i for i in range(len(v)) if i % 50 > 1]]))):
+            for q in percentiles.PERCENTILES:
+                r = found[m, p, "q", measure, q]
+                rank = max(1, -(-len(x) * q // 100))
+                under, upto = int((x < r["value"]).sum()), int((x <= r["value"]).sum())
+                assert r["n"] == len(x) and max(under + 1 - rank, rank - upto) <= r["rank_error_bound"]
+    assert found["2024-01", "a", "q", "mean", 50]["rank_error_bound"] > 0 and found["2024-02", "a", "q", "mean", 50]["rank_error_bound"] == 0
+    assert percentiles.percentiles_of(df.where("false")).count() == 0
 
 
 # 5
@@ -240,6 +254,31 @@ def test_lines_against_plain_counts(spark):
     assert clean[3] == "own d line\n"
 
 
+def test_partitions_in_any_cut_find_the_same_places(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "a" if i % 3 else "b", "\n".join(f"line {chr(97 + rng.randrange(20))}" if rng.random() < 0.7 else f"own {'x' * i} {k}" for k in range(5))) for i in range(90)]
+    schema = "article_no long, publisher string, body string"
+    df = spark.createDataFrame(rows, schema)
+    found = site_lines.occurrences(df, "article_no", "publisher", "body")
+    want = {tuple(r) for r in site_lines.places(found, site_lines.merge(site_lines.line_counts(found)).where("n_docs >= 10")).collect()}
+    state, got, bodies = site_lines.State(), [], dict((r[0], r[2]) for r in rows)
+    for low, high in ((0, 30), (25, 60), (60, 61), (61, 90)):  # 25 to 29 are sent again
+        state = site_lines.advance(state, spark.createDataFrame(rows[low:high], schema), "article_no", "publisher", "body")
+        got += [tuple(r) for r in state.found[-1].collect()]
+        bodies |= {r[0]: r[1] for r in site_lines.rebuilt(state, df, "article_no", "body").collect()}
+    assert want and len(got) == len(want) and set(got) == want
+    assert bodies == {i: "\n".join(x for k, x in enumerate(body.split("\n"), 1) if (i, k) not in want) for i, _, body in rows}
+    state.save(str(tmp_path))
+    again = site_lines.advance(site_lines.State.load(spark, str(tmp_path), 4), spark.createDataFrame([(100, "a", rows[1][2])], schema), "article_no", "publisher", "body")
+    assert again.found[-1].count() >= 1
+
+
+def test_empty_lines_table(spark):
+    none = spark.createDataFrame([], "article_no long, publisher string, body string, loaded_at timestamp")
+    state, _ = site_lines.replay(none, "article_no", "publisher", "body", "loaded_at")[-1]
+    assert state.found[-1].count() == 0
+
+
 def test_deltas_cross_once(spark):
     counts = lambda n: spark.createDataFrame([(1, 1, n)], "h1 long, h2 long, n_docs long")
     before, after = counts(8), site_lines.merge(counts(8), counts(3))
@@ -247,6 +286,20 @@ def test_deltas_cross_once(spark):
 
 
 # 7
+def test_raters_without_company_and_no_votes(spark):
+    schema = "item long, rater string, label string, n long"
+    final, raters = annotators.consensus(spark.createDataFrame([(1, "a", "70", 1), (2, "b", "NA", 1)], schema))
+    assert {r["item"]: r["label"] for r in final.collect()} == {1: "70", 2: "NA"} and {r["reliability"] for r in raters.collect()} == {annotators.ALONE}
+    assert annotators.consensus(spark.createDataFrame([], schema))[0].count() == 0
+
+
+def test_votes_are_weighted_by_spectral_reliability(spark):
+    votes = [(i, r, "20", 1) for i in range(40) for r in ("g1", "g2", "g3")] + [(i, r, str(10 * ((7 * i + k * (i % 5)) % 11)), 1) for i in range(40) for k, r in enumerate(("b1", "b2", "b3", "b4"))]
+    votes += [(99, "g1", "50", 1), (99, "b1", "90", 1), (99, "b2", "90", 1)]
+    final, _ = annotators.consensus(spark.createDataFrame(votes, "item long, rater string, label string, n long"))
+    assert {r["item"]: r["label"] for r in final.collect()}[99] == "50"
+
+
 def test_consensus_beats_majority(spark):
     rng = random.Random(3)
     labels = ["NA", *map(str, range(0, 101, 10))]
