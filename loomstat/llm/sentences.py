@@ -2,15 +2,19 @@
 
 A pushdown automaton reads each line. Only the characters that can change its
 state are visited (one regular expression finds them): terminators, quotation
-marks, brackets and, in Thai, blanks. The stack holds the open quotations and
-brackets; while it isn't empty no terminator ends a unit. At the bottom of the
-stack a full stop is looked up in tries of abbreviations, read backwards.
+marks, brackets and, in Thai, blanks. At the bottom of its stack are the list
+levels that are open, each with its indentation, style and last number, from line to
+line; above them lie the open quotations and brackets of the line, and while
+there is one no terminator ends a unit. Otherwise a full stop is looked up in
+tries of abbreviations, read backwards.
 
 Rules, in the order in which they are tried:
 
-* a line end ends the unit and empties the stack; an opener that its line never
-  closes counts as an ordinary character;
-* a list marker at the head of a line opens a list level; its mark ends nothing;
+* a line end ends the unit; an opener that its line never closes, or that a pair
+  around it crosses, counts as an ordinary character;
+* a list marker at the head of a line opens a list level or goes on with it, and a less
+  indented line closes the levels above its own; inside a line the number that follows
+  a level's last one, or a 1 after a colon, is a marker too; a marker's full stop ends nothing;
 * a full stop after an abbreviation that stands before its word ends nothing; one
   after an abbreviation that can close a sentence ends it if a start follows;
 * initials and ordinal numbers before a word end nothing;
@@ -18,8 +22,10 @@ Rules, in the order in which they are tried:
 * a quotation that closes with a terminator inside ends the unit if a start
   follows; in scripts without case only if a comma or colon led into it;
 * a bracket that closes with a terminator inside ends the unit if it opened it;
-* in Thai, a blank between two Thai words ends a unit unless a number stands
-  before its left word without its own blank.
+* in Thai, a blank between two Thai characters ends a unit; one beside a number or
+  a Latin letter doesn't.
+
+A line takes one pass to match its openers and one to read it.
 
 Offsets count code points; outer white space isn't part of a unit, so that the
 units of a text hold all its other characters. Null, empty and blank texts have
@@ -77,12 +83,15 @@ CLOSERS = "”“»」』)]）】》\"’'"
 SOFT = "."
 
 _EVENT = re.compile(r"[!?…。．！？؟।॥｡‼⁇⁈⁉۔።“”„«»「」『』()\[\]（）【】《》\"]|\.(?![\w/])|\.(?=[A-ZÀ-Þ][a-zß-ÿ])|(?<=[А-Яа-я])\.(?=[А-Я][а-я])|(?<=[ء-ي])\.(?=[ء-ي])")
+_PAIRED = re.compile(r"[“”„«»「」『』()\[\]（）【】《》\"]")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _MARKER = re.compile(r"\s*(?:\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)]|[-–—*•·▪◦→])\s+")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_BLANK = re.compile(r"(?<=[฀-๿.”»)])[  \t]+(?=[฀-๿“«(])")
 _SKIP = re.compile(r"[\s“„«»\"'‘’(\[¿¡*_–—-]*")
 _WORD = re.compile(r"\w+")
+_WHITE = re.compile(r"[\s\x1c-\x1f]*")
+_NOTHING = re.compile(r"[ \t .…]*")
 
 
 class Trie:
@@ -121,6 +130,18 @@ def _follower(line: str, at: int) -> str:
     return "l" if c.islower() else "d" if c.isdigit() else "p" if c in ",;:،؛，；" else "u"
 
 
+def _back(line: str, at: int) -> int:
+    """Where the white space before ``at`` begins."""
+    while at > 0 and line[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_before(line: str, at: int) -> str:
+    end = _back(line, at)
+    return line[line.rfind(" ", 0, end) + 1 : end]
+
+
 def _is_initial(line: str, dot: int) -> bool:
     """A capital alone before the full stop, beside another name."""
     c = line[dot - 1]
@@ -129,7 +150,7 @@ def _is_initial(line: str, dot: int) -> bool:
     after = line[dot + 1 : dot + 3]
     if not (len(after) == 2 and after[0] in "  " and after[1].isupper()):
         return False
-    before = line[: dot - 1].rstrip().rpartition(" ")[2]
+    before = _word_before(line, dot - 1)
     return not before or before[:1].isupper() or before[-1] in ".!?…“„”«»\"():;," or before in ("by", "and", "von", "para", "pour", "for")
 
 
@@ -156,105 +177,156 @@ def _stop_ends(line: str, dot: int, after: int) -> bool:
             while k > 0 and line[k - 1].isdigit():
                 k -= 1
             if dot - k <= 3:
-                word = line[:k].rstrip().rpartition(" ")[2]
+                word = _word_before(line, k)
                 m = _WORD.match(line, _SKIP.match(line, after).end())
                 if word in ORDINAL_BEFORE or (m and m[0] in MONTHS):
                     return False
     return True
 
 
-def _thai_ends(line: str, start: int) -> list[int]:
-    ends = []
-    for m in _THAI_BLANK.finditer(line, start):
-        ends.append(m.start())
-    return ends
+def matches(line: str, first: int = 0) -> dict[int, int]:
+    """Closers of a line with their openers, which nest. What isn't in a pair is an ordinary character.
+
+    A closer takes the nearest opener that it can close; those in between are given up.
+    """
+    stack: list[tuple[int, str]] = []
+    waiting: dict[str, int] = {}  # how many openers of the stack a mark can close
+    found: dict[int, int] = {}
+    for m in _PAIRED.finditer(line, first):
+        c = m[0]
+        if waiting.get(c):
+            closers = ""
+            while c not in closers:
+                at, closers = stack.pop()
+                for x in closers:
+                    waiting[x] -= 1
+            found[m.start()] = at
+        elif c in PAIRS and c != "»":
+            stack.append((m.start(), PAIRS[c]))
+            for x in PAIRS[c]:
+                waiting[x] = waiting.get(x, 0) + 1
+    return found
+
+
+class Levels:
+    """The open list levels: indentation, style and last number of each; a bullet has no number."""
+
+    def __init__(self) -> None:
+        self.open: list[list] = []
+
+    def head(self, line: str) -> int:
+        """Close and open levels by the head of a line; where its text begins."""
+        indent = len(line) - len(line.lstrip())
+        m = _MARKER.match(line)
+        while self.open and self.open[-1][0] > indent:
+            self.open.pop()
+        if not m:
+            while self.open and self.open[-1][0] == indent:
+                self.open.pop()
+            return 0
+        mark = m[0].strip()
+        digits = mark.strip("(.)")
+        style, number = ("#" + mark.replace(digits, ""), int(digits)) if digits.isdigit() else (mark, 0)
+        if self.open and self.open[-1][0] == indent:
+            self.open[-1][1:] = style, number
+        else:
+            self.open.append([indent, style, number])
+        return m.end()
+
+    def inside(self, line: str, dot: int) -> bool:
+        """Whether the full stop ends a number that goes on with the innermost level, or opens one after a colon."""
+        k = dot
+        while k > 0 and dot - k < 3 and line[k - 1].isdecimal():
+            k -= 1
+        if k == dot or k == 0 or not line[k - 1].isspace() or not line[dot + 1 : dot + 2].isspace():
+            return False
+        number = int(line[k:dot])
+        if self.open and self.open[-1][1] == "#." and self.open[-1][2] + 1 == number:
+            self.open[-1][2] = number
+            return True
+        if number == 1 and line.endswith(":", 0, _back(line, k)):
+            self.open.append([len(line), "#.", 1])
+            return True
+        return False
 
 
-def line_ends(line: str) -> list[int]:
+def line_ends(line: str, levels: Levels | None = None) -> list[int]:
     """Where units end inside one line; the line's own end isn't among them."""
-    ignored: set[int] = set()
-    marker = _MARKER.match(line)
-    first = marker.end() if marker else 0
-    thai = _THAI.search(line) is not None
-    while True:
-        stack: list[tuple[str, int, bool]] = []  # closing marks, position, whether it opened the unit
-        ends: list[int] = []
-        unit, last_term, skip = 0, -1, first
-        blanks = _thai_ends(line, first) if thai else []
-        events = [(m.start(), m[0]) for m in _EVENT.finditer(line, first)]
-        if blanks:
-            events = sorted(events + [(b, " ") for b in blanks])
-        n = len(events)
-        i = 0
-        while i < n:
-            at, c = events[i]
-            i += 1
-            if at < skip or at in ignored:
-                continue
-            if c == " ":
-                if not stack and at > unit:
-                    ends.append(at)
-                    unit = at
+    levels = levels or Levels()
+    first = levels.head(line)
+    pairs = matches(line, first)
+    openers = set(pairs.values())
+    events = [(m.start(), m[0]) for m in _EVENT.finditer(line, first)]
+    if _THAI.search(line):
+        events = sorted(events + [(m.start(), " ") for m in _THAI_BLANK.finditer(line, first)])
+    stack: list[tuple[int, bool]] = []  # position, and whether it opened the unit; the levels lie below
+    ends: list[int] = []
+    unit, skip = 0, first
+    for at, c in events:
+        if at < skip:
+            continue
+        if c == " ":
+            if not stack and at > unit:
+                ends.append(at)
+                unit = at
+        elif c in TERMINATORS:
+            if stack:
                 continue
-            if c in TERMINATORS:
-                last_term = at
-                if stack:
-                    continue
-                after = at + 1
-                while after < len(line) and line[after] in TERMINATORS:
-                    after += 1
-                only_stop = c == "." and after == at + 1
-                close = after
-                while close < len(line) and line[close] in "”»」』)]）】》’" and close not in ignored:
-                    close += 1
-                if only_stop:
-                    ended = _stop_ends(line, at, close)
-                elif c == "…" or line[at:after] == "...":
-                    ended = _follower(line, close) not in ("l", "p")
-                else:
-                    ended = _follower(line, close) != "p" and not (close > after and _follower(line, close) == "l")
-                skip = close
-                last_term = close - 1
-                if ended and line[unit:at].strip(" \t .…"):
-                    ends.append(close)
-                    unit = close
+            after = at + 1
+            while after < len(line) and line[after] in TERMINATORS:
+                after += 1
+            only_stop = c == "." and after == at + 1
+            if only_stop and levels.inside(line, at):
                 continue
-            if stack and c in stack[-1][0]:
-                _, opened_at, opened_unit = stack.pop()
-                if stack:
-                    continue
-                inner = at - 1
-                while inner > opened_at and (line[inner].isspace() or line[inner] in CLOSERS):
-                    inner -= 1
-                if line[inner] not in TERMINATORS or inner == opened_at:
-                    continue
-                close = at + 1
-                while close < len(line) and line[close] in "”»」』)]）】》":
-                    close += 1
-                k = _SKIP.match(line, close).end()
-                nxt = line[k : k + 1]
-                bracket = c in ")]）】"
-                if not nxt:
-                    ended = False
-                elif nxt in ",;:،؛，；、" or nxt in TERMINATORS or "—" in line[close:k] or "–" in line[close:k]:
-                    ended = False
-                elif bracket:
-                    ended = opened_unit
-                elif nxt.islower():
-                    ended = False
-                elif nxt.isupper() or nxt.istitle() or nxt.isdigit() or not nxt.isalpha():
-                    ended = True
-                else:
-                    ended = line[:opened_at].rstrip()[-1:] in tuple(",:،：，")
-                if ended:
+            close = after
+            while close < len(line) and line[close] in "”»」』)]）】》’" and close not in openers:
+                close += 1
+            if only_stop:
+                ended = _stop_ends(line, at, close)
+            elif c == "…" or line[at:after] == "...":
+                ended = _follower(line, close) not in ("l", "p")
+            else:
+                ended = _follower(line, close) != "p" and not (close > after and _follower(line, close) == "l")
+            skip = close
+            if ended and _NOTHING.match(line, unit).end() < at:
+                ends.append(close)
+                unit = close
+        elif at in pairs:
+            opened_at, opened_unit = stack.pop()
+            if not stack:
+                close = _pair_ends(line, opened_at, opened_unit, at)
+                if close:
                     ends.append(close)
                     unit = close
-                continue
-            if c in PAIRS and not (c == "»"):
-                stack.append((PAIRS[c], at, not line[unit:at].strip() or (unit == 0 and at <= first)))
-        if not stack:
-            return ends
-        ignored.add(stack[-1][1])
+        elif at in openers:
+            stack.append((at, _WHITE.match(line, unit).end() >= at or (unit == 0 and at <= first)))
+    return ends
+
+
+def _pair_ends(line: str, opened_at: int, opened_unit: bool, at: int) -> int:
+    """Where the unit ends with the closer at ``at``; 0 if it goes on."""
+    inner = at - 1
+    while inner > opened_at and (line[inner].isspace() or line[inner] in CLOSERS):
+        inner -= 1
+    if line[inner] not in TERMINATORS or inner == opened_at:
+        return 0
+    close = at + 1
+    while close < len(line) and line[close] in "”»」』)]）】》":
+        close += 1
+    k = _SKIP.match(line, close).end()
+    nxt = line[k : k + 1]
+    if not nxt or nxt in ",;:،؛，；、" or nxt in TERMINATORS or "—" in line[close:k] or "–" in line[close:k]:
+        ended = False
+    elif line[at] in ")]）】":
+        ended = opened_unit
+    elif nxt.islower():
+        ended = False
+    elif nxt.isupper() or nxt.istitle() or nxt.isdigit() or not nxt.isalpha():
+        ended = True
+    else:
+        led = _back(line, opened_at)
+        ended = led > 0 and line[led - 1] in ",:،：，"
+    return close if ended else 0
 
 
 def units(text: str | None) -> list[tuple[int, int]]:
@@ -262,9 +334,12 @@ def units(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     if not text:
         return out
+    levels = Levels()
     for m in _LINE.finditer(text):
         line, base, start = m[0], m.start(), 0
-        for end in (*line_ends(line), len(line)):
+        if line.isspace():
+            continue
+        for end in (*line_ends(line, levels), len(line)):
             piece = line[start:end]
             body = piece.strip()
             if body:
