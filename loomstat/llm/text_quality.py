@@ -4,9 +4,10 @@ The decision combines what stands in lines with what stands in words:
 
 * vertical alignment: the delimiter (bar, tab, semicolon, comma, run of blanks)
   that cuts most lines into the same number of cells makes a table;
-* indentation and markers: periodic markers, or short lines that neither end nor
-  continue sentences, make a list; wrapped prose is told from it by the
-  autocorrelation of its line lengths and by sentences that end inside lines;
+* indentation and markers: marked lines, indents that come back with a period
+  (entries with hanging lines, nested entries), or short lines that neither end nor
+  continue sentences make a list; wrapped prose is told from the last by the
+  autocorrelation of its line lengths, which are nearly one length throughout;
 * words and characters: broken encodings, code, machine strings, symbols,
   random letters and repeated words make junk.
 
@@ -57,14 +58,10 @@ _BITS = {n: 1 << i for i, n in enumerate("alnum space lower upper latin vowel un
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint32)
-    for i in range(0x110000):
-        c = chr(i)
-        bits = 0
-        if c.isalnum():
-            bits |= _BITS["alnum"] | (_BITS["lower"] if c.islower() else 0) | (_BITS["upper"] if c.isupper() else 0) | (_BITS["letter"] if c.isalpha() else 0) | (_BITS["digit"] if c.isdigit() else 0)
-        elif c.isspace():
-            bits |= _BITS["space"]
-        table[i] = bits
+    chars = list(map(chr, range(0x110000)))
+    is_a = {name: np.frombuffer(bytes(map(test, chars)), np.bool_) for name, test in (("alnum", str.isalnum), ("space", str.isspace), ("lower", str.islower), ("upper", str.isupper), ("letter", str.isalpha), ("digit", str.isdigit))}
+    for name, found in is_a.items():
+        table[found & (is_a["alnum"] if name != "space" else ~is_a["alnum"])] |= _BITS[name]
     for name, chars in {
         "vowel": "aeiouyàâäéèêëîïíóôöùûüúáñœæAEIOUYÀÂÄÉÈÊËÎÏÍÓÔÖÙÛÜÚÁŒÆ", "code": "{}<>=;$\\|~^`#@*+[]&", "term": ".!?…。！？।؟", "stop": ".", "strong": "。！？", "closer": "\"”»)]」』%",
         "mid": ",;:!?", "broken": "\ufffd", "odd": "þ¤©®¬¢™€Ã", "lead": "ÃÂâàÐÑØÙãäåæçèéêï",
@@ -99,11 +96,28 @@ def _cells(lines: list[str]) -> tuple[float, int, float]:
     return best
 
 
+#: Lags over which line lengths are compared, and the longest period of indents.
+LAGS, PERIOD = 3, 6
+
+
 def _autocorrelation(lengths: np.ndarray) -> float:
-    """Lag-1 autocorrelation of line lengths; 1 for equal lines."""
-    d = lengths - lengths.mean()
-    v = float((d * d).sum())
-    return 1.0 if v == 0 else float((d[1:] * d[:-1]).sum()) / v
+    """Autocorrelation of line lengths about zero, the mean of the lags 1 to LAGS: 1 for lines of one length, 1 / (1 + cv^2) for lengths that don't depend on each other.
+
+    The last line, which ends where its text does, isn't counted.
+    """
+    x = lengths[:-1]
+    found = [float(x[k:] @ x[:-k]) / max(1.0, float(np.sqrt((x[k:] @ x[k:]) * (x[:-k] @ x[:-k])))) for k in range(1, LAGS + 1) if len(x) > k]
+    return sum(found) / len(found) if found else 0.0
+
+
+def _periodicity(indents: np.ndarray) -> float:
+    """The best share of lines whose indent is that of the line a period (2 to PERIOD) before, over what any two lines have; 0 if all indents are equal."""
+    if len(indents) < 6 or (indents == indents[0]).all():
+        return 0.0
+    _, n = np.unique(indents, return_counts=True)
+    chance = float((n * n).sum()) / len(indents) ** 2
+    same = [float((indents[k:] == indents[:-k]).mean()) for k in range(2, min(PERIOD, len(indents) // 2) + 1)]
+    return (max(same) - chance) / (1 - chance)
 
 
 def statistics(text: str) -> dict[str, float]:
@@ -145,7 +159,7 @@ def statistics(text: str) -> dict[str, float]:
     # distinct words in stretches of 60, so that long texts aren't taken for repetitive ones
     shares = [len(set(marks[i : i + 60])) / len(marks[i : i + 60]) for i in range(0, max(1, len(marks) - 20), 60)]
     lengths = np.array([len(x.rstrip()) for x in lines], float)
-    indents = [len(x) - len(x.lstrip()) for x in lines]
+    indents = np.array([len(x) - len(x.lstrip()) for x in lines])
     share, cells, cell_length = _cells(lines) if len(lines) > 1 else (0.0, 0, 0.0)
     code, digits, letters = count("code") / visible, count("digit") / visible, int(np.count_nonzero(letter))
     return {
@@ -158,10 +172,9 @@ def statistics(text: str) -> dict[str, float]:
         "n_lines": float(len(lines)),
         "sentence_ends": float(n_ends),
         "marked_lines": sum(_MARK.match(x) is not None for x in lines) / max(1, len(lines)),
-        "indent_changes": sum(a != b for a, b in zip(indents, indents[1:])) / max(1, len(lines) - 1),
-        "length_autocorrelation": _autocorrelation(lengths) if len(lines) > 2 else 0.0,
+        "indent_period": _periodicity(indents),
+        "length_autocorrelation": _autocorrelation(lengths),
         "median_line": float(np.median(lengths)) if len(lines) else 0.0,
-        "line_spread": float(lengths[:-1].std() / lengths[:-1].mean()) if len(lines) > 2 else 0.0,
         "aligned_lines": share,
         "cells": float(cells),
         "cell_length": cell_length,
@@ -183,7 +196,7 @@ def statistics(text: str) -> dict[str, float]:
 
 
 FIELDS = (
-    "n_words n_tokens mean_word_length symbol_ratio lines_ending_in_punctuation common_words n_lines sentence_ends marked_lines indent_changes length_autocorrelation median_line line_spread "
+    "n_words n_tokens mean_word_length symbol_ratio lines_ending_in_punctuation common_words n_lines sentence_ends marked_lines indent_period length_autocorrelation median_line "
     "aligned_lines cells cell_length broken code tags odd_joins hex_tokens longest_token distinct_words vowels latin unspaced repeated commas dots lower_starts"
 ).split()
 
@@ -220,9 +233,12 @@ def kind(s: dict[str, float]) -> str:
     if lines >= 2 and s["marked_lines"] >= 0.6 and ends_a_line < 0.8:
         return "list"
     if lines >= 3 and ends_a_line <= 0.15 and s["median_line"] < 75 and s["lines_ending_in_punctuation"] < 0.4:
-        wrapped = s["lower_starts"] > 0.3 and s["line_spread"] < 0.25 and s["median_line"] > 35 and s["marked_lines"] < 0.3
+        wrapped = s["lower_starts"] > 0.3 and s["length_autocorrelation"] > 0.94 and s["median_line"] > 35 and s["marked_lines"] < 0.3
         if not wrapped:
             return "list"
+    # entries with hanging or nested lines come back with a period, and hardly a sentence ends in them
+    if lines >= 6 and s["indent_period"] > 0.5 and ends_a_line <= 0.3 and s["commas"] < 0.5:
+        return "list"
     # entries one after the other in a line: many separators, few words between them, hardly an end
     if n >= 8 and s["dots"] >= 3 and s["dots"] / n > 0.08 and s["sentence_ends"] <= 0.4 * s["dots"]:
         return "list"
