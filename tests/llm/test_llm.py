@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import textwrap
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -61,6 +63,12 @@ CASES = {
     "उसने कहा, “ठीक है। चलो।” वह गया।": ["उसने कहा, “ठीक है। चलो।”", "वह गया।"],
     "one line\r\n\ntwo (a. b.) lines\n": ["one line", "two (a. b.) lines"],
     "ก ข 94 เสียง": ["ก", "ข 94 เสียง"],
+    "ก ABC Foundation ข ค": ["ก ABC Foundation ข", "ค"],
+    "1. Budget is due. Roads wait.\n2. Schools 3. Parks": ["1. Budget is due.", "Roads wait.", "2. Schools 3. Parks"],
+    "Agenda: 1. Budget 2. Roads 3. Schools. Then lunch.": ["Agenda: 1. Budget 2. Roads 3. Schools.", "Then lunch."],
+    "They had 2. Then it was over.": ["They had 2.", "Then it was over."],
+    "He (the one [of. many) left. She stayed.": ["He (the one [of. many) left.", "She stayed."],
+    "An open “quote here. It goes on.": ["An open “quote here.", "It goes on."],
     "": [],
     " \n ": [],
 }
@@ -78,6 +86,20 @@ def test_units_hold_all_characters(spark):
     assert sentences.units(None) == []
 
 
+def test_a_line_of_unclosed_openers_takes_one_pass():
+    start = time.perf_counter()
+    for line in ("( a " * 100_000, "( a " * 50_000 + "] " * 50_000, "“ ( „ " * 30_000 + "“ " * 30_000):
+        assert len(sentences.units(line)) == 1
+    assert time.perf_counter() - start < 5
+
+
+def test_levels_close_by_indentation():
+    levels = sentences.Levels()
+    for line, depth in (("1. a", 1), ("  - b", 2), ("  - c", 2), ("    (1) d", 3), ("2. e", 1), ("text", 0)):
+        levels.head(line)
+        assert len(levels.open) == depth
+
+
 # 3
 def test_near_copies_equal_brute_force(spark):
     rows = {r[0]: (r[1], r[2]) for r in read_table(spark, DATA, "articles").select("article_no", "title", "body").collect() if r[2] and r[2].strip()}
@@ -369,6 +391,36 @@ def test_kinds(text, kind):
     assert text_quality.kind(text_quality.statistics(text)) == kind
 
 
+WRAPPED = textwrap.fill(
+    "When the members of the council came together on a cold evening in the old hall by the river, nobody who had followed the long dispute about the bridge, "
+    "the mill and the right of way along the northern bank expected that a plan drawn up by two retired surveyors, a baker and the widow of the former ferryman "
+    "would be read aloud, discussed for hours with great patience and in the end accepted with only three votes against it, among them that of the chair, "
+    "whose family has owned the meadow beside the water for as long as anybody in the valley can remember", 64)
+HANGING = "\n".join(
+    f"{a}\n    {b}"
+    for a, b in (
+        ("Repair of the northern footbridge and both of its wooden approaches across the mill stream", "county works office, signed by the engineer in March, paid from the reserve for floods"),
+        ("Purchase of seed, tools and fencing wire for the community orchard beside the old station", "parish gardeners, approved at the spring meeting, invoice held by the treasurer since May"),
+        ("Survey of drains under the market square with a camera and a written account of all faults", "private contractor from the next town, bid accepted in June, report due before winter"),
+        ("New roof tiles, gutters and a lightning rod for the school that stands above the quarry", "diocese and district in equal parts, scaffold hired for six weeks, completed last autumn"),
+    )
+)
+
+
+@pytest.mark.parametrize(
+    "text, signal, kind, without",
+    [
+        (WRAPPED, "length_autocorrelation", "prose", "list"),
+        (HANGING, "indent_period", "list", "prose"),
+        ("north  12  3\nsouth  15  8\neast   11  9\nwest   10  2", "aligned_lines", "table", "list"),
+        ("- eggs and more.\n- milk. Fresh\n- bread\n- butter and oil.", "marked_lines", "list", "prose"),
+    ],
+)
+def test_each_signal_decides(text, signal, kind, without):
+    s = text_quality.statistics(text)
+    assert text_quality.kind(s) == kind and text_quality.kind(s | {signal: 0.0}) == without
+
+
 def test_blank_text_has_no_kind(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string")
     assert [r["kind"] for r in text_quality.with_kind(df, "doc_id", "text", every=True).collect()] == [None] * 3
