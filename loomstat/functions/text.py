@@ -22,7 +22,7 @@ def mentions(c: Column, terms: list[str]) -> Column:
 
 def sentences(c: Column) -> Column:
     """Pieces after a final mark and white space; a documented rule in place of a parser's model."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def exclusive_party(c: Column, a: list[str], b: list[str]) -> Column:
@@ -35,6 +35,11 @@ def salience(count: Column, total: Column) -> Column:
     return F.try_divide(count, total)
 
 
+def salient(threshold: float, *saliences: Column) -> Column:
+    """Whether any side reaches the threshold."""
+    return F.greatest(*[F.coalesce(s, F.lit(0.0)) for s in saliences], F.lit(0.0)) >= threshold
+
+
 def weight(count: Column, total: Column, how: str = "log_volume") -> Column:
     """Weight of an article from its matching and all sentences."""
     forms = {
@@ -54,10 +59,55 @@ def mask(c: Column, terms: list[str], token: str = TOKEN) -> Column:
     return F.regexp_replace(F.regexp_replace(c, alternation(terms), token), rf"{t}(?:\s+{t})+", token)
 
 
+def _longest_first(terms: list[str]) -> str:
+    return "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+
+
 def remove_titles(c: Column, abbreviated: list[str], full: list[str]) -> Column:
     """Titles removed: abbreviated ones with their full stop before white space or the end, others at word bounds."""
-    short = r"(?i)\b(?:" + "|".join(re.escape(t) for t in sorted(abbreviated, key=lambda t: (-len(t), t))) + r")\.(\s|$)"
-    return tidy(F.regexp_replace(F.regexp_replace(c, short, "$1"), alternation(full), ""))
+    return tidy(_without_titles(c, abbreviated, full))
+
+
+def _without_titles(c: Column, abbreviated: list[str], full: list[str]) -> Column:
+    short = rf"(?i)\b(?:{_longest_first(abbreviated)})\.(\s|$)"
+    return F.regexp_replace(F.regexp_replace(c, short, "$1"), alternation(full), "")
+
+
+def mark_names(c: Column, abbreviated: list[str], full: list[str], protected: list[str]) -> Column:
+    """One or two words after a title set between the marks \\x01 and \\x02, unless a protected term is part of them.
+
+    Case isn't looked at, so any word after a title is a name.
+    """
+    title = rf"(?i)\b((?:{_longest_first(abbreviated)})\.|(?:{_longest_first(full)}))\s+([a-z]{{2,}}(?:[\s-][a-z]{{2,}})?)"
+    marked = F.regexp_replace(c, title, "$1 \x01$2\x02")
+    return F.regexp_replace(marked, rf"(?i)\x01([^\x02]*(?:{_longest_first(protected)})[^\x02]*)\x02", "$1") if protected else marked
+
+
+def clean(c: Column, known: list[str], abbreviated: list[str], full: list[str], labels: list[str], protected: list[str], masking: bool, token: str = TOKEN) -> Column:
+    """Sentences without names, titles and labels: names are masked by the token, or removed.
+
+    Known terms, then unknown names after titles, then titles and labels themselves; adjacent tokens
+    become one; possessives, white space before punctuation and a leading mark go.
+    """
+    named = mark_names(F.regexp_replace(c, alternation(known), token if masking else ""), abbreviated, full, protected)
+    if masking:
+        bare = F.regexp_replace(named, r"\x01[^\x02]*\x02", token)
+    else:
+        bare = F.regexp_replace(named, rf"(?i)\b(?:(?:{_longest_first(abbreviated)})\.|(?:{_longest_first(full)})) \x01[^\x02]*\x02", "")
+    bare = _without_titles(bare, abbreviated, full + labels)
+    one = F.regexp_replace(bare, rf"(?:{re.escape(token)}\s*)+", f"{token} ")
+    close = F.regexp_replace(F.regexp_replace(strip_possessive(one), r"\s+", " "), r" ([.,;:!?])", "$1")
+    return F.trim(F.regexp_replace(close, r"^\s*[.,;:]\s*", ""))
+
+
+def party_pieces(sentences_: Column, topic: list[str], own: list[str], other: list[str]) -> Column:
+    """The sentences on the topic that mention the own side only."""
+    return F.filter(sentences_, lambda s: mentions(s, topic) & mentions(s, own) & ~mentions(s, other))
+
+
+def parallel(original: Column, cleaned: Column) -> Column:
+    """Two arrays as one of pairs, for one explode; the first's order and length count."""
+    return F.transform(original, lambda x, i: F.struct(x.alias("original"), F.get(cleaned, i).alias("cleaned")))
 
 
 def tidy(c: Column) -> Column:
@@ -88,9 +138,9 @@ def stable_id(prefix: str, **parts: Column) -> Column:
     return F.when(some, F.concat(F.lit(prefix), F.sha2(body, 256)))
 
 
-def child_seed(master: int, namespace: str) -> int:
-    """128-bit seed of a named stream."""
-    return int.from_bytes(hashlib.sha256(f"paper3-seed-v1|{master}|{namespace}".encode()).digest()[:16], "big")
+def child_seed(master: int, namespace: str, scheme: str = "loomstat-seed-1") -> int:
+    """128-bit seed of a named stream; ``scheme`` keeps the streams of different programs apart."""
+    return int.from_bytes(hashlib.sha256(f"{scheme}|{master}|{namespace}".encode()).digest()[:16], "big")
 
 
 def search_seed(master: int, namespace: str) -> int:
@@ -152,3 +202,17 @@ def interval_text(lower: Column, upper: Column, places: int = 3) -> Column:
 def p_text(p: Column) -> Column:
     """Six places, scientific under one millionth."""
     return F.when(p < 1e-6, F.format_string("%.2e", p)).otherwise(F.format_string("%.6f", p))
+
+
+def truncated(c: Column, length: int) -> Column:
+    return F.left(c, F.lit(length))
+
+
+def pipe_list(c: Column) -> Column:
+    """An array as text with bars between its entries."""
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "|")
+
+
+def from_pipe_list(c: Column, type_: str = "string") -> Column:
+    """The array of such a text; null for null, empty for empty."""
+    return F.when(c == "", F.array().cast(f"array<{type_}>")).otherwise(F.transform(F.split(c, r"\|"), lambda x: x.try_cast(type_)))

@@ -20,6 +20,44 @@ def normalize_party(c: Column) -> Column:
     return F.when(s.contains("rep"), F.lit("republican")).when(s.contains("dem"), F.lit("democrat"))
 
 
+def party_or_error(c: Column) -> Column:
+    """As normalize_party, but a value that names no party is an error."""
+    return F.coalesce(normalize_party(c), F.raise_error(F.concat(F.lit("no party: "), F.coalesce(c, F.lit("null")))))
+
+
+def successful(df: DataFrame, error: str = "llm_error_type") -> DataFrame:
+    """Rows that were scored without an error of any kind."""
+    return df.where(F.col(error) == "success")
+
+
+def with_fallback(df: DataFrame, name: str, other: str) -> DataFrame:
+    """The column ``name``, or ``other`` under that name if there is none."""
+    return df if name in df.columns else df.withColumn(name, F.col(other))
+
+
+def with_row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """Rows numbered from 0 in their order, as they were read: a count of each partition, and places within it.
+
+    ``df`` should be a scan or a written table, whose partitions are the same whenever they are read.
+    """
+    parted = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return parted.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def align(universe: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key of the universe, with null where the cells have none."""
+    return universe.select(*keys).distinct().join(cells, keys, "left")
+
+
+def lookup_last(df: DataFrame, dictionary: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """``value`` of the last row of the dictionary with the same key, as ``name``."""
+    last = dictionary.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(value, order).alias(name))
+    return df.join(last, key, "left")
+
+
 def article_party_rollup(scored: DataFrame, article: str = "article", party: str = "party", order: str = "row_no", carry: tuple[str, ...] = ("year_month",)) -> DataFrame:
     """Mean and number of scores of each dimension for each article and party, in one aggregation."""
     rows = scored.where(F.col(article).isNotNull() & F.col(party).isNotNull())

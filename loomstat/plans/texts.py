@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.functions import text as X
+from loomstat.operators import measure as M
 from loomstat.sources import files as S
 from loomstat.session import read_table
 
@@ -15,6 +16,8 @@ SIDE_A = ["committee", "chair", "majority", "budget"]
 SIDE_B = ["senator", "minority", "veteran", "auditor"]
 ABBREVIATED = ["Sen", "Rep", "Gov", "Dr", "Gen", "Amb"]
 FULL = ["Senator", "Governor", "Chair"]
+LABELS = ["Republican", "Democrat", "GOP"]
+PROTECTED = ["committee", "office", "minister"]
 
 
 def _sentences(spark: SparkSession, root: str) -> DataFrame:
@@ -48,6 +51,65 @@ def remove_titles(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.length("cleaned") > 10)
 
 
+def party_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """Each side's sentences masked by its own terms, original and masked text exploded together."""
+    docs = read_table(spark, root, "documents").where("text is not null").select("doc_id", X.sentences(F.col("text")).alias("s"))
+
+    def side(name: str, own: list[str], other: list[str]) -> DataFrame:
+        own_ = docs.select("doc_id", X.party_pieces(F.col("s"), TOPIC, own, other).alias("o"))
+        both = own_.select("doc_id", X.parallel(F.col("o"), F.transform("o", lambda x: X.mask(x, own))).alias("p"))
+        return both.select("doc_id", F.lit(name).alias("party"), F.posexplode("p").alias("pos", "p")).select("doc_id", "party", "pos", F.md5("p.original").alias("original_md5"), F.md5("p.cleaned").alias("cleaned_md5"))
+
+    return side("a", SIDE_A, SIDE_B).unionByName(side("b", SIDE_B, SIDE_A))
+
+
+def _cleaned(spark: SparkSession, root: str, masking: bool) -> DataFrame:
+    rows = read_table(spark, root, "manual_coding_full").groupBy("sample_id", "cleaned_sentence", "party_mentioned", "date").agg(F.count(F.lit(1)).alias("n"))
+    made = rows.withColumn("cleaned", X.clean(F.col("cleaned_sentence"), TOPIC + SIDE_A + SIDE_B, ABBREVIATED, FULL, LABELS, PROTECTED, masking)).where(F.length("cleaned") > 10)
+    kept = M.keep_first(made, ["cleaned", "party_mentioned", "date"], ["sample_id", "cleaned_sentence"])
+    return kept.select("sample_id", "cleaned", X.token_count(F.col("cleaned")).cast("bigint").alias("n_tokens"))
+
+
+def clean_masking(spark: SparkSession, root: str) -> DataFrame:
+    """Names masked, titles and labels removed, short and repeated sentences dropped."""
+    return _cleaned(spark, root, True)
+
+
+def clean_removal(spark: SparkSession, root: str) -> DataFrame:
+    """The same with names removed."""
+    return _cleaned(spark, root, False)
+
+
+def salience_filter(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose share of sentences on the topic reaches a fiftieth for either side."""
+    is_of = lambda own, other: F.count_if(X.mentions(F.col("sentence"), TOPIC) & X.mentions(F.col("sentence"), own) & ~X.mentions(F.col("sentence"), other))
+    rows = _sentences(spark, root).groupBy("doc_id").agg(is_of(SIDE_A, SIDE_B).alias("a"), is_of(SIDE_B, SIDE_A).alias("b"), F.count(F.lit(1)).alias("n"))
+    kept = rows.withColumns({"salience_a": X.salience(F.col("a"), F.col("n")), "salience_b": X.salience(F.col("b"), F.col("n"))}).where(X.salient(0.02, F.col("salience_a"), F.col("salience_b")))
+    return kept.select("doc_id", F.round("salience_a", 6).alias("salience_a"), F.round("salience_b", 6).alias("salience_b"))
+
+
+def result_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Requests answered in the form of a batch's result lines, some without an id, parsed back."""
+    e = read_table(spark, root, "events")
+    body = F.struct(F.array(F.struct(F.struct(F.col("props").alias("content")).alias("message"))).alias("choices"))
+    id_ = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("sentence_"), F.col("event_id").cast("string"))).otherwise(F.lit("other"))
+    lines = e.select(F.to_json(F.struct(id_.alias("custom_id"), F.struct(body.alias("body")).alias("response"))).alias("line"))
+    return lines.select(X.result_index(F.col("line")).alias("row_index"), X.score_of(X.result_content(F.col("line")), "k").alias("k")).groupBy("row_index").agg(F.count(F.lit(1)).alias("n_lines"), F.count("k").alias("n_scored"), F.max("k").alias("highest"))
+
+
+def pipe_lists(spark: SparkSession, root: str) -> DataFrame:
+    """A day's event types as a list with bars, its length when read back, and its first 20 characters."""
+    days = read_table(spark, root, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_set("event_type")).alias("types"))
+    return days.select("day", X.pipe_list(F.col("types")).alias("types")).select("day", "types", F.size(X.from_pipe_list(F.col("types"))).alias("n_types"), X.truncated(F.col("types"), 20).alias("short"))
+
+
+def original_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """Each document with the first sentence of the last document of its title."""
+    docs = read_table(spark, root, "documents").select("doc_id", "title", X.sentences(F.col("text")).alias("s"))
+    found = M.lookup_last(docs.select("doc_id", "title"), docs.select("title", "doc_id", F.struct(F.get("s", F.lit(0)).alias("first")).alias("v")), "title", "doc_id", "v", "v")
+    return found.select("doc_id", F.md5("v.first").alias("first_md5"))
+
+
 def stable_article_id(spark: SparkSession, root: str) -> DataFrame:
     docs = read_table(spark, root, "documents")
     return docs.select("doc_id", X.stable_id("art_v1_", title=F.col("title"), source=F.col("source")).alias("stable_id"))
@@ -93,14 +155,38 @@ def daily_weighted_events(spark: SparkSession, root: str) -> DataFrame:
 _ALT = lambda terms: "(?i)\\b(" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + ")\\b"
 #: The same with word bounds that know letters outside ASCII.
 _WORDS = lambda terms: "(?i)(?:^|[^\\pL\\pN_])(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + ")(?:$|[^\\pL\\pN_])"
-_SENT = "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM s)"
+_SENT = "WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\\s\\pZ\\x0b\\x{85}]+|[\\s\\pZ\\x0b\\x{85}]+$', '', 'g')), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, unnest(a) AS sentence, generate_subscripts(a, 1) - 1 AS pos FROM s)"
 _TITLE = "(?i)\\b(?:" + "|".join(sorted(ABBREVIATED, key=lambda t: (-len(t), t))) + ")\\.(\\s|$)"
+
+
+def _clean_sql(masking: bool) -> str:
+    known, short = _ALT(TOPIC + SIDE_A + SIDE_B), "|".join(sorted(ABBREVIATED, key=lambda t: (-len(t), t)))
+    full = "|".join(sorted(FULL, key=lambda t: (-len(t), t)))
+    name = f"(?i)\\b((?:{short})\\.|(?:{full}))\\s+([a-z]{{2,}}(?:[\\s-][a-z]{{2,}})?)"
+    bare = "regexp_replace(p, '\\x01[^\\x02]*\\x02', '[ENTITY]', 'g')" if masking else f"regexp_replace(p, '(?i)\\b(?:(?:{short})\\.|(?:{full})) \\x01[^\\x02]*\\x02', '', 'g')"
+    return f"""WITH r AS (SELECT DISTINCT sample_id, cleaned_sentence, party_mentioned, date FROM manual_coding_full),
+k AS (SELECT *, regexp_replace(regexp_replace(cleaned_sentence, '{known}', '{'[ENTITY]' if masking else ''}', 'g'), '{name}', '\\1 ' || chr(1) || '\\2' || chr(2), 'g') AS m FROM r),
+p AS (SELECT *, regexp_replace(m, '(?i)\\x01([^\\x02]*(?:{'|'.join(sorted(PROTECTED, key=lambda t: (-len(t), t)))})[^\\x02]*)\\x02', '\\1', 'g') AS p FROM k),
+b AS (SELECT *, regexp_replace(regexp_replace({bare}, '{_TITLE}', '\\1', 'g'), '{_ALT(FULL + LABELS)}', '', 'g') AS b FROM p),
+o AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '(?:\\[ENTITY\\]\\s*)+', '[ENTITY] ', 'g'), '[`'']s\\b', '', 'g'), '\\s+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g') AS o FROM b),
+c AS (SELECT *, trim(regexp_replace(o, '^\\s*[.,;:]\\s*', '')) AS cleaned FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY cleaned, party_mentioned, date ORDER BY sample_id, cleaned_sentence NULLS FIRST) AS n FROM c WHERE length(cleaned) > 10)
+SELECT sample_id, cleaned, CAST((length(cleaned) - length(replace(cleaned, '[ENTITY]', ''))) // 8 AS BIGINT) AS n_tokens FROM n WHERE n = 1"""
+
+
 ORACLE = {
     "sentence_split_counts": f"{_SENT} SELECT doc_id, CAST(len(a) AS INTEGER) AS n_sentences FROM s",
     "topic_exclusive_attribution": f"{_SENT}, m AS (SELECT doc_id, pos, regexp_matches(sentence, '{_WORDS(SIDE_A)}') AS a, regexp_matches(sentence, '{_WORDS(SIDE_B)}') AS b FROM e WHERE regexp_matches(sentence, '{_WORDS(TOPIC)}')) SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN a THEN 'a' ELSE 'b' END AS party FROM m WHERE a <> b",
     "weight_transforms": f"{_SENT}, k AS (SELECT doc_id, count(*) FILTER (regexp_matches(sentence, '{_WORDS(TOPIC)}')) AS k, count(*) AS n FROM e GROUP BY 1) SELECT doc_id, k, n, round(k / n, 6) AS linear, round(sqrt(k / n), 6) AS sqrt, round(ln(1 + k) / ln(1 + n), 6) AS log, round(ln(1 + k), 6) AS log_volume FROM k",
     "mask_terms": f"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '{_ALT(TOPIC + SIDE_A)}', '[ENTITY]', 'g'), '\\[ENTITY\\](?:\\s+\\[ENTITY\\])+', '[ENTITY]', 'g') AS masked FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST((length(masked) - length(replace(masked, '[ENTITY]', ''))) // 8 AS BIGINT) AS n_tokens, md5(masked) AS masked_md5 FROM m",
     "remove_titles": f"WITH c AS (SELECT DISTINCT sample_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(cleaned_sentence, '[`'']s\\b', '', 'g'), '{_TITLE}', '\\1', 'g'), '{_ALT(FULL)}', '', 'g'), '\\s+', ' ', 'g'), ' ([.,;:!?])', '\\1', 'g'), '^[\\s.,;:!?]+', '')) AS cleaned FROM manual_coding_full) SELECT sample_id, cleaned FROM c WHERE length(cleaned) > 10",
+    "party_sentences": f"{_SENT}, m AS (SELECT doc_id, pos, sentence, regexp_matches(sentence, '{_WORDS(SIDE_A)}') AS a, regexp_matches(sentence, '{_WORDS(SIDE_B)}') AS b FROM e WHERE regexp_matches(sentence, '{_WORDS(TOPIC)}')), q AS (SELECT doc_id, pos, sentence, CASE WHEN a THEN 'a' ELSE 'b' END AS party, CASE WHEN a THEN regexp_replace(sentence, '{_ALT(SIDE_A)}', '[ENTITY]', 'g') ELSE regexp_replace(sentence, '{_ALT(SIDE_B)}', '[ENTITY]', 'g') END AS c FROM m WHERE a <> b) SELECT doc_id, party, CAST(row_number() OVER (PARTITION BY doc_id, party ORDER BY pos) - 1 AS INTEGER) AS pos, md5(sentence) AS original_md5, md5(regexp_replace(c, '\\[ENTITY\\](?:\\s+\\[ENTITY\\])+', '[ENTITY]', 'g')) AS cleaned_md5 FROM q",
+    "clean_masking": _clean_sql(True),
+    "clean_removal": _clean_sql(False),
+    "salience_filter": f"{_SENT}, k AS (SELECT doc_id, count(*) FILTER (t AND a AND NOT b) AS a, count(*) FILTER (t AND b AND NOT a) AS b, count(*) AS n FROM (SELECT doc_id, regexp_matches(sentence, '{_WORDS(TOPIC)}') AS t, regexp_matches(sentence, '{_WORDS(SIDE_A)}') AS a, regexp_matches(sentence, '{_WORDS(SIDE_B)}') AS b FROM e) GROUP BY 1) SELECT doc_id, round(a / n, 6) AS salience_a, round(b / n, 6) AS salience_b FROM k WHERE greatest(a, b) / n >= 0.02",
+    "result_lines": "WITH e AS (SELECT CASE WHEN event_id % 7 <> 0 THEN event_id ELSE -1 END AS row_index, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) SELECT row_index, count(*) AS n_lines, count(*) FILTER (v BETWEEN 0 AND 100) AS n_scored, max(v) FILTER (v BETWEEN 0 AND 100) AS highest FROM e GROUP BY 1",
+    "pipe_lists": "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types, count(DISTINCT event_type) AS n FROM events GROUP BY 1) SELECT day, types, CAST(n AS INTEGER) AS n_types, left(types, 20) AS short FROM d",
+    "original_sentences": f"{_SENT}, l AS (SELECT title, max(doc_id) AS doc_id FROM documents WHERE title IS NOT NULL GROUP BY 1), f AS (SELECT l.title, a[1] AS first FROM l LEFT JOIN s USING (doc_id)) SELECT d.doc_id, md5(first) AS first_md5 FROM documents d LEFT JOIN f USING (title)",
     "stable_article_id": "SELECT doc_id, CASE WHEN title IS NOT NULL AND source IS NOT NULL THEN 'art_v1_' || sha256('{\"source\":' || CAST(to_json(source) AS VARCHAR) || ',\"title\":' || CAST(to_json(title) AS VARCHAR) || '}') END AS stable_id FROM documents",
     "json_score_parse": "WITH e AS (SELECT event_id, props, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v, json_extract_string(props, '$.k') AS raw FROM events) SELECT event_id, CASE WHEN v BETWEEN 0 AND 100 THEN v END AS k, CASE WHEN props IS NULL OR NOT json_valid(props) THEN 'json_error' WHEN raw IS NOT NULL AND raw NOT IN ('NA', 'na') AND (v IS NULL OR v NOT BETWEEN 0 AND 100) THEN 'range_error' ELSE 'success' END AS error_type FROM e",
     "result_left_join": "WITH l AS (SELECT user_id, arg_max(struct_pack(k := CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 0 AND 100 THEN TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) END), event_id).k AS k FROM events GROUP BY 1) SELECT c_custkey AS custom_id, k, CASE WHEN user_id IS NULL THEN 'not_scored' ELSE 'success' END AS llm_error_type FROM customer LEFT JOIN l ON user_id = c_custkey",
