@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.dist import student_two_sided
+from loomstat.operators.measure import group_quartiles
+from loomstat.operators.resample import drawn
 
 _MOMENTS = dict(n="count(x)", mx="avg(x)", my="avg(y)", vx="var_pop(x)", vy="var_pop(y)", cxy="covar_pop(x, y)")
 
@@ -83,3 +85,39 @@ def exact_agreement(a: DataFrame, b: DataFrame, key: str, columns: list[str]) ->
     both = a.alias("a").join(b.alias("b"), key)
     rows = both.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("int")).alias(c) for c in columns])
     return rows.unpivot("n", columns, "dimension", "agreement")
+
+
+def describe(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles by group."""
+    rows = df.select(group, F.col(value).cast("double").alias("x"))
+    moments = rows.groupBy(group).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lowest"), F.max("x").alias("highest"))
+    return moments.join(group_quartiles(rows, [group], "x"), group).select(group, "n", "mean", "sd", "lowest", "q25", "median", "q75", "highest")
+
+
+def shares(df: DataFrame, column: str) -> DataFrame:
+    """Rows of each value, null included, and their share of all."""
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row for each value
+
+
+def artifact_checks(df: DataFrame, text: str, score: str, token: str) -> DataFrame:
+    """Mean score of texts with and without the token, and the correlation of score and length."""
+    masked = F.contains(F.col(text), F.lit(token))
+    return df.agg(
+        F.count(F.when(masked, F.col(score))).alias("n_masked"), F.count(F.when(~masked, F.col(score))).alias("n_unmasked"),
+        F.avg(F.when(masked, F.col(score))).alias("mean_masked"), F.avg(F.when(~masked, F.col(score))).alias("mean_unmasked"), F.corr(score, F.length(text)).alias("length_correlation"),
+    )
+
+
+def agreement_bootstrap(df: DataFrame, cluster: str, x: str, y: str, replicates: int) -> DataFrame:
+    """(statistic, n_replicates, mean, ci_lower, ci_upper) of the bias and the mean absolute difference, drawing clusters whole."""
+    rows = df.select(cluster, (F.col(x) - F.col(y)).cast("double").alias("d"))
+    each = drawn(rows, cluster, ["d"], replicates).groupBy("replicate").agg(F.expr("sum(c * d) / sum(c)").alias("bias"), F.expr("sum(c * abs(d)) / sum(c)").alias("mae"))
+    long = each.unpivot(["replicate"], ["bias", "mae"], "statistic", "v")
+    p = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    return long.groupBy("statistic").agg(F.count("v").alias("n_replicates"), F.avg("v").alias("mean"), p[0].alias("ci_lower"), p[1].alias("ci_upper"))
+
+
+def with_p(tests: DataFrame) -> DataFrame:
+    """The single row of ``ttest_moments`` with two-sided p-values."""
+    r = tests.first()
+    return tests.withColumns({"p_student": F.lit(student_two_sided(r["t_student"], r["n1"] + r["n2"] - 2)), "p_welch": F.lit(student_two_sided(r["t_welch"], r["df_welch"]))})

@@ -104,21 +104,28 @@ def configurations(n: int, least: int, most: int) -> Iterator[tuple[int, ...]]:
     return grow((), 1)
 
 
-def search(spark: SparkSession, y: list[float], name: str, least: int = 3, most: int = 4, orders: tuple[int, ...] = (0, 1, 2), keep: int = 20, trend: bool = False) -> DataFrame:
-    """The best configurations of one series: every set of onsets and order, grid likelihoods in tasks, the best refined.
+def shortest_regime(onsets: tuple[int, ...], n: int) -> int:
+    """Months of the shortest regime."""
+    at = (1, *onsets, n + 1)
+    return min(b - a for a, b in zip(at, at[1:]))
 
-    The result has the objective BIC + m ln n, as whether an onset is searched costs its place too.
+
+def search(spark: SparkSession, y: list[float], name: str, durations: tuple[int, ...] = (3, 4, 5, 6), most: int = 4, orders: tuple[int, ...] = (0, 1, 2), keep: int = 20, trend: bool = False) -> DataFrame:
+    """The ``keep`` best configurations of one series for each least duration of a regime: every set of onsets and order is tried.
+
+    Likelihoods come from a grid of coefficients first; of each task's sets the ``keep`` best for each duration and order are
+    refined. The result has the objective BIC + m ln n, as whether an onset is searched costs its place too.
     """
-    n = len(y)
+    n, least = len(y), min(durations)
     v = np.array(y, float)
     firsts = list(range(1 + least, n - least + 2))
-    seeds = spark.createDataFrame([(k, int(tau)) for k in orders for tau in (0, *firsts)], "p int, first int").repartition(min(64, len(firsts) * len(orders)))
+    seeds = spark.createDataFrame([(k, int(tau)) for k in orders for tau in (0, *firsts)], "p int, first int").repartition(max(1, min(64, len(firsts) * len(orders))))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         steps = design(n, tuple(range(2, n + 1)), trend)  # column 0 is the mean, column tau - 1 the step at tau
         for batch in batches:
             for p, first in zip(batch["p"], batch["first"]):
-                sets = [()] if first == 0 else [(first, *rest[0:]) for rest in _tails(n, int(first), least, most - 1)]
+                sets = [()] if first == 0 else [(first, *rest) for rest in _tails(n, int(first), least, most - 1)]
                 by_size: dict[int, list[tuple[int, ...]]] = {}
                 for s in sets:
                     by_size.setdefault(len(s), []).append(s)
@@ -132,15 +139,52 @@ def search(spark: SparkSession, y: list[float], name: str, least: int = 3, most:
                     for m in by_size:
                         rss = _rss(gram, cross, yy, at[m])
                         np.maximum(best[m], -n / 2 * (np.log(2 * np.pi * np.maximum(rss, 1e-300) / n) + 1) - log_det / 2, out=best[m])
-                rows = []
-                for m, ll in best.items():
-                    value = -2 * ll + (2 * m + 2 + int(trend) + p) * math.log(n)
-                    rows += [(value[i], by_size[m][i]) for i in np.argsort(value, kind="stable")[:keep]]
-                fits = [(s, fit(v, s, int(p), trend)) for _, s in sorted(rows)[:keep]]
-                yield pd.DataFrame({"series": name, "n_breakpoints": [len(s) for s, _ in fits], "ar_order": int(p), "onsets": [list(s) for s, _ in fits], "loglik": [f["loglik"] for _, f in fits], "raw_bic": [f["bic"] for _, f in fits], "objective": [f["objective"] for _, f in fits]})
+                kept: set[tuple[int, ...]] = set()
+                shortest = {m: np.array([shortest_regime(s, n) for s in group]) for m, group in by_size.items()}
+                for d in durations:
+                    rows = []
+                    for m, ll in best.items():
+                        value = np.where(shortest[m] >= d, -2 * ll + (2 * m + 2 + int(trend) + p) * math.log(n), np.inf)
+                        top = np.argpartition(value, min(keep, len(value)) - 1)[:keep]
+                        rows += [(value[i], by_size[m][i]) for i in top if np.isfinite(value[i])]
+                    kept |= {s for _, s in sorted(rows)[:keep]}
+                fits = [(s, fit(v, s, int(p), trend)) for s in sorted(kept)]
+                yield pd.DataFrame({"series": name, "n_breakpoints": [len(s) for s, _ in fits], "ar_order": int(p), "onsets": [list(s) for s, _ in fits], "shortest": [shortest_regime(s, n) for s, _ in fits], "loglik": [f["loglik"] for _, f in fits], "raw_bic": [f["bic"] for _, f in fits], "objective": [f["objective"] for _, f in fits]})
+
+    schema = "series string, n_breakpoints int, ar_order int, onsets array<int>, shortest int, loglik double, raw_bic double, objective double"
+    found = map_frames(seeds, run, schema)
+    each = found.withColumn("min_duration", F.explode(F.filter(F.array(*map(F.lit, durations)), lambda d: d <= F.col("shortest"))))
+    place = Window.partitionBy("series", "min_duration").orderBy("objective", "ar_order", "n_breakpoints", "onsets")
+    return each.withColumn("place", F.row_number().over(place)).where(F.col("place") <= keep)
+
+
+def winners(found: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """The best configuration of each series and least duration; within the tolerance the one of lower order, then fewer onsets."""
+    of_cell = Window.partitionBy("series", "min_duration")
+    near = found.withColumn("_low", F.min("objective").over(of_cell)).where(F.col("objective") <= F.col("_low") + tolerance)
+    return near.withColumn("_n", F.row_number().over(of_cell.orderBy("ar_order", "n_breakpoints", "objective", "onsets"))).where("_n = 1").drop("_n", "_low", "place")
+
+
+def fitted_series(y: np.ndarray, months: list[str], taus: tuple[int, ...], p: int, trend: bool = False) -> pd.DataFrame:
+    """Months with their value, structural mean, innovation in units of its deviation, and regime."""
+    f = fit(y, taus, p, trend)
+    regime = 1 + sum((np.arange(1, len(y) + 1) >= tau).astype(int) for tau in taus) if taus else np.ones(len(y), int)
+    return pd.DataFrame({"year_month": months, "observed": y, "structural_mean": f["mean"], "standardized_innovation": f["innovation"], "regime": regime})
 
-    schema = "series string, n_breakpoints int, ar_order int, onsets array<int>, loglik double, raw_bic double, objective double"
-    return map_frames(seeds, run, schema).orderBy("objective", "ar_order", "n_breakpoints").limit(keep)
+
+def candidate_models(series: DataFrame, models: DataFrame) -> DataFrame:
+    """Given sets of onsets (model, onsets) compared on one series with independent errors: BIC, objective and their distance from the best.
+
+    Months by models by regimes in two aggregations; the models are few parameters.
+    """
+    regime = F.size(F.filter("onsets", lambda o: o <= F.col("t") + 1))
+    each = series.crossJoin(F.broadcast(models)).withColumn("regime", regime)  # months by parameter rows
+    inner = each.groupBy("series", "model", "regime").agg((F.var_pop("y") * F.count("y")).alias("rss"), F.count("y").alias("n"), F.first(F.size("onsets")).alias("m"))
+    fit_ = inner.groupBy("series", "model").agg(F.sum("rss").alias("rss"), F.sum("n").alias("n"), F.max("m").alias("n_breakpoints"))
+    bic = F.expr(f"n * (ln(2 * {math.pi!r} * rss / n) + 1) + (n_breakpoints + 2) * ln(n)")
+    made = fit_.withColumn("bic", bic).withColumn("objective", F.expr("bic + n_breakpoints * ln(n)"))
+    best = Window.partitionBy("series")
+    return made.withColumns({"delta_bic": F.col("bic") - F.min("bic").over(best), "delta_objective": F.col("objective") - F.min("objective").over(best)})
 
 
 def _rss(gram: np.ndarray, cross: np.ndarray, yy: float, at: np.ndarray) -> np.ndarray:
@@ -207,12 +251,14 @@ def diagnostics(y: np.ndarray, taus: tuple[int, ...], p: int) -> dict[str, float
     return {"acf1": r[0], "acf2": r[1], "q4": q4, "p4": p4, "q8": q8, "p8": p8}
 
 
-def compare_classes(spark: SparkSession, y: list[float], name: str, least: int = 4, most: int = 2) -> DataFrame:
-    """Trend only, breaks only and both: best of each class and its distance from the best of all."""
+def compare_classes(spark: SparkSession, y: list[float], name: str, durations: tuple[int, ...] = (3, 4, 5, 6), most: int = 4, tolerance: float = 1e-8) -> DataFrame:
+    """Trend only, breaks only and both, for each least duration: best of each class, its distance from the best of all, and which is selected."""
     v = np.array(y, float)
     trend = min((fit(v, (), p, True) | {"p": p} for p in (0, 1, 2)), key=lambda f: f["objective"])
-    rows = spark.createDataFrame([("trend_only", int(trend["p"]), 0, [], float(trend["loglik"]), float(trend["objective"]))], "model_class string, ar_order int, n_breakpoints int, onsets array<int>, loglik double, objective double")
+    rows = [(d, "trend_only", int(trend["p"]), 0, [], float(trend["loglik"]), float(trend["objective"])) for d in durations]
+    both = spark.createDataFrame(rows, "min_duration int, model_class string, ar_order int, n_breakpoints int, onsets array<int>, loglik double, objective double")
     for label, with_trend in (("break_only", False), ("break_plus_trend", True)):
-        found = search(spark, y, name, least, most, keep=20, trend=with_trend).where("n_breakpoints > 0").orderBy("objective").limit(1)
-        rows = rows.unionByName(found.select(F.lit(label).alias("model_class"), "ar_order", "n_breakpoints", "onsets", "loglik", "objective"))
-    return rows.withColumn("delta", F.col("objective") - F.min("objective").over(Window.partitionBy(F.lit(1))))
+        found = winners(search(spark, y, name, durations, most, trend=with_trend).where("n_breakpoints > 0"))
+        both = both.unionByName(found.select("min_duration", F.lit(label).alias("model_class"), "ar_order", "n_breakpoints", "onsets", "loglik", "objective"))
+    low = F.min("objective").over(Window.partitionBy("min_duration"))
+    return both.withColumn("delta", F.col("objective") - low).withColumn("selected", F.col("delta") <= tolerance)

@@ -53,10 +53,15 @@ def calendar_gaps(df: DataFrame, start: str, end: str) -> DataFrame:
     return missing.unionByName(have.join(want, "year_month", "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
+def panel_cells(df: DataFrame, panel: str, value: str) -> DataFrame:
+    """(panel, n_cells, n_valid): how many cells each panel has, and how many are finite."""
+    ok = F.col(value).isNotNull() & ~F.isnan(value)
+    return df.groupBy(panel).agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(ok).alias("n_valid"))
+
+
 def complete_panels(df: DataFrame, panel: str, value: str, cells: int) -> DataFrame:
     """Panels in which all of the given number of cells are present and finite."""
-    ok = F.col(value).isNotNull() & ~F.isnan(value)
-    return df.groupBy(panel).agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(ok).alias("n_valid")).where((F.col("n_cells") == cells) & (F.col("n_valid") == cells))
+    return panel_cells(df, panel, value).where((F.col("n_cells") == cells) & (F.col("n_valid") == cells))
 
 
 def require_share(valid: int, total: int, share: float) -> None:

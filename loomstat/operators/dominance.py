@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import child_seed
@@ -51,13 +51,37 @@ def general_dominance(panel: np.ndarray) -> np.ndarray:
     return out
 
 
-def stationary_indices(rng: np.random.Generator, n: int, block: int) -> np.ndarray:
-    """Months of one draw: a block starts anew with probability 1 / block and runs around the end."""
-    restart = rng.random(n) < 1 / block
-    restart[0] = True
-    starts = rng.integers(0, n, n)
-    at = np.maximum.accumulate(np.where(restart, np.arange(n), 0))
-    return (starts[at] + np.arange(n) - at) % n
+def general_dominance_of(panels: np.ndarray) -> np.ndarray:
+    """Contributions of three predictors in each of many panels (panels, months, 4), from their correlations in closed form."""
+    z = panels - panels.mean(axis=1, keepdims=True)
+    cov = np.einsum("sti,stj->sij", z, z)
+    sd = np.sqrt(np.einsum("sii->si", cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.nan_to_num(cov / (sd[:, :, None] * sd[:, None, :]))
+        y, (a, b, c) = r[:, 0, 1:], (r[:, 1, 2], r[:, 1, 3], r[:, 2, 3])
+        one = y * y
+        two = {(i, j): (one[:, i] + one[:, j] - 2 * y[:, i] * y[:, j] * x) / (1 - x * x) for (i, j), x in (((0, 1), a), ((0, 2), b), ((1, 2), c))}
+        det = 1 + 2 * a * b * c - a * a - b * b - c * c
+        full = (one[:, 0] * (1 - c * c) + one[:, 1] * (1 - b * b) + one[:, 2] * (1 - a * a) + 2 * y[:, 0] * y[:, 1] * (b * c - a) + 2 * y[:, 0] * y[:, 2] * (a * c - b) + 2 * y[:, 1] * y[:, 2] * (a * b - c)) / det
+    clip = lambda x: np.clip(x, 0, 1)
+    out = np.empty((len(panels), 3))
+    for i in range(3):
+        j, k = [x for x in range(3) if x != i]
+        ij, ik, jk = (two[tuple(sorted(p))] for p in ((i, j), (i, k), (j, k)))
+        out[:, i] = (clip(one[:, i]) + (clip(ij) - clip(one[:, j]) + clip(ik) - clip(one[:, k])) / 2 + clip(full) - clip(jk)) / 3
+    # without variance, or with predictors that depend on each other, by the general way
+    for s in np.flatnonzero((sd == 0).any(axis=1) | (det < 1e-9)):
+        out[s] = general_dominance(panels[s])
+    return out
+
+
+def stationary_indices(rng: np.random.Generator, n: int, block: int, draws: int = 1) -> np.ndarray:
+    """Months of each draw: a block starts anew with probability 1 / block and runs around the end."""
+    restart = rng.random((draws, n)) < 1 / block
+    restart[:, 0] = True
+    starts = rng.integers(0, n, (draws, n))
+    at = np.maximum.accumulate(np.where(restart, np.arange(n), 0), axis=1)
+    return (np.take_along_axis(starts, at, axis=1) + np.arange(n) - at) % n
 
 
 _DRAW = "block_length int, layer string, replicate bigint, q2 double, q3 double, q4 double, full_r2 double"
@@ -70,26 +94,39 @@ def stationary_bootstrap(spark: SparkSession, panels: np.ndarray, blocks: tuple[
     Without a replicate there is only the temporal layer. The panels are months by dimensions of a bounded number of replicates and travel with the task.
     """
     chunks = [(b, i, min(chunk, replicates - i)) for b in blocks for i in range(0, replicates, chunk)]
-    work = spark.createDataFrame(chunks, "block int, start int, size int").repartition(len(chunks))
+    work = spark.createDataFrame(chunks, "block int, start int, size int").repartition(min(len(chunks), spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, start, size in batch.itertuples(index=False):
                 rng = np.random.default_rng(child_seed(seed, f"stationary_{block}_{start}"))
-                rows = []
-                for i in range(size):
-                    at = stationary_indices(rng, panels.shape[1], int(block))
-                    layers = [("temporal", panels[0])]
-                    if len(panels) > 1:
-                        layers.append(("temporal_and_measurement", panels[int(rng.integers(1, len(panels)))]))
-                    for layer, panel in layers:
-                        g = general_dominance(panel[at])
-                        rows.append((int(block), layer, int(start + i), *g, float(g.sum())))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DRAW.split(", ")])
+                at = stationary_indices(rng, panels.shape[1], int(block), int(size))
+                layers = [("temporal", panels[0][at])]
+                if len(panels) > 1:
+                    pick = rng.integers(1, len(panels), int(size))
+                    layers.append(("temporal_and_measurement", panels[pick[:, None], at]))
+                for layer, panel in layers:
+                    g = general_dominance_of(panel)
+                    yield pd.DataFrame({"block_length": int(block), "layer": layer, "replicate": np.arange(start, start + size), "q2": g[:, 0], "q3": g[:, 1], "q4": g[:, 2], "full_r2": g.sum(axis=1)})
 
     return map_frames(work, run, _DRAW)
 
 
+def simultaneous_contrasts(draws: DataFrame, level: float = 0.95) -> DataFrame:
+    """By block length and layer: both contrasts of q4 with one joint band, half as wide as the level of the larger of their deviations from the mean."""
+    d = draws.select("block_length", "layer", (F.col("q4") - F.col("q2")).alias("a"), (F.col("q4") - F.col("q3")).alias("b"))
+    means = d.groupBy("block_length", "layer").agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    off = F.greatest(F.abs(F.col("a") - F.col("mean_a")), F.abs(F.col("b") - F.col("mean_b")))
+    banded = d.join(means, ["block_length", "layer"]).groupBy("block_length", "layer").agg(F.first("mean_a").alias("q4_minus_q2"), F.first("mean_b").alias("q4_minus_q3"), F.percentile(off, level).alias("radius"))
+    return banded.withColumn("both_positive", (F.col("q4_minus_q2") > F.col("radius")) & (F.col("q4_minus_q3") > F.col("radius")))
+
+
+def ranking(dominance: DataFrame) -> DataFrame:
+    """Predictors in the order of their contribution, with their share of the whole."""
+    total = F.sum("contribution").over(Window.partitionBy(F.lit(1)))  # three rows
+    return dominance.withColumns({"share_of_r2": F.try_divide(F.col("contribution"), total), "place": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("contribution"), "predictor"))})
+
+
 def dominance_summary(draws: DataFrame) -> DataFrame:
     """Mean, error, interval and sign probability of each statistic, by block length and layer."""
     long = draws.withColumns({"q4_minus_q2": F.col("q4") - F.col("q2"), "q4_minus_q3": F.col("q4") - F.col("q3"), "q4_largest": F.expr("cast(q4 > q2 and q4 > q3 as double)")})

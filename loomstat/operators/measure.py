@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.session import cut
+
 DIMENSIONS = ("q1", "q2", "q3", "q4")
 PARTIES = ("republican", "democrat")
 
@@ -90,9 +92,54 @@ def raw_iqr(score: str = "score", minimum: int = 4, frequency: str | None = None
     return F.when(n >= minimum, p[1] - p[0])
 
 
+#: Rank accuracy of the first look at a group's quartiles; groups of fewer rows are looked at whole.
+ACCURACY = 10_000
+
+
+def group_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, q25, median, q75): exact linear quartiles of the values that aren't null, with a state that doesn't grow with the group.
+
+    A quantile sketch first brackets each quartile by values within a known rank error. Values are
+    then counted: one by one inside a bracket, together outside, with map-side sums. The ranks wanted are
+    read off the running counts, over the few distinct values that are left.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    e = 3 / ACCURACY
+    wanted = [q + d for q in (0.25, 0.5, 0.75) for d in (-e, e)]
+    sketch = F.percentile_approx("_x", wanted, ACCURACY)
+    bound = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), sketch.alias("_b"))
+    few = F.col("_n") < 2 * ACCURACY  # here a rank is worth more than the sketch's error
+    ends = [F.when(few, F.col("_max" if i % 2 else "_min")).otherwise(F.col("_b")[i]).alias(f"_e{i}") for i in range(6)]
+    bound = bound.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", *ends)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    x = F.col("_x")
+    inside = F.lit(False)
+    for i in (0, 2, 4):
+        inside = inside | x.between(F.col(f"_e{i}"), F.col(f"_e{i + 1}"))
+    # outside the brackets a value counts only by which of them it lies beyond
+    beyond = sum((F.when(x > F.col(f"_e{i}"), 1).otherwise(0) for i in (1, 3, 5)), F.lit(0))
+    place = F.struct(F.when(inside, x).when(beyond == 0, F.lit(float("-inf"))).when(beyond == 1, F.col("_e1")).when(beyond == 2, F.col("_e3")).otherwise(F.col("_e5")).alias("x"), F.when(inside, 0).otherwise(beyond).alias("beyond"))
+    counted = rows.join(bound, same).groupBy(*keys, "_n", place.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))["x"]
+    ranks = {q: (F.col("_n") - 1) * q for q in (0.25, 0.5, 0.75)}
+    found = upto.groupBy(*keys, "_n").agg(*[at(f(h)).alias(f"_{side}{q}") for q, h in ranks.items() for side, f in (("a", F.floor), ("b", F.ceil))])
+    between = lambda q, h: F.when(F.col(f"`_a{q}`") == F.col(f"`_b{q}`"), F.col(f"`_a{q}`")).otherwise((F.ceil(h) - h) * F.col(f"`_a{q}`") + (h - F.floor(h)) * F.col(f"`_b{q}`"))
+    return found.select(*keys, F.col("_n").alias("n"), *[between(q, h).alias(name) for (q, h), name in zip(ranks.items(), ("q25", "median", "q75"))])
+
+
 def monthly_stance(long: DataFrame) -> DataFrame:
     """Weighted mean, interquartile range and number of articles by month, party and dimension."""
-    return long.groupBy("year_month", "party", "dimension").agg(weighted_mean().alias("mean"), raw_iqr().alias("raw_iqr"), F.count("score").alias("n_articles"))
+    keys = ["year_month", "party", "dimension"]
+    long = cut(long)
+    means = long.groupBy(*keys).agg(weighted_mean().alias("mean"), F.count("score").alias("n_articles"))
+    quartiles = group_quartiles(long, keys, "score").select(*[F.col(k).alias(f"_{k}") for k in keys], F.when(F.col("n") >= 4, F.col("q75") - F.col("q25")).alias("raw_iqr"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return means.join(quartiles, same, "left").select(*keys, "mean", "raw_iqr", "n_articles")
 
 
 def monthly_polarization(stance: DataFrame) -> DataFrame:
@@ -106,6 +153,15 @@ def coherence(iqr: Column, k: Column) -> Column:
     return k / (k + iqr)
 
 
+def index_intervals(replicates: DataFrame, b: int, dimension: str = "q1") -> DataFrame:
+    """(year_month, n_valid, ci_lower, ci_upper) of the index, whose scale and k are recomputed in each replicate.
+
+    A replicate without a positive scale and k is dropped; an interval needs 95 % of the ``b`` replicates.
+    """
+    made = composite_index(replicates.withColumn("n_articles", F.lit(None).cast("bigint")), dimension, by=("replicate",))
+    return percentile_interval(made, ["year_month"], "index_value", b)
+
+
 def composite_index(stance: DataFrame, dimension: str = "q1", by: tuple[str, ...] = ()) -> DataFrame:
     """P, the parties' coherence and their cube-root index, for each month (and replicate, if ``by`` names it).
 
@@ -118,7 +174,7 @@ def composite_index(stance: DataFrame, dimension: str = "q1", by: tuple[str, ...
     wide = stance.where(F.col("dimension") == dimension).groupBy(*keys).agg(
         *[of(c, p).alias(f"{s}_{c}") for c in ("mean", "raw_iqr", "n_articles") for p, s in (("republican", "rep"), ("democrat", "dem"))]
     )
-    wide = wide.withColumn("polarization", F.col("rep_mean") - F.col("dem_mean"))
+    wide = cut(wide.withColumn("polarization", F.col("rep_mean") - F.col("dem_mean")))  # read twice
     scale = wide.select(*by, "polarization", F.explode(F.array("rep_raw_iqr", "dem_raw_iqr")).alias("iqr")).groupBy(*by).agg(F.max(F.abs("polarization")).alias("max_pol_used"), F.median("iqr").alias("k_used"))
     scale = scale.where("k_used > 0 and max_pol_used > 0")
     both = wide.join(scale, list(by)) if by else wide.crossJoin(scale)  # without ``by`` the scale is a single row
@@ -153,11 +209,26 @@ def simultaneous_radius(df: DataFrame, first: str, second: str, level: float = 0
     return df.agg(F.percentile(F.greatest(F.abs(first), F.abs(second)), level).alias("radius"))
 
 
-def prefix_intervals(df: DataFrame, replicate: str, value: str, prefixes: list[int]) -> DataFrame:
-    """Interval of the first k replicates, for each k; the prefixes are few parameters."""
-    k = df.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix int")
+def prefix_stability(df: DataFrame, keys: list[str], replicate: str, value: str, prefixes: tuple[int, ...]) -> DataFrame:
+    """Interval of the first k replicates of each group for each k under its last one, and of all of them.
+
+    (keys, prefix, is_full, n_valid, ci_lower, ci_upper, length, length_ratio, endpoint_deviation): the ratio of the
+    lengths, and the larger distance of an endpoint from that of the full interval, over the full length.
+    """
+    of_group = Window.partitionBy(*keys)
+    last = df.groupBy(*keys).agg(F.max(replicate).alias("_last"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        last = last.withColumnRenamed(k, f"_k{i}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    k_of = F.array_append(F.filter(F.array(*map(F.lit, prefixes)), lambda p: (p < F.col("_last")) & (p >= F.col(replicate))), F.col("_last"))
+    rows = df.join(last, same).select(*keys, value, "_last", F.explode(k_of).alias("prefix"))
     p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return df.join(F.broadcast(k), F.col(replicate) <= F.col("prefix")).groupBy("prefix").agg(F.count(value).alias("n_valid"), p[0].alias("ci_lower"), p[1].alias("ci_upper"))
+    each = rows.groupBy(*keys, "prefix").agg(F.max("_last").alias("_last"), F.count(value).alias("n_valid"), p[0].alias("ci_lower"), p[1].alias("ci_upper"))
+    each = each.withColumns({"is_full": F.col("prefix") == F.col("_last"), "length": F.col("ci_upper") - F.col("ci_lower")})
+    full = lambda c: F.max(F.when(F.col("is_full"), F.col(c))).over(of_group)
+    off = F.greatest(F.abs(F.col("ci_lower") - full("ci_lower")), F.abs(F.col("ci_upper") - full("ci_upper")))
+    return each.withColumns({"length_ratio": F.try_divide(F.col("length"), full("length")), "endpoint_deviation": F.try_divide(off, full("length"))}).drop("_last")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

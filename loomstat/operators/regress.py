@@ -57,7 +57,7 @@ def bivariate(y: np.ndarray, x: np.ndarray, order: int, kept: np.ndarray | None
     loglik, beta, s, e, qx = _evaluate(y, x, phi, start)
     inverse = np.linalg.inv(qx.T @ qx)
     k = beta.size + 3 + order
-    return {"phi": phi, "loglik": loglik, "bic": -2 * loglik + k * math.log(len(y)), "beta": beta, "sigma": s, "se": np.sqrt(np.outer(np.diag(inverse), np.diag(s))), "cov": np.kron(inverse, s), "innovation": e, "inverse": inverse}
+    return {"phi": phi, "loglik": loglik, "bic": -2 * loglik + k * math.log(len(y)), "beta": beta, "sigma": s, "se": np.sqrt(np.outer(np.diag(inverse), np.diag(s))), "innovation": e, "inverse": inverse}
 
 
 def coefficient_rows(f: dict, n: int, outcomes: tuple[str, str], terms: tuple[str, ...]) -> pd.DataFrame:
@@ -85,19 +85,78 @@ def panel_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf[["rep", "dem"]].to_numpy(float), np.column_stack([np.ones(len(pdf)), x - x.mean(), t - t.mean()])
 
 
+def bivariate_of(y: np.ndarray, x: np.ndarray, order: int, bound: float = 0.95) -> dict[str, np.ndarray]:
+    """The fit of ``bivariate`` for many panels at once: outcomes (panels, months, 2), design (panels, months, 3).
+
+    With z the design and outcomes together, the products of quasi-differences are a quadratic in phi,
+    so that a likelihood costs one small system of equations and no pass over the months.
+    """
+    z = np.concatenate([x, y], axis=2)
+    n, k = z.shape[1], x.shape[2]
+    first = np.einsum("si,sj->sij", z[:, 0], z[:, 0])
+    now, lag, cross = (np.einsum("sti,stj->sij", a, b) for a, b in ((z[:, 1:], z[:, 1:]), (z[:, :-1], z[:, :-1]), (z[:, 1:], z[:, :-1])))
+    cross = cross + cross.transpose(0, 2, 1)
+
+    def at(phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = phi[:, None, None]
+        s = (1 - f * f) * first + now - f * cross + f * f * lag
+        beta = np.linalg.solve(s[:, :k, :k], s[:, :k, k:])
+        sigma = (s[:, k:, k:] - s[:, k:, :k] @ beta) / n
+        log_det = np.log(np.maximum(sigma[:, 0, 0] * sigma[:, 1, 1] - sigma[:, 0, 1] ** 2, 1e-300))
+        return -n / 2 * (2 * np.log(2 * np.pi) + log_det + 2) + np.log(1 - phi * phi), beta
+
+    phi = np.zeros(len(z))
+    if order:
+        phis = np.linspace(-bound, bound, 39)
+        best = np.argmax([at(np.full(len(z), f))[0] for f in phis], axis=0)
+        low, high = phis[np.maximum(0, best - 1)], phis[np.minimum(38, best + 1)]
+        g = (np.sqrt(5) - 1) / 2
+        while (high - low).max() > 1e-9:
+            a, b = high - g * (high - low), low + g * (high - low)
+            left = at(a)[0] < at(b)[0]
+            low, high = np.where(left, a, low), np.where(left, high, b)
+        phi = (low + high) / 2
+    loglik, beta = at(phi)
+    return {"phi": phi, "loglik": loglik, "bic": -2 * loglik + (2 * k + 3 + order) * np.log(n), "beta": beta}
+
+
 _REPLICATE = "replicate bigint, ar_order int, phi double, loglik double, bic double, rep_polarization double, dem_polarization double, contrast double"
 
 
-def replicate_regressions(panels: DataFrame, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """Refit of every complete panel (replicate, t, rep, dem, polarization); replicates are spread over tasks."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf[["rep", "dem", "polarization"]].isna().any().any() or len(pdf) < 12:
-            return pd.DataFrame([], columns=[c.split()[0] for c in _REPLICATE.split(", ")])
-        y, x = panel_arrays(pdf)
-        fits = [(k, bivariate(y, x, k)) for k in orders]
-        return pd.DataFrame([(int(pdf["replicate"].iloc[0]), k, f["phi"], f["loglik"], f["bic"], f["beta"][1, 0], f["beta"][1, 1], f["beta"][1, 0] - f["beta"][1, 1]) for k, f in fits], columns=[c.split()[0] for c in _REPLICATE.split(", ")])
+def replicate_regressions(panels: DataFrame, orders: tuple[int, ...] = (0, 1), group: int = 250) -> DataFrame:
+    """Refit of every complete panel (replicate, year_month, rep, dem, polarization); a panel lacks no month and no value.
 
-    return by_group(panels, ["replicate"], one, _REPLICATE)
+    Replicates are spread over tasks, ``group`` to each, and fitted together.
+    """
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        months = pdf["year_month"].nunique()
+        pdf = pdf.sort_values(["replicate", "year_month"])
+        values = pdf[["polarization", "rep", "dem"]].to_numpy(float)
+        ok = pd.Series(np.isfinite(values).all(axis=1)).groupby(pdf["replicate"].to_numpy()).agg(["sum", "size"])
+        keep = ok.index[(ok["sum"] == months) & (ok["size"] == months)].to_numpy()
+        columns = [c.split()[0] for c in _REPLICATE.split(", ")]
+        if not len(keep) or months < 12:
+            return pd.DataFrame([], columns=columns)
+        v = values[np.isin(pdf["replicate"].to_numpy(), keep)].reshape(len(keep), months, 3)
+        p, t = v[:, :, 0], np.arange(months, dtype=float)
+        x = np.stack([np.ones_like(p), p - p.mean(axis=1, keepdims=True), np.broadcast_to(t - t.mean(), p.shape)], axis=2)
+        out = []
+        for k in orders:
+            f = bivariate_of(v[:, :, 1:], x, k)
+            rep, dem = f["beta"][:, 1, 0], f["beta"][:, 1, 1]
+            out.append(pd.DataFrame(dict(zip(columns, (keep, k, f["phi"], f["loglik"], f["bic"], rep, dem, rep - dem)))))
+        return pd.concat(out)
+
+    return by_group(panels.withColumn("_group", F.floor(F.col("replicate") / group)), ["_group"], one, _REPLICATE)
+
+
+def effects_summary(fits: DataFrame, replicates: int, keys: list[str], effects: tuple[str, ...] = ("rep_polarization", "dem_polarization", "contrast"), share: float = 0.95) -> DataFrame:
+    """Mean, error, interval and chance of a negative sign of each effect over replicates; null unless enough of them could be used."""
+    long = fits.unpivot(keys, list(effects), "effect", "x").where("x is not null")
+    p = F.percentile("x", F.array(F.lit(0.025), F.lit(0.975)))
+    made = long.groupBy(*keys, "effect").agg(F.count("x").alias("n_valid"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("standard_error"), p[0].alias("ci_lower"), p[1].alias("ci_upper"), F.avg((F.col("x") < 0).cast("int")).alias("probability_negative"))
+    enough = F.col("n_valid") >= share * replicates
+    return made.withColumns({c: F.when(enough, F.col(c)) for c in ("mean", "standard_error", "ci_lower", "ci_upper", "probability_negative")})
 
 
 def leave_one_out(panel: DataFrame, order: int = 1) -> DataFrame:
@@ -122,11 +181,26 @@ def residual_diagnostics(f: dict, lags: tuple[int, ...] = (4, 8)) -> pd.DataFram
     return out
 
 
-def ols_ar0(panel: DataFrame, outcome: str) -> DataFrame:
+def ols_ar0(panel: DataFrame, outcome: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Slope of an outcome on polarization and time from sums of products: one aggregation, no Python."""
     c = lambda a, b: F.covar_pop(a, b)
-    m = panel.agg(c("polarization", "polarization").alias("pp"), c("t", "t").alias("tt"), c("polarization", "t").alias("pt"), c("polarization", outcome).alias("py"), c("t", outcome).alias("ty"), F.avg(outcome).alias("intercept"))
-    return m.select(F.lit(outcome).alias("outcome"), "intercept", F.expr("(py * tt - ty * pt) / (pp * tt - pt * pt)").alias("polarization_slope"), F.expr("(ty * pp - py * pt) / (pp * tt - pt * pt)").alias("time_slope"))
+    m = panel.groupBy(*by).agg(c("polarization", "polarization").alias("pp"), c("t", "t").alias("tt"), c("polarization", "t").alias("pt"), c("polarization", outcome).alias("py"), c("t", outcome).alias("ty"), F.avg(outcome).alias("intercept"))
+    return m.select(*by, F.lit(outcome).alias("outcome"), "intercept", F.expr("(py * tt - ty * pt) / (pp * tt - pt * pt)").alias("polarization_slope"), F.expr("(ty * pp - py * pt) / (pp * tt - pt * pt)").alias("time_slope"))
+
+
+def table_ar0(panel: DataFrame, outcomes: tuple[str, str] = ("rep", "dem")) -> DataFrame:
+    """(outcome, term, estimate, standard_error, t, df) of both outcomes on polarization and time with independent errors, from one aggregation."""
+    c = lambda a, b: F.covar_pop(a, b)
+    sums = [c("polarization", "polarization").alias("pp"), c("t", "t").alias("tt"), c("polarization", "t").alias("pt"), F.count(F.lit(1)).alias("n")]
+    for o in outcomes:
+        sums += [F.avg(o).alias(f"{o}_0"), c("polarization", o).alias(f"{o}_p"), c("t", o).alias(f"{o}_t"), c(o, o).alias(f"{o}_o")]
+    m = panel.agg(*sums).withColumn("det", F.expr("pp * tt - pt * pt"))
+    rows = []
+    for o in outcomes:
+        p, t = f"({o}_p * tt - {o}_t * pt) / det", f"({o}_t * pp - {o}_p * pt) / det"
+        s2 = f"({o}_o - ({p}) * {o}_p - ({t}) * {o}_t)"
+        rows += [f"named_struct('outcome', '{o}', 'term', '{term}', 'estimate', {b}, 'standard_error', sqrt({s2} * {inverse} / n))" for term, b, inverse in (("intercept", f"{o}_0", "1.0D"), ("polarization", p, "tt / det"), ("time", t, "pp / det"))]
+    return m.select("n", F.inline(F.expr(f"array({', '.join(rows)})"))).select("outcome", "term", "estimate", "standard_error", (F.col("estimate") / F.col("standard_error")).alias("t"), (F.col("n") - 3).alias("df"))
 
 
 def decision(summary: DataFrame) -> DataFrame:

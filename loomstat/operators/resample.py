@@ -1,79 +1,122 @@
 """Cluster bootstrap of articles within months: the same counts for every party and dimension.
 
 ``hash_counts`` draws Poisson(1) counts from a hash of (article, replicate), in
-built-in expressions: it scales with rows times replicates, needs no state and
-can be checked in SQL. ``cluster_bootstrap`` draws exact multinomial counts
-month by month with numpy, in chunks of replicates that each have their own seed.
+built-in expressions: it scales with rows times replicates, needs no state, and its
+sums are exact, so that any partitioning gives the same numbers. The other
+operators draw exact multinomial counts month by month with numpy, in chunks of
+replicates that each have their own seed and a bounded number of counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import child_seed
-from loomstat.operators.measure import DIMENSIONS, raw_iqr
+from loomstat.operators.contracts import require_share
+from loomstat.operators.measure import DIMENSIONS, PARTIES, raw_iqr
 from loomstat.session import by_group
 
 #: Cumulative Poisson(1) probabilities in ten thousandths: k is the number of them at or under the hash.
 _POISSON = (3679, 7358, 9197, 9810, 9963, 9994, 9999)
+#: Replicates of a chunk, and counts that a chunk may have.
+CHUNK, COUNTS = 250, 4_000_000
+
+
+#: Weights and products count in steps of 2 ** -20, which makes double sums under 2 ** 33 exact, in any order.
+_STEP = 1 << 20
 
 
-def hash_counts(article: Column, replicate: Column) -> Column:
-    """How often an article is drawn in a replicate."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", article.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("bigint") % 10000
+def hash_counts(u: Column) -> Column:
+    """How often a cluster is drawn, from a number under ten thousand."""
     return sum((F.when(u >= p, 1).otherwise(0) for p in _POISSON), F.lit(0))
 
 
+def drawn(df: DataFrame, key: str, columns: list[str], replicates: int) -> DataFrame:
+    """(replicate, c, columns): the rows of each key that is drawn, with how often; its counts are made once for all its rows."""
+    rows = df.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("_rows"))  # of one article, or one item
+    each = rows.select(key, "_rows", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("replicate").cast("string"))), 1, 8), 16, 10).cast("bigint") % 10000
+    # a generator keeps the hash from being copied into each use
+    counted = each.select("_rows", "replicate", F.explode(F.array(u)).alias("_u")).select("_rows", "replicate", hash_counts(F.col("_u")).alias("c"))
+    return counted.where("c > 0").select("replicate", "c", F.inline("_rows"))
+
+
 def replicate_measures(long: DataFrame, replicates: int) -> DataFrame:
-    """Weighted mean and interquartile range of each month, party, dimension and replicate, given hash counts."""
-    drawn = long.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("c", hash_counts(F.col("article"), F.col("replicate"))).where("c > 0 and score is not null")
-    mean = F.sum(F.expr("c * weight * score")) / F.sum(F.expr("c * weight"))
-    return drawn.groupBy("replicate", "year_month", "party", "dimension").agg(mean.alias("mean"), raw_iqr("score", 4, "c").alias("raw_iqr"), F.sum("c").alias("n_drawn"))
+    """Weighted mean and interquartile range of each month, party, dimension and replicate, given hash counts.
+
+    Weights and products are cut to steps of 2 ** -20, so that sums don't depend on the order of addition.
+    """
+    step = lambda c: F.floor(c * _STEP) / _STEP
+    rows = long.where("score is not null").select("article", "year_month", "party", "dimension", "score", step(F.col("weight")).alias("w"), step(F.col("weight") * F.col("score")).alias("ws"))
+    made = drawn(rows, "article", ["year_month", "party", "dimension", "score", "w", "ws"], replicates)
+    mean = F.expr("sum(c * ws) / sum(c * w)")
+    return made.groupBy("replicate", "year_month", "party", "dimension").agg(mean.alias("mean"), raw_iqr("score", 4, "c").alias("raw_iqr"), F.sum("c").alias("n_drawn"))
+
+
+def draws(n: int, replicates: int, seed: int, namespace: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Multinomial counts of n articles drawn n times, (first replicate, replicates by articles), chunk by chunk."""
+    chunk = max(1, min(CHUNK, COUNTS // max(1, n)))
+    for start in range(0, replicates, chunk):
+        size = min(chunk, replicates - start)
+        rng = np.random.default_rng(child_seed(seed, f"{namespace}_{start}"))
+        at = rng.integers(0, n, (size, n)) + np.arange(size)[:, None] * n
+        yield start, np.bincount(at.ravel(), minlength=size * n).reshape(size, n)
+
+
+def _usable(part: pd.DataFrame) -> pd.DataFrame:
+    s, w = part["score"].to_numpy(float), part["weight"].to_numpy(float)
+    return part[np.isfinite(s) & np.isfinite(w) & (w > 0)]
 
 
 _OUT = "replicate bigint, year_month string, party string, dimension string, mean double, raw_iqr double"
 
 
-def cluster_bootstrap(long: DataFrame, replicates: int, seed: int = 42, chunk: int = 250, namespace: str = "joint_article_cluster", iqr: bool = True) -> DataFrame:
-    """Exact multinomial draws within each month. A group is one month; its replicates are drawn in chunks. Without ``iqr`` only means."""
+def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster") -> DataFrame:
+    """Mean and interquartile range of each month, party, dimension and replicate.
+
+    A group is one month and dimension; the counts of a month are drawn alike for each of its dimensions.
+    """
     rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        month, dimension = pdf["year_month"].iloc[0], pdf["dimension"].iloc[0]
         articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
-        return pd.concat([drawn(pdf, articles, at, start) for start in range(0, replicates, chunk)])
-
-    def drawn(pdf: pd.DataFrame, articles: np.ndarray, at: np.ndarray, start: int) -> pd.DataFrame:
-        month, size = pdf["year_month"].iloc[0], min(chunk, replicates - start)
-        rng = np.random.default_rng(child_seed(seed, f"{namespace}_{month}_{start}"))
-        counts = rng.multinomial(len(articles), np.full(len(articles), 1 / len(articles)), size=size)
+        parts = [(party, _usable(part)) for party, part in pdf.assign(at=at).groupby("party")]
         out = []
-        for (party, dimension), part in pdf.assign(at=at).groupby(["party", "dimension"]):
-            s, w, a = part["score"].to_numpy(float), part["weight"].to_numpy(float), part["at"].to_numpy()
-            ok = np.isfinite(s) & np.isfinite(w) & (w > 0)
-            s, w, c = s[ok], w[ok], counts[:, a[ok]]
-            total = c @ w if len(s) else np.zeros(size)
-            mean = np.divide(c @ (s * w), total, out=np.full(size, np.nan), where=total > 0) if len(s) else np.full(size, np.nan)
-            out.append(pd.DataFrame({"replicate": np.arange(start, start + size), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": _weighted_iqr(s, c) if iqr else np.nan}))
+        for start, counts in draws(len(articles), replicates, seed, f"{namespace}_{month}"):
+            for party, part in parts:
+                mean, iqr = _measured(part, counts)
+                out.append(pd.DataFrame({"replicate": np.arange(start, start + len(counts)), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": iqr}))
         return pd.concat(out)
 
-    made = by_group(rows, ["year_month"], one, _OUT)
+    made = by_group(rows, ["year_month", "dimension"], one, _OUT)
     return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("mean", "raw_iqr")})
 
 
-def _weighted_iqr(s: np.ndarray, counts: np.ndarray, minimum: int = 4) -> np.ndarray:
-    """Linear interquartile range of scores repeated by counts, for every replicate at once."""
-    out = np.full(len(counts), np.nan)
+def _measured(part: pd.DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted mean and interquartile range of one cell in each replicate."""
+    part = part.sort_values("score", kind="stable")
+    s, w = part["score"].to_numpy(float), part["weight"].to_numpy(float)
+    c = counts[:, part["at"].to_numpy()]
     if not len(s):
-        return out
-    order = np.argsort(s, kind="stable")
-    s, cum = s[order], np.cumsum(counts[:, order], axis=1)
+        return np.full(len(counts), np.nan), np.full(len(counts), np.nan)
+    sums = c.astype(float) @ np.column_stack([w, w * s])
+    mean = np.divide(sums[:, 1], sums[:, 0], out=np.full(len(c), np.nan), where=sums[:, 0] > 0)
+    return mean, _weighted_iqr(s, c)
+
+
+def _weighted_iqr(s: np.ndarray, counts: np.ndarray, minimum: int = 4) -> np.ndarray:
+    """Linear interquartile range of sorted scores repeated by counts, for every replicate at once."""
+    cum = np.cumsum(counts, axis=1, dtype=np.int32)
     n = cum[:, -1]
-    ok = n >= minimum
+
     def at(rank: np.ndarray) -> np.ndarray:
-        return s[(cum <= rank[:, None]).sum(axis=1).clip(max=len(s) - 1)]
+        return s[np.count_nonzero(cum <= rank[:, None], axis=1).clip(max=len(s) - 1)]
 
     def quantile(p: float) -> np.ndarray:
         h = (n - 1).clip(min=0) * p
@@ -81,13 +124,72 @@ def _weighted_iqr(s: np.ndarray, counts: np.ndarray, minimum: int = 4) -> np.nda
         a, b = at(low), at(np.minimum(low + 1, (n - 1).clip(min=0)))
         return a + (h - low) * (b - a)
 
-    out[ok] = (quantile(0.75) - quantile(0.25))[ok]
-    return out
+    return np.where(n >= minimum, quantile(0.75) - quantile(0.25), np.nan)
+
+
+_PANEL = "replicate bigint, year_month string, polarization double, rep double, dem double"
+
+
+def replicate_panels(long: DataFrame, dimension: str = "q1", replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster") -> DataFrame:
+    """(replicate, year_month, polarization, rep, dem) of one dimension: gap and both parties' dispersion in each replicate, a row a month."""
+    rows = long.where(F.col("article").isNotNull() & (F.col("dimension") == dimension)).select("year_month", "article", "party", "score", "weight")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        month = pdf["year_month"].iloc[0]
+        articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
+        pdf = pdf.assign(at=at)
+        rep, dem = (_usable(pdf[pdf["party"] == p]) for p in PARTIES)
+        out = []
+        for start, counts in draws(len(articles), replicates, seed, f"{namespace}_{month}"):
+            (m1, q1), (m2, q2) = _measured(rep, counts), _measured(dem, counts)
+            out.append(pd.DataFrame({"replicate": np.arange(start, start + len(counts)), "year_month": month, "polarization": m1 - m2, "rep": q1, "dem": q2}))
+        return pd.concat(out)
+
+    return by_group(rows, ["year_month"], one, _PANEL)
+
+
+_GAPS = "replicate bigint, year_month string, " + ", ".join(f"{q} double" for q in DIMENSIONS)
+
+
+def replicate_gaps(long: DataFrame, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster") -> DataFrame:
+    """(replicate, year_month, q1..q4): the gaps of all dimensions in each replicate, a row a month; means need one product of matrices."""
+    rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight")
+    cells = [(p, q) for q in DIMENSIONS for p in PARTIES]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        month = pdf["year_month"].iloc[0]
+        articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
+        pdf = _usable(pdf.assign(at=at))
+        sums = np.zeros((len(articles), 2 * len(cells)))
+        for i, (p, q) in enumerate(cells):
+            part = pdf[(pdf["party"] == p) & (pdf["dimension"] == q)]
+            k, s, w = part["at"].to_numpy(), part["score"].to_numpy(float), part["weight"].to_numpy(float)
+            np.add.at(sums[:, 2 * i], k, w)
+            np.add.at(sums[:, 2 * i + 1], k, w * s)
+        out = []
+        for start, counts in draws(len(articles), replicates, seed, f"{namespace}_{month}"):
+            t = counts.astype(float) @ sums
+            mean = np.divide(t[:, 1::2], t[:, ::2], out=np.full((len(t), len(cells)), np.nan), where=t[:, ::2] > 0)
+            gap = mean[:, ::2] - mean[:, 1::2]
+            out.append(pd.DataFrame({"replicate": np.arange(start, start + len(t)), "year_month": month} | {q: gap[:, i] for i, q in enumerate(DIMENSIONS)}))
+        return pd.concat(out)
+
+    return by_group(rows, ["year_month"], one, _GAPS)
+
+
+def stream_stability(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals (keys, ci_lower, ci_upper) of two independent streams: lengths, their ratio, and whether they are within a tenth of each other."""
+    of = lambda df, n: df.select(*keys, F.col("ci_lower").alias(f"lower_{n}"), (F.col("ci_upper") - F.col("ci_lower")).alias(f"length_{n}"))
+    both = of(first, 1).join(of(second, 2), keys)
+    ratio = F.try_divide(F.col("length_2"), F.col("length_1"))
+    return both.withColumn("length_ratio", ratio).withColumn("within_a_tenth", F.abs(ratio - 1) <= 0.1)
 
 
 def attach(point: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals beside point estimates, one to one."""
+    """Intervals beside point estimates, one to one; a point without an interval keeps its row."""
     return point.join(intervals, keys, "left")
 
 
-__all__ = ["DIMENSIONS", "attach", "cluster_bootstrap", "hash_counts", "replicate_measures"]
+def require_complete(n_valid: int, replicates: int, share: float = 0.95) -> None:
+    """Fail if too few replicates can be used."""
+    require_share(n_valid, replicates, share)

@@ -119,13 +119,13 @@ def hamed_rao(y: np.ndarray, lag: int, alpha: float = 0.05) -> dict[str, float]:
     return {"S": s, "variance": variance, "factor": factor, "Z": z, "p_value": normal_two_sided(z), "tau": s / (n * (n - 1) / 2), "sen_slope": slope}
 
 
-def hamed_rao_tests(series: DataFrame, lag: int = 2) -> DataFrame:
-    """The corrected test for each series; a series is one small group."""
+def hamed_rao_tests(series: DataFrame, lag: int = 2, lags: dict[str, int] | None = None) -> DataFrame:
+    """The corrected test for each series, at its own lag if ``lags`` names it; a series is one small group."""
     schema = "series string, n int, S double, variance double, factor double, Z double, p_value double, tau double, sen_slope double, trend string"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")["y"].to_numpy(float)
-        out = hamed_rao(y, lag)
+        out = hamed_rao(y, (lags or {}).get(pdf["series"].iloc[0], lag))
         trend = "no trend" if out["p_value"] >= 0.05 else "increasing" if out["S"] > 0 else "decreasing"
         return pd.DataFrame([{"series": pdf["series"].iloc[0], "n": len(y), **out, "trend": trend}])
 
@@ -133,9 +133,13 @@ def hamed_rao_tests(series: DataFrame, lag: int = 2) -> DataFrame:
 
 
 def partial_autocorrelations(series: DataFrame, lags: int = 6) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")["y"].to_numpy(float)
-        p = pacf(y, lags)
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": range(1, lags + 1), "pacf": p, "band": 1.96 / math.sqrt(len(y))})
-
-    return by_group(series.where("y is not null"), ["series"], one, "series string, lag int, pacf double, band double")
+    """(series, lag, pacf, band) by the Durbin-Levinson recursion over the biased autocorrelation, unrolled into columns."""
+    rho = autocorrelation(series, lags)
+    wide = rho.groupBy("series").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("lag") == k, F.col("acf"))).alias(f"r{k}") for k in range(1, lags + 1)])
+    for k in range(1, lags + 1):
+        over = F.col(f"r{k}") - sum((F.col(f"p{k - 1}_{j}") * F.col(f"r{k - j}") for j in range(1, k)), F.lit(0.0))
+        under = F.lit(1.0) - sum((F.col(f"p{k - 1}_{j}") * F.col(f"r{j}") for j in range(1, k)), F.lit(0.0))
+        wide = wide.withColumn(f"p{k}_{k}", F.try_divide(over, under))
+        wide = wide.withColumns({f"p{k}_{j}": F.col(f"p{k - 1}_{j}") - F.col(f"p{k}_{k}") * F.col(f"p{k - 1}_{k - j}") for j in range(1, k)}) if k > 1 else wide
+    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p{k}_{k}").alias("pacf")) for k in range(1, lags + 1)])
+    return wide.select("series", (1.96 / F.sqrt("n")).alias("band"), F.inline(rows)).select("series", "lag", "pacf", "band")

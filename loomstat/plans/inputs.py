@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstat.operators import measure as M
 from loomstat.operators import trend as T
-from loomstat.session import read_table
+from loomstat.session import cut, read_table
 
 
 def scored(spark: SparkSession, root: str) -> DataFrame:
@@ -38,13 +38,31 @@ def stance(spark: SparkSession, root: str) -> DataFrame:
 
 
 def gap(spark: SparkSession, root: str) -> DataFrame:
-    return M.monthly_polarization(stance(spark, root))
+    return _gaps(spark, root)
+
+
+def _gaps(spark: SparkSession, root: str) -> DataFrame:
+    """Gaps without the interquartile range, which the series don't need."""
+    means = long(spark, root).groupBy("year_month", "party", "dimension").agg(M.weighted_mean().alias("mean"), F.count("score").alias("n_articles"))
+    return M.monthly_polarization(means)
 
 
 def series(spark: SparkSession, root: str, name: str = "gap") -> DataFrame:
     """Gap, or a party's mean, of q1 by month."""
     column = {"gap": "polarization", "rep": "rep_mean", "dem": "dem_mean"}[name]
-    return T.as_series(gap(spark, root).where("dimension = 'q1'").withColumn("v", F.round(column, 9)), name, "v")
+    return cut(T.as_series(_gaps(spark, root).where("dimension = 'q1'").withColumn("v", F.round(column, 9)), name, "v"))
+
+
+def reporting_series(spark: SparkSession, root: str) -> DataFrame:
+    """The gap, both parties' means and the index, by month: one stance for all four."""
+    s = cut(stance(spark, root))
+    gaps = M.monthly_polarization(s).where("dimension = 'q1'")
+    made = [T.as_series(gaps.withColumn("v", F.round(c, 9)), name, "v") for name, c in (("gap", "polarization"), ("rep", "rep_mean"), ("dem", "dem_mean"))]
+    made.append(T.as_series(M.composite_index(s).withColumn("v", F.round("index_value", 9)), "index", "v"))
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return cut(out)
 
 
 def panel(spark: SparkSession, root: str) -> DataFrame:
@@ -53,7 +71,7 @@ def panel(spark: SparkSession, root: str) -> DataFrame:
 
     wide = M.composite_index(stance(spark, root))
     t = (F.row_number().over(Window.orderBy("year_month")) - 1).alias("t")  # one calendar
-    return wide.select(t, "year_month", F.round("polarization", 9).alias("polarization"), F.round("rep_raw_iqr", 9).alias("rep"), F.round("dem_raw_iqr", 9).alias("dem"))
+    return cut(wide.select(t, "year_month", F.round("polarization", 9).alias("polarization"), F.round("rep_raw_iqr", 9).alias("rep"), F.round("dem_raw_iqr", 9).alias("dem")))
 
 
 #: The same inputs as common table expressions.

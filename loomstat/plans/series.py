@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.dist import normal_quantile
+from loomstat.functions.text import p_text
 from loomstat.operators import changepoint as P
 from loomstat.operators import dominance as D
 from loomstat.operators import measure as M
@@ -14,7 +16,8 @@ from loomstat.operators import regress as G
 from loomstat.operators import resample as B
 from loomstat.operators import trend as T
 from loomstat.plans import inputs as I
-from loomstat.plans.measurement import r6
+from loomstat.plans.measurement import r6, replicates
+from loomstat.session import cut
 
 #: Onsets of the fixed mean-shift model in the queries.
 ONSETS = [21, 48]
@@ -57,7 +60,7 @@ def shift_model_bic_ar0(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _dominance_panel(spark: SparkSession, root: str) -> DataFrame:
-    return I.gap(spark, root).groupBy("year_month").pivot("dimension", list(M.DIMENSIONS)).agg(F.first("polarization"))
+    return cut(I.gap(spark, root).groupBy("year_month").pivot("dimension", list(M.DIMENSIONS)).agg(F.first("polarization")))
 
 
 def general_dominance(spark: SparkSession, root: str) -> DataFrame:
@@ -75,30 +78,77 @@ def leave_one_out_slope(spark: SparkSession, root: str) -> DataFrame:
     return each.groupBy("omitted").agg(F.regr_slope("rep", "polarization").alias("rep_slope"), F.regr_slope("dem", "polarization").alias("dem_slope")).select("omitted", *r6("rep_slope", "dem_slope"))
 
 
+#: Lags of the reporting series.
+LAGS = {"gap": 2, "rep": 2, "dem": 2, "index": 3}
+
+
 def hamed_rao_test(spark: SparkSession, root: str) -> DataFrame:
-    s = I.series(spark, root).unionByName(I.series(spark, root, "rep")).unionByName(I.series(spark, root, "dem"))
-    return T.hamed_rao_tests(s)
+    made = T.hamed_rao_tests(I.reporting_series(spark, root), lags=LAGS)
+    return made.select("series", "n", F.col("S").cast("bigint").alias("S"), *r6("variance", "factor", "Z", "tau", "sen_slope"), "trend")
+
+
+def trend_p_values(spark: SparkSession, root: str) -> DataFrame:
+    """P-values of the same tests, as text."""
+    return T.hamed_rao_tests(I.reporting_series(spark, root), lags=LAGS).select("series", "p_value", p_text(F.col("p_value")).alias("p_text"))
 
 
 def partial_autocorrelation(spark: SparkSession, root: str) -> DataFrame:
-    return T.partial_autocorrelations(I.series(spark, root))
+    return T.partial_autocorrelations(I.series(spark, root)).select("series", "lag", *r6("pacf", "band"))
 
 
 def cluster_bootstrap(spark: SparkSession, root: str) -> DataFrame:
-    return B.cluster_bootstrap(I.long(spark, root), 500)
+    return B.cluster_bootstrap(I.long(spark, root), 5000)
 
 
-def _values(spark: SparkSession, root: str) -> list[float]:
+def _values(series: DataFrame, name: str) -> list[float]:
     """The series of one calendar, for the search's own enumeration."""
-    return [r["y"] for r in I.series(spark, root).where("y is not null").orderBy("t").collect()]
+    return [r["y"] for r in series.where((F.col("series") == name) & F.col("y").isNotNull()).orderBy("t").collect()]
+
+
+def _months(series: DataFrame, name: str) -> list[str]:
+    return [r["year_month"] for r in series.where((F.col("series") == name) & F.col("y").isNotNull()).orderBy("t").collect()]
 
 
 def changepoint_search(spark: SparkSession, root: str) -> DataFrame:
-    return P.search(spark, _values(spark, root), "gap", least=3, most=4)
+    """The best configurations of the gap and of the index for regimes of at least 3, 4, 5 and 6 months."""
+    s = I.reporting_series(spark, root)
+    return P.search(spark, _values(s, "gap"), "gap").unionByName(P.search(spark, _values(s, "index"), "index"))
+
+
+def changepoint_winners(spark: SparkSession, root: str) -> DataFrame:
+    return P.winners(changepoint_search(spark, root)).select("series", "min_duration", "ar_order", "n_breakpoints", "onsets", *r6("loglik", "raw_bic", "objective"))
 
 
 def trend_break_comparison(spark: SparkSession, root: str) -> DataFrame:
-    return P.compare_classes(spark, _values(spark, root), "gap", least=3, most=4)
+    return P.compare_classes(spark, _values(I.series(spark, root), "gap"), "gap")
+
+
+def winner_refit(spark: SparkSession, root: str) -> DataFrame:
+    """The best configuration of the gap fitted to its months: structural mean, innovations, regimes."""
+    s = I.series(spark, root)
+    best = P.winners(P.search(spark, _values(s, "gap"), "gap", durations=(6,))).first()
+    return spark.createDataFrame(P.fitted_series(np.array(_values(s, "gap")), _months(s, "gap"), tuple(best["onsets"]), best["ar_order"]))
+
+
+def breakpoint_coefficients(spark: SparkSession, root: str) -> DataFrame:
+    """Coefficients of fixed onsets with a trend, with their conditional errors, at each order."""
+    y = np.array(_values(I.series(spark, root), "gap"))
+    return spark.createDataFrame(pd.concat([P.coefficient_table(y, tuple(ONSETS), p, True).assign(ar_order=p) for p in (0, 1, 2)]))
+
+
+def endpoint_contrasts(spark: SparkSession, root: str) -> DataFrame:
+    """Fitted last month minus first of these models, and checks of their innovations."""
+    y = np.array(_values(I.series(spark, root), "gap"))
+    return spark.createDataFrame(pd.DataFrame([{"ar_order": p, **P.endpoint_contrast(y, tuple(ONSETS), p, True), **P.diagnostics(y, tuple(ONSETS), p)} for p in (0, 1, 2)]))
+
+
+#: Sets of onsets that are compared as they are.
+CANDIDATES = {"none": [], "one": [48], "two": [21, 48], "three": [12, 21, 48], "four": [12, 21, 48, 60]}
+
+
+def candidate_models(spark: SparkSession, root: str) -> DataFrame:
+    models = spark.createDataFrame(list(CANDIDATES.items()), "model string, onsets array<int>")
+    return P.candidate_models(I.series(spark, root), models).select("model", F.col("n").cast("bigint").alias("n"), "n_breakpoints", *r6("bic", "objective", "delta_bic", "delta_objective"))
 
 
 def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:
@@ -108,38 +158,82 @@ def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
+def regression_table_ar0(spark: SparkSession, root: str) -> DataFrame:
+    return G.table_ar0(I.panel(spark, root)).select("outcome", "term", *r6("estimate", "standard_error", "t"), F.col("df").cast("bigint").alias("df"))
+
+
+def residual_checks(spark: SparkSession, root: str) -> DataFrame:
+    """Autocorrelation of both outcomes' innovations at order 1, and their correlation."""
+    y, x = G.panel_arrays(I.panel(spark, root).toPandas())  # one row a month
+    return spark.createDataFrame(G.residual_diagnostics(G.bivariate(y, x, 1)))
+
+
 def influence(spark: SparkSession, root: str) -> DataFrame:
     panel = I.panel(spark, root)
     y, x = G.panel_arrays(panel.toPandas())  # one row a month
     return G.leave_one_out(panel, min((0, 1), key=lambda k: G.bivariate(y, x, k)["bic"]))
 
 
-def _replicate_panels(spark: SparkSession, root: str, replicates: int = 500) -> DataFrame:
-    from pyspark.sql import Window
-
-    wide = M.composite_index(B.cluster_bootstrap(I.long(spark, root).where("dimension = 'q1'"), replicates).withColumn("n_articles", F.lit(None).cast("bigint")), by=("replicate",))
-    t = (F.row_number().over(Window.partitionBy("replicate").orderBy("year_month")) - 1).alias("t")
-    return wide.select(F.col("replicate").cast("bigint").alias("replicate"), t, F.col("rep_raw_iqr").alias("rep"), F.col("dem_raw_iqr").alias("dem"), "polarization")
+#: Replicates of the production bootstrap.
+REPLICATES = 5000
 
 
 def replicate_regressions(spark: SparkSession, root: str) -> DataFrame:
-    return G.replicate_regressions(_replicate_panels(spark, root))
+    return G.replicate_regressions(B.replicate_panels(I.long(spark, root), "q1", REPLICATES))
+
+
+def replicate_effects(spark: SparkSession, root: str) -> DataFrame:
+    """Effects over all replicates by order, and what the decision rule says of them."""
+    made = cut(G.effects_summary(replicate_regressions(spark, root), REPLICATES, ["ar_order"]))
+    names = F.create_map(F.lit("rep_polarization"), F.lit("republican"), F.lit("dem_polarization"), F.lit("democrat"))
+    parts = [G.decision(made.where(F.col("ar_order") == k).select(names[F.col("effect")].alias("outcome"), F.col("mean").alias("estimate"), "ci_upper")).withColumn("ar_order", F.lit(k)) for k in (0, 1)]
+    return made.join(parts[0].unionByName(parts[1]).select("ar_order", "supported", "same_sign"), "ar_order")
+
+
+def _given_panels(spark: SparkSession, root: str) -> DataFrame:
+    """Panels (replicate, t, polarization, rep, dem) of q1 out of the table of replicates, each month with both parties."""
+    rows = replicates(spark, root).where("dimension = 'q1'")
+    of = lambda c, p: F.max(F.when(F.col("party") == p, F.col(c)))
+    wide = rows.groupBy("replicate", "year_month").agg((of("mean", "republican") - of("mean", "democrat")).alias("polarization"), of("raw_iqr", "republican").alias("rep"), of("raw_iqr", "democrat").alias("dem")).dropna()
+    months = F.months_between(F.to_date(F.concat("year_month", F.lit("-01"))), F.lit("2020-01-01").cast("date"))
+    return wide.withColumn("t", months.cast("int"))
+
 
+def replicate_slope_summary(spark: SparkSession, root: str) -> DataFrame:
+    """Slopes of both dispersions on the gap in every given replicate with 12 months or more, summarised."""
+    panels = _given_panels(spark, root)
+    enough = F.count(F.lit(1)).over(Window.partitionBy("replicate"))
+    panels = panels.withColumn("n", enough).where("n >= 12")
+    fits = G.ols_ar0(panels, "rep", ("replicate",)).unionByName(G.ols_ar0(panels, "dem", ("replicate",)))
+    made = G.effects_summary(fits, 0, ["outcome"], ("polarization_slope",))
+    return made.select("outcome", "n_valid", *r6("mean", "standard_error", "ci_lower", "ci_upper", "probability_negative"))
 
-def _measurement_panels(spark: SparkSession, root: str, replicates: int) -> np.ndarray:
+
+def _measurement_panels(spark: SparkSession, root: str, n: int) -> np.ndarray:
     """(panels, months, dimensions): the gaps of every replicate of the cluster bootstrap that has all of them."""
-    mean = lambda party: F.max(F.when(F.col("party") == party, F.col("mean")))
-    gaps = B.cluster_bootstrap(I.long(spark, root), replicates, iqr=False).groupBy("replicate", "year_month", "dimension").agg((mean("republican") - mean("democrat")).alias("gap"))
-    wide = gaps.groupBy("replicate", "year_month").pivot("dimension", list(M.DIMENSIONS)).agg(F.first("gap")).toPandas()  # a row a month and replicate
-    wide = wide.sort_values(["replicate", "year_month"])
+    wide = B.replicate_gaps(I.long(spark, root), n).toPandas().sort_values(["replicate", "year_month"])  # a row a month and replicate
     values = wide[list(M.DIMENSIONS)].to_numpy(float).reshape(-1, wide["year_month"].nunique(), len(M.DIMENSIONS))
     return values[np.isfinite(values).all(axis=(1, 2))]
 
 
-def stationary_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+def _dominance_draws(spark: SparkSession, root: str) -> DataFrame:
     rows = _dominance_panel(spark, root).orderBy("year_month").toPandas()  # one row a month
     observed = rows[list(M.DIMENSIONS)].to_numpy(float)[None]
-    return D.dominance_summary(D.stationary_bootstrap(spark, np.concatenate([observed, _measurement_panels(spark, root, 5000)])))
+    return D.stationary_bootstrap(spark, np.concatenate([observed, _measurement_panels(spark, root, REPLICATES)]))
+
+
+def stationary_bootstrap(spark: SparkSession, root: str) -> DataFrame:
+    return D.dominance_summary(_dominance_draws(spark, root))
+
+
+def dominance_contrasts(spark: SparkSession, root: str) -> DataFrame:
+    """Both contrasts with their joint band, by block length and layer."""
+    return D.simultaneous_contrasts(_dominance_draws(spark, root))
+
+
+def dominance_ranking(spark: SparkSession, root: str) -> DataFrame:
+    found = D.ranking(D.general_dominance_sql(_dominance_panel(spark, root), "q1", ("q2", "q3", "q4")))
+    return found.select("predictor", "place", *r6("contribution", "share_of_r2"))
 
 
 _W = "WITH" + I.SQL
@@ -165,5 +259,48 @@ ORACLE = {
     "gap_regression_ar0": f"{_W}, m AS (SELECT 'rep' AS outcome, avg(rep) AS b, covar_pop(polarization, polarization) AS pp, covar_pop(t, t) AS tt, covar_pop(polarization, t) AS pt, covar_pop(polarization, rep) AS py, covar_pop(t, rep) AS ty FROM panel UNION ALL SELECT 'dem', avg(dem), covar_pop(polarization, polarization), covar_pop(t, t), covar_pop(polarization, t), covar_pop(polarization, dem), covar_pop(t, dem) FROM panel) SELECT outcome, round(b, 6) AS intercept, round((py * tt - ty * pt) / (pp * tt - pt * pt), 6) AS polarization_slope, round((ty * pp - py * pt) / (pp * tt - pt * pt), 6) AS time_slope FROM m",
     "leave_one_out_slope": f"{_W} SELECT CAST(o.t AS INTEGER) AS omitted, round(regr_slope(p.rep, p.polarization), 6) AS rep_slope, round(regr_slope(p.dem, p.polarization), 6) AS dem_slope FROM panel o JOIN panel p ON o.t <> p.t GROUP BY 1",
 }
-ROWS_ONLY = ("hamed_rao_test", "partial_autocorrelation", "cluster_bootstrap", "changepoint_search", "trend_break_comparison", "bivariate_ar1", "influence", "replicate_regressions", "stationary_bootstrap")
+_FOUR = (
+    f"{_W}, four0 AS (SELECT * FROM series UNION ALL SELECT 'rep', year_month, row_number() OVER (ORDER BY year_month) - 1, round(rep_mean, 9) FROM gap WHERE dimension = 'q1' UNION ALL SELECT 'dem', year_month, row_number() OVER (ORDER BY year_month) - 1, round(dem_mean, 9) FROM gap WHERE dimension = 'q1' UNION ALL SELECT 'index', year_month, row_number() OVER (ORDER BY year_month) - 1, round(100 * cbrt(P * C_R * C_D), 9) FROM idx), four AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY year_month) - 1 AS t, y FROM four0 WHERE y IS NOT NULL), "
+    "fp AS (SELECT a.series, a.t AS i, b.t AS j, a.y AS y_i, b.y AS y_j, (b.y - a.y) / (b.t - a.t) AS slope FROM four a JOIN four b ON a.series = b.series AND a.t < b.t), "
+    "fs AS (SELECT series, CAST(sum(sign(y_j - y_i)) AS BIGINT) AS S, count(*) AS n_pairs, median(slope) AS sen_slope FROM fp GROUP BY 1), "
+    "ft AS (SELECT series, CAST(sum(k) AS BIGINT) AS n, sum(k * (k - 1) * (2 * k + 5)) AS tied FROM (SELECT series, y, count(*) AS k FROM four GROUP BY 1, 2) GROUP BY 1), "
+    "fv AS (SELECT *, CAST((n * (n - 1) * (2 * n + 5) - tied) / 18.0 AS DOUBLE) AS variance FROM fs JOIN ft USING (series)), "
+    "fr0 AS (SELECT f.series, t, y - sen_slope * t AS rest FROM four f JOIN fs USING (series)), "
+    "fr AS (SELECT series, t, rank() OVER (PARTITION BY series ORDER BY rest) + (count(*) OVER (PARTITION BY series, rest) - 1) / 2.0 AS r FROM fr0), "
+    "fc AS (SELECT series, t, r - avg(r) OVER (PARTITION BY series) AS a FROM fr), "
+    "fm AS (SELECT series, sum(a * a) AS v, count(*) AS n FROM fc GROUP BY 1), "
+    "fa AS (SELECT x.series, z.t - x.t AS lag, sum(x.a * z.a) / max(v) AS rho, max(n) AS n FROM fc x JOIN fc z ON x.series = z.series AND z.t > x.t AND z.t <= x.t + CASE x.series WHEN 'index' THEN 3 ELSE 2 END JOIN fm ON fm.series = x.series GROUP BY 1, 2), "
+    f"ff AS (SELECT series, 1 + 2 * coalesce(sum((n - lag) * (n - lag - 1) * (n - lag - 2) * rho) FILTER (abs(rho) > {-_Z!r} / sqrt(n)), 0) / max(n * (n - 1) * (n - 2)) AS factor FROM fa GROUP BY 1), "
+    "fz AS (SELECT *, CASE WHEN S = 0 OR variance * factor <= 0 THEN 0 ELSE (S - sign(S)) / sqrt(variance * factor) END AS Z FROM fv JOIN ff USING (series))"
+)
+ORACLE["hamed_rao_test"] = f"{_FOUR} SELECT series, CAST(n AS INTEGER) AS n, S, round(variance, 6) AS variance, round(factor, 6) AS factor, round(Z, 6) AS Z, round(S / n_pairs, 6) AS tau, round(sen_slope, 6) AS sen_slope, CASE WHEN abs(Z) <= {-_Z!r} THEN 'no trend' WHEN S > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM fz"
+
+
+def _pacf_sql(lags: int) -> str:
+    sql = f"{_ACF}, l0 AS (SELECT max(n) AS n, " + ", ".join(f"max(acf) FILTER (lag = {k}) AS r{k}" for k in range(1, lags + 1)) + " FROM rho)"
+    for k in range(1, lags + 1):
+        over = f"r{k}" + "".join(f" - p{k - 1}_{j} * r{k - j}" for j in range(1, k))
+        under = "1" + "".join(f" - p{k - 1}_{j} * r{j}" for j in range(1, k))
+        sql += f", h{k} AS (SELECT *, ({over}) / ({under}) AS p{k}_{k} FROM l{k - 1}), l{k} AS (SELECT *" + "".join(f", p{k - 1}_{j} - p{k}_{k} * p{k - 1}_{k - j} AS p{k}_{j}" for j in range(1, k)) + f" FROM h{k})"
+    return sql + " " + " UNION ALL ".join(f"SELECT 'gap' AS series, CAST({k} AS INTEGER) AS lag, round(p{k}_{k}, 6) AS pacf, round(1.96 / sqrt(n), 6) AS band FROM l{lags}" for k in range(1, lags + 1))
+
+
+ORACLE["partial_autocorrelation"] = _pacf_sql(6)
+_MODELS = " UNION ALL ".join(f"SELECT '{m}' AS model, {o or '[]::INTEGER[]'} AS onsets" for m, o in CANDIDATES.items())
+ORACLE["candidate_models"] = f"{_W}, mods AS ({_MODELS}), e AS (SELECT model, len(onsets) AS m, len(list_filter(onsets, lambda o: o <= t + 1)) AS regime, y FROM series, mods), r AS (SELECT model, m, regime, var_pop(y) * count(y) AS rss, count(y) AS n FROM e GROUP BY 1, 2, 3), f AS (SELECT model, max(m) AS m, sum(rss) AS rss, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1), b AS (SELECT *, n * (ln(2 * pi() * rss / n) + 1) + (m + 2) * ln(n) AS bic FROM f), o AS (SELECT *, bic + m * ln(n) AS objective FROM b) SELECT model, n, CAST(m AS INTEGER) AS n_breakpoints, round(bic, 6) AS bic, round(objective, 6) AS objective, round(bic - min(bic) OVER (), 6) AS delta_bic, round(objective - min(objective) OVER (), 6) AS delta_objective FROM o"
+_TERMS = (("intercept", "b0", "1.0"), ("polarization", "(py * tt - ty * pt) / det", "tt / det"), ("time", "(ty * pp - py * pt) / det", "pp / det"))
+ORACLE["regression_table_ar0"] = f"{_W}, m0 AS (" + " UNION ALL ".join(f"SELECT '{o}' AS outcome, avg({o}) AS b0, covar_pop(polarization, polarization) AS pp, covar_pop(t, t) AS tt, covar_pop(polarization, t) AS pt, covar_pop(polarization, {o}) AS py, covar_pop(t, {o}) AS ty, var_pop({o}) AS yy, count(*) AS n FROM panel" for o in ("rep", "dem")) + "), m AS (SELECT *, pp * tt - pt * pt AS det FROM m0), v AS (SELECT *, yy - (py * tt - ty * pt) / det * py - (ty * pp - py * pt) / det * ty AS s2 FROM m), c AS (" + " UNION ALL ".join(f"SELECT outcome, '{t}' AS term, {b} AS b, sqrt(s2 * {i} / n) AS se, n FROM v" for t, b, i in _TERMS) + ") SELECT outcome, term, round(b, 6) AS estimate, round(se, 6) AS standard_error, round(b / se, 6) AS t, n - 3 AS df FROM c"
+ORACLE["dominance_ranking"] = ORACLE["general_dominance"].rpartition(" SELECT predictor")[0] + " SELECT predictor, CAST(row_number() OVER (ORDER BY c DESC, predictor) AS INTEGER) AS place, round(c, 6) AS contribution, round(c / sum(c) OVER (), 6) AS share_of_r2 FROM g"
+ORACLE["replicate_slope_summary"] = (
+    "WITH reps AS (SELECT year_month, party, replicate, max(mean) AS m, max(raw_iqr) AS q FROM monthly_stance WHERE dimension = 'q1' GROUP BY ALL), c AS (SELECT year_month, party, replicate, CASE WHEN isnan(m) THEN NULL ELSE m END AS m, CASE WHEN isnan(q) THEN NULL ELSE q END AS q FROM reps), "
+    "w AS (SELECT replicate, year_month, max(m) FILTER (party = 'republican') - max(m) FILTER (party = 'democrat') AS p, max(q) FILTER (party = 'republican') AS rep, max(q) FILTER (party = 'democrat') AS dem, (CAST(left(year_month, 4) AS INT) - 2020) * 12 + CAST(right(year_month, 2) AS INT) - 1 AS t FROM c GROUP BY 1, 2), "
+    "k AS (SELECT * FROM w WHERE p IS NOT NULL AND rep IS NOT NULL AND dem IS NOT NULL AND replicate IS NOT NULL AND year_month IS NOT NULL QUALIFY count(*) OVER (PARTITION BY replicate) >= 12), "
+    "l AS (SELECT replicate, 'rep' AS outcome, p, t, rep AS y FROM k UNION ALL SELECT replicate, 'dem', p, t, dem FROM k), "
+    "f AS (SELECT replicate, outcome, covar_pop(p, p) AS pp, covar_pop(t, t) AS tt, covar_pop(p, t) AS pt, covar_pop(p, y) AS py, covar_pop(t, y) AS ty FROM l GROUP BY 1, 2), "
+    "b AS (SELECT outcome, (py * tt - ty * pt) / (pp * tt - pt * pt) AS x FROM f) SELECT outcome, count(x) AS n_valid, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS standard_error, round(quantile_cont(x, 0.025), 6) AS ci_lower, round(quantile_cont(x, 0.975), 6) AS ci_upper, round(avg(CAST(x < 0 AS INT)), 6) AS probability_negative FROM b WHERE x IS NOT NULL GROUP BY 1"
+)
+ROWS_ONLY = (
+    "trend_p_values", "cluster_bootstrap", "changepoint_search", "changepoint_winners", "trend_break_comparison", "winner_refit", "breakpoint_coefficients", "endpoint_contrasts",
+    "bivariate_ar1", "residual_checks", "influence", "replicate_regressions", "replicate_effects", "stationary_bootstrap", "dominance_contrasts",
+)
 QUERIES = {name: globals()[name] for name in (*ORACLE, *ROWS_ONLY)}
