@@ -37,7 +37,7 @@ from loomstat.llm.binding import let
 from loomstat.session import cut, read_table
 
 #: Change of an entry under which the power iteration ends, steps between two looks at it, and looks after which it is an error.
-TOLERANCE, STEPS, LOOKS = 1e-4, 6, 30
+TOLERANCE, STEPS, LOOKS = 1e-4, 3, 60
 #: Overlap at which an agreement counts by half.
 SHRINK = 5.0
 #: Reliability without anything to compare with.
