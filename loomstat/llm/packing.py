@@ -4,10 +4,10 @@ Open bins are counted by the space they have left. A document goes where, with i
 placed, the sum of the squared counts over all spaces becomes smallest: this
 keeps bins of every remaining space at hand, so that later documents find one
 they fill. Ties go to the fullest bin. The rule needs the counts alone, so a
-step costs one pass over the spaces in use.
+step costs one vectorised pass over the spaces from the document's size to the capacity.
 
-Documents are packed in blocks of about BLOCK documents, by a hash of their id;
-a block is one task's work and the number of blocks grows with the data. Bins
+The documents of each kind are packed in blocks of about BLOCK, by a hash of their
+id; a block is one task's work and the number of blocks grows with the data. Bins
 that stay below FULL of their capacity are opened again, and their documents are
 packed in a second round of far fewer blocks, so that each block of the first
 round doesn't leave a tail of its own.
@@ -41,7 +41,6 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     bins: dict[int, list[int]] = defaultdict(list)
     left: list[int] = []
     out = np.empty(len(sizes), np.int64)
-    spaces = np.arange(capacity + 1)
     for i, s in enumerate(sizes.tolist()):
         # a bin with space g moves to g - s: the change of the sum of squares, halved and less by one
         gain = counts[: capacity + 1 - s] - counts[s:]
@@ -63,15 +62,14 @@ def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
             counts[g - s] += 1
             bins[g - s].append(b)
         out[i] = b
-    del spaces
     return out, np.array(left, np.int64)
 
 
 def pieces(df: DataFrame, containers: DataFrame) -> DataFrame:
     """(kind, capacity, doc_id, piece, start_token, n_tokens): documents for each kind of container, cut where they must be."""
-    kinds = containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity"))
-    # one row for each kind of container; documents aren't paired with each other
-    each = df.where("n_tokens > 0").join(F.broadcast(kinds))
+    kinds = containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").alias("capacity")).collect()  # parameters, a row for each kind
+    each_kind = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in kinds]).cast("array<struct<container_kind: string, capacity: bigint>>")
+    each = df.where("n_tokens > 0").select("doc_id", "n_tokens", F.inline(each_kind))
     cutting = each.withColumn("piece", F.explode(F.expr("sequence(0, cast((n_tokens - 1) div capacity as int))")))
     return cutting.select(F.col("container_kind").alias("kind"), "capacity", "doc_id", "piece", F.expr("piece * capacity").alias("start_token"), F.expr("least(n_tokens - piece * capacity, capacity)").alias("n_tokens"))
 
@@ -123,7 +121,8 @@ def containers_of(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     items = cut(pieces(sizes, containers))
     whole = items.where("n_tokens = capacity").withColumn("container", F.concat_ws("-", "kind", F.lit("w"), "doc_id", "piece"))
     rest = items.where("n_tokens < capacity")
-    blocks = max(1, round(items.count() / BLOCK))
+    largest = items.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, round(largest / BLOCK))
     first = cut(packed(rest, blocks, "a"))
     good = first.where(f"space_left <= {1 - FULL} * capacity")
     again = packed(first.where(f"space_left > {1 - FULL} * capacity").drop("container", "space_left"), max(1, blocks // SECOND), "b")
