@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.functions.text import interval_text
+from loomstat.functions.text import interval_text, p_text
 
 
 def interval_table(df: DataFrame, keys: list[str], estimate: str, lower: str, upper: str) -> DataFrame:
@@ -30,3 +32,36 @@ def trajectory(stance: DataFrame, intervals: DataFrame, dimension: str = "q1") -
     """Points and bands of both parties' monthly means, ready to draw."""
     points = stance.where(F.col("dimension") == dimension)
     return points.join(intervals.where(F.col("dimension") == dimension), ["year_month", "party", "dimension"], "left").orderBy("party", "year_month")
+
+
+#: How a column of a table is written.
+FORMATS = {
+    "text": lambda c: F.initcap(F.replace(c[0].cast("string"), F.lit("_"), F.lit(" "))),
+    "plain": lambda c: c[0].cast("string"),
+    "int": lambda c: F.format_string("%d", c[0].cast("bigint")),
+    "number": lambda c: F.format_string("%.6f", c[0].cast("double")),
+    "percent": lambda c: F.format_string("%.3f", 100 * c[0].cast("double")),
+    "p": lambda c: p_text(c[0]),
+    "interval": lambda c: interval_text(c[0], c[1]),
+    "list": lambda c: F.array_join(c[0].cast("array<string>"), ", "),
+    "yes": lambda c: F.when(c[0], F.lit("Yes")).otherwise(F.lit("No")),
+}
+
+
+@dataclass(frozen=True)
+class Table:
+    """A table to be published: its title and notes, and for each column a label, how it is written, and out of which columns."""
+
+    title: str
+    columns: tuple[tuple[str, str, str], ...]
+    notes: tuple[str, ...] = ()
+
+    def formatted(self, df: DataFrame) -> DataFrame:
+        """Every cell as text; a missing value is empty."""
+        cells = [(label, FORMATS[how]([F.col(c) for c in source.split()]), source.split()) for label, how, source in self.columns]
+        return df.select(*[F.when(F.greatest(*[F.col(s).isNull().cast("int") for s in [*source, source[0]]]) == 0, c).otherwise(F.lit("")).alias(label) for label, c, source in cells])
+
+    def blueprint(self, df: DataFrame) -> dict:
+        """Title, header, rows and notes, for a document; a table has few rows."""
+        rows = self.formatted(df).collect()
+        return {"title": self.title, "header": [label for label, _, _ in self.columns], "rows": [list(r) for r in rows], "notes": list(self.notes)}

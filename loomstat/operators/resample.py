@@ -100,7 +100,6 @@ def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, n
 
 def _measured(part: pd.DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted mean and interquartile range of one cell in each replicate."""
-    part = part.sort_values("score", kind="stable")
     s, w = part["score"].to_numpy(float), part["weight"].to_numpy(float)
     c = counts[:, part["at"].to_numpy()]
     if not len(s):
@@ -111,8 +110,9 @@ def _measured(part: pd.DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _weighted_iqr(s: np.ndarray, counts: np.ndarray, minimum: int = 4) -> np.ndarray:
-    """Linear interquartile range of sorted scores repeated by counts, for every replicate at once."""
-    cum = np.cumsum(counts, axis=1, dtype=np.int32)
+    """Linear interquartile range of scores repeated by counts, for every replicate at once."""
+    order = np.argsort(s, kind="stable")
+    s, cum = s[order], np.cumsum(counts[:, order], axis=1, dtype=np.int32)
     n = cum[:, -1]
 
     def at(rank: np.ndarray) -> np.ndarray:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstat.plans import measurement, series, texts
+from loomstat.plans import measurement, publication, series, texts
 
-_MODULES = (measurement, series, texts)
+_MODULES = (measurement, series, texts, publication)
 
 
 def queries() -> dict:

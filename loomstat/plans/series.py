@@ -151,11 +151,21 @@ def candidate_models(spark: SparkSession, root: str) -> DataFrame:
     return P.candidate_models(I.series(spark, root), models).select("model", F.col("n").cast("bigint").alias("n"), "n_breakpoints", *r6("bic", "objective", "delta_bic", "delta_objective"))
 
 
-def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:
-    panel = I.panel(spark, root).toPandas()  # one row a month
+def complete_panel(spark: SparkSession, root: str) -> DataFrame:
+    """The panel's months in which both parties have a dispersion; errors start again after a gap."""
+    return I.panel(spark, root).dropna()
+
+
+def observed_fits(spark: SparkSession, root: str, orders: tuple[int, ...] = (0, 1)) -> list[tuple[int, dict, int]]:
+    """(order, fit, months) of the observed panel."""
+    panel = complete_panel(spark, root).toPandas().sort_values("t")  # one row a month
     y, x = G.panel_arrays(panel)
-    rows = G.coefficient_rows(G.bivariate(y, x, 1), len(y), ("republican", "democrat"), ("intercept", "polarization", "time"))
-    return spark.createDataFrame(rows)
+    return [(k, G.bivariate(y, x, k, panel["t"].to_numpy()), len(y)) for k in orders]
+
+
+def bivariate_ar1(spark: SparkSession, root: str) -> DataFrame:
+    ((_, f, n),) = observed_fits(spark, root, (1,))
+    return spark.createDataFrame(G.coefficient_rows(f, n, ("republican", "democrat"), ("intercept", "polarization", "time")))
 
 
 def regression_table_ar0(spark: SparkSession, root: str) -> DataFrame:
@@ -164,14 +174,13 @@ def regression_table_ar0(spark: SparkSession, root: str) -> DataFrame:
 
 def residual_checks(spark: SparkSession, root: str) -> DataFrame:
     """Autocorrelation of both outcomes' innovations at order 1, and their correlation."""
-    y, x = G.panel_arrays(I.panel(spark, root).toPandas())  # one row a month
-    return spark.createDataFrame(G.residual_diagnostics(G.bivariate(y, x, 1)))
+    ((_, f, _),) = observed_fits(spark, root, (1,))
+    return spark.createDataFrame(G.residual_diagnostics(f))
 
 
 def influence(spark: SparkSession, root: str) -> DataFrame:
-    panel = I.panel(spark, root)
-    y, x = G.panel_arrays(panel.toPandas())  # one row a month
-    return G.leave_one_out(panel, min((0, 1), key=lambda k: G.bivariate(y, x, k)["bic"]))
+    """Refits without each month at the order with the smaller BIC."""
+    return G.leave_one_out(complete_panel(spark, root), min(observed_fits(spark, root), key=lambda f: f[1]["bic"])[0])
 
 
 #: Replicates of the production bootstrap.
@@ -179,7 +188,9 @@ REPLICATES = 5000
 
 
 def replicate_regressions(spark: SparkSession, root: str) -> DataFrame:
-    return G.replicate_regressions(B.replicate_panels(I.long(spark, root), "q1", REPLICATES))
+    """Refits of every replicate that has all months of the observed panel."""
+    months = complete_panel(spark, root).select("year_month")
+    return G.replicate_regressions(B.replicate_panels(I.long(spark, root), "q1", REPLICATES).join(F.broadcast(months), "year_month", "left_semi"))  # a row a month
 
 
 def replicate_effects(spark: SparkSession, root: str) -> DataFrame:

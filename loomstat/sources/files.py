@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
+import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,22 +79,107 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256(f"{df.dtypes}|{n}|{s}".encode()).hexdigest()
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header and quoted line ends, for export; the folder must not exist."""
+    df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    """A Hadoop path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    pointer, fs = _fs(spark, f"{path}/_CURRENT")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def write_if_changed(df: DataFrame, path: str) -> bool:
-    """Write Parquet beside the target and move it there; nothing happens if the content is the same."""
+    """Write a table as a version named by its content, and point to it; False if it is the one pointed to already.
+
+    The rows are computed once. A version is never touched again and the pointer is replaced in one step, so that a
+    reader sees the old table or the new one whenever a writer dies.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and content_hash(spark.read.parquet(path)) == content_hash(df):
-        return False
-    staged = f"{path}.{uuid.uuid4().hex}"
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
+    version = content_hash(spark.read.parquet(staged))[:32]
+    old, (from_, fs), (to, _) = _current(spark, path), _fs(spark, staged), _fs(spark, f"{path}/v-{version}")
+    if fs.exists(to):
+        fs.delete(from_, True)
+    else:
+        fs.rename(from_, to)
+    if old == version:
+        return False
+    (draft, _), (pointer, _) = _fs(spark, f"{path}/_pointer-{uuid.uuid4().hex}"), _fs(spark, f"{path}/_CURRENT")
+    out = fs.create(draft)
+    out.write(version.encode())
+    out.close()
+    jvm = spark.sparkContext._jvm
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(draft, pointer, options)
     return True
 
 
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The version that ``write_if_changed`` points to."""
+    version = _current(spark, path)
+    if version is None:
+        raise ContractError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/v-{version}")
+
+
+def cached_reference(spark: SparkSession, path: str, fetch: Callable[[str], None] | None = None) -> DataFrame | None:
+    """A small reference table kept in a file, which ``fetch`` makes if it isn't there; None if it can't."""
+    target, fs = _fs(spark, path)
+    if not fs.exists(target):
+        try:
+            if fetch is None:
+                return None
+            fetch(path)
+        except OSError:
+            return None
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+def reference_names(current: DataFrame | None, historical: DataFrame | None, born_after: str = "1940-01-01") -> DataFrame | None:
+    """Both tables as one, of the historical only people born after a day (compared as text)."""
+    if historical is not None and "birthday" in historical.columns:
+        historical = historical.where(F.col("birthday") > born_after)
+    tables = [t for t in (current, historical) if t is not None]
+    if not tables:
+        return None
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1], allowMissingColumns=True)
+
+
+@contextlib.contextmanager
+def tee(path: str) -> Iterator[None]:
+    """What is printed inside goes to a report file too."""
+    with open(path, "w", encoding="utf-8") as report:
+
+        class Both:
+            def write(self, text: str) -> int:
+                report.write(text)
+                return out.write(text)
+
+            def flush(self) -> None:
+                report.flush()
+                out.flush()
+
+        out = sys.stdout
+        with contextlib.redirect_stdout(Both()):  # type: ignore[type-var]
+            yield
+
+
 def reserve_root(path: str, under: str) -> Path:
     """A new folder whose name ends in _vN or -vN inside an approved one; it must not exist."""
     p, base = Path(path).resolve(), Path(under).resolve()
@@ -117,6 +204,17 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def lineage(spark: SparkSession, inputs: dict[str, str], outputs: dict[str, str], **settings: object) -> dict:
+    """Hashes of what went in and came out, and the settings; the run id depends on inputs and settings alone."""
+    def hashes(paths: dict[str, str]) -> dict[str, dict[str, str]]:
+        # a row for each file of a few named paths
+        return {name: {Path(r["path"]).name: r["sha256"] for r in file_hashes(spark, p).orderBy("path").collect()} for name, p in paths.items()}
+
+    made = {"inputs": hashes(inputs), "settings": settings}
+    run_id = hashlib.sha256(json.dumps({"inputs": {k: sorted(v.values()) for k, v in made["inputs"].items()}, "settings": settings}, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    return {"run_id": run_id, **made, "outputs": hashes(outputs), "software": {"python": sys.version.split()[0], "spark": spark.version}}
+
+
 class Catalog:
     """Named tables of one root folder, read when asked for and registered as views."""
 

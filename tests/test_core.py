@@ -61,9 +61,23 @@ def test_dominance_adds_up_to_full_r2():
     assert math.isclose(D.general_dominance(p).sum(), 1 - e @ e / ((p[:, 0] - p[:, 0].mean()) ** 2).sum(), abs_tol=1e-10)
 
 
+def test_kernels_over_many_panels_equal_the_plain_ones():
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(50, 40, 4))
+    p[:, :, 0] += p[:, :, 1]
+    p[3, :, 2] = p[3, :, 1]  # predictors that depend on each other
+    p[4, :, 0] = 1.0  # no variance
+    assert np.allclose(D.general_dominance_of(p), [D.general_dominance(x) for x in p], atol=1e-9)
+    y, x1 = rng.normal(size=(20, 40, 2)).cumsum(axis=1) * 0.3, rng.normal(size=(20, 40))
+    x = np.stack([np.ones((20, 40)), x1 - x1.mean(axis=1, keepdims=True), np.broadcast_to(np.arange(40) - 19.5, (20, 40))], axis=2)
+    for order in (0, 1):
+        many, each = G.bivariate_of(y, x, order), [G.bivariate(y[i], x[i], order) for i in range(20)]
+        assert all(np.allclose(many[k], [f[k] for f in each], atol=1e-6) for k in ("phi", "loglik", "bic", "beta"))
+
+
 def test_stationary_draws_run_on():
-    at = D.stationary_indices(np.random.default_rng(2), 30, 5)
-    assert ((np.diff(at) % 30) == 1).mean() > 0.5 and at.min() >= 0 and at.max() < 30
+    at = D.stationary_indices(np.random.default_rng(2), 30, 5, 8)
+    assert at.shape == (8, 30) and ((np.diff(at, axis=1) % 30) == 1).mean() > 0.5 and at.min() >= 0 and at.max() < 30
 
 
 def test_measurement_layer_adds_to_the_temporal(spark):
@@ -89,8 +103,18 @@ def test_ar_likelihood_equals_covariance_form():
 def test_search_finds_the_planted_shift(spark):
     rng = np.random.default_rng(4)
     y = np.where(np.arange(30) < 14, 0.0, 6.0) + rng.normal(size=30) * 0.5
-    best = P.search(spark, y.tolist(), "x", least=5, most=2, orders=(0,)).first()
-    assert best["onsets"] == [15]
+    assert [r["onsets"] for r in P.winners(P.search(spark, y.tolist(), "x", durations=(5, 8), most=2, orders=(0,))).collect()] == [[15], [15]]
+
+
+@pytest.mark.parametrize("phi", [(0.5,), (0.5, -0.3)])
+def test_search_finds_breaks_under_autoregressive_errors(spark, phi):
+    rng = np.random.default_rng(len(phi))
+    e = np.zeros(48)
+    for t in range(48):
+        e[t] = sum(f * e[t - k] for k, f in enumerate(phi, 1) if t >= k) + rng.normal() * 0.3
+    y = np.repeat([0.0, 6.0, -3.0], [15, 14, 19]) + e
+    best = {r["min_duration"]: r for r in P.winners(P.search(spark, y.tolist(), "x", durations=(4, 16), most=2)).collect()}
+    assert best[4]["onsets"] == [16, 30] and all(r["shortest"] >= d for d, r in best.items()) and best[16]["onsets"] != [16, 30]
 
 
 def test_queries_find_four_breaks_with_short_regimes(spark, monkeypatch):
@@ -100,17 +124,33 @@ def test_queries_find_four_breaks_with_short_regimes(spark, monkeypatch):
     level = np.repeat([0.0, 8, 1, 9, 2], [8, 3, 9, 4, 12])
     y = level + rng.normal(size=36) * 0.3
     monkeypatch.setattr(series, "_values", lambda *_: y.tolist())
-    assert series.changepoint_search(spark, DATA).first()["onsets"] == [9, 12, 21, 25]
+    found = {(r["series"], r["min_duration"]): r["onsets"] for r in series.changepoint_winners(spark, DATA).collect()}
+    assert found["gap", 3] == found["index", 3] == [9, 12, 21, 25] and len(found) == 8
     monkeypatch.setattr(series, "_values", lambda *_: (y + 0.5 * np.arange(36)).tolist())
-    best = {r["model_class"]: r for r in series.trend_break_comparison(spark, DATA).collect()}
+    best = {r["model_class"]: r for r in series.trend_break_comparison(spark, DATA).where("min_duration = 3").collect()}
+    assert best["break_plus_trend"]["selected"] and not best["trend_only"]["selected"]
     assert best["break_plus_trend"]["onsets"] == [9, 12, 21, 25] and best["break_plus_trend"]["delta"] == 0
 
 
-def test_bootstrap_queries_have_500_replicates(spark):
+def test_bootstrap_queries_have_5000_replicates(spark):
     from loomstat.plans import series
 
-    assert series._replicate_panels(spark, DATA).select("replicate").distinct().count() == 500
-    assert series.cluster_bootstrap(spark, DATA).select("replicate").distinct().count() == 500
+    assert series.cluster_bootstrap(spark, DATA).select("replicate").distinct().count() == 5000
+    assert series.replicate_regressions(spark, DATA.replace("0.001", "0.01")).groupBy("ar_order").count().collect()[0]["count"] > 4750
+
+
+def test_few_valid_replicates_give_no_summary(spark):
+    fits = spark.createDataFrame([(i, -1.0 - i, 1.0, None if i < 2 else -2.0) for i in range(20)], "replicate int, rep_polarization double, dem_polarization double, contrast double").withColumn("k", F.lit(0))
+    out = {r["effect"]: r for r in G.effects_summary(fits, 20, ["k"]).collect()}
+    assert out["rep_polarization"]["probability_negative"] == 1.0 and out["contrast"]["mean"] is None and out["contrast"]["n_valid"] == 18
+
+
+def test_joint_band_is_wider_than_either(spark):
+    rng = np.random.default_rng(9)
+    rows = [(3, "temporal", i, float(a), float(b), float(c), 1.0) for i, (a, b, c) in enumerate(rng.normal(size=(400, 3)))]
+    r = D.simultaneous_contrasts(spark.createDataFrame(rows, D._DRAW)).first()
+    one = np.abs([c - a for *_, a, b, c, _ in rows] - np.mean([c - a for *_, a, b, c, _ in rows]))
+    assert r["radius"] >= np.quantile(one, 0.95) and not r["both_positive"]
 
 
 def test_influence_uses_the_selected_order(spark, monkeypatch):
@@ -147,6 +187,35 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a == b and len(a) == 24
 
 
+def test_replicate_sums_are_exact_in_any_order(spark):
+    rows = [(i, "2024-01", p, "q1", float(100 * np.sin(i)), float(np.log(2 + i % 5))) for i in range(400) for p in M.PARTIES]
+    df = spark.createDataFrame(rows, "article long, year_month string, party string, dimension string, score double, weight double")
+    runs = [sorted(map(tuple, B.replicate_measures(df.repartition(n, *by), 20).collect())) for n in (1, 2, 3, 5, 7) for by in ((), ("score",))]
+    assert len(runs) == 10 and all(r == runs[0] for r in runs)
+
+
+def test_quartiles_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(10)
+    groups = {"a": rng.lognormal(size=50_000), "ties": np.round(rng.normal(size=40_000), 1), "one": np.full(30_000, 7.0), None: rng.normal(size=5), "single": np.array([3.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None)], "g string, x double").repartition(4)
+    got = {r["g"]: r for r in M.group_quartiles(df, ["g"], "x").collect()}
+    for k, v in groups.items():
+        assert got[k]["n"] == len(v) and np.allclose([got[k]["q25"], got[k]["median"], got[k]["q75"]], np.quantile(v, [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_ingest_operators(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id as string) as publisher").repartition(5).write.parquet(str(tmp_path / "t"))
+    rows = M.with_row_numbers(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert sorted(r["row_no"] for r in rows) == list(range(1000))
+    df = spark.createDataFrame([("a", "REP", "success"), ("b", "x", "range_error")], "publisher string, party string, llm_error_type string")
+    assert [r["source"] for r in M.with_fallback(M.successful(df), "source", "publisher").collect()] == ["a"] and M.with_fallback(df, "party", "publisher").first()["party"] == "REP"
+    assert df.where("publisher = 'a'").select(M.party_or_error(F.col("party"))).first()[0] == "republican"
+    with pytest.raises(Exception, match="no party: x"):
+        df.select(M.party_or_error(F.col("party"))).collect()
+    aligned = M.align(df.select("publisher"), df.where("publisher = 'a'").select("publisher", "party"), ["publisher"]).collect()
+    assert {r["publisher"]: r["party"] for r in aligned} == {"a": "REP", "b": None}
+
+
 def test_contracts(spark):
     df = spark.createDataFrame([("2024-01", 1), ("2024-03", 1)], "year_month string, k int")
     assert [tuple(r) for r in C.calendar_gaps(df, "2024-01", "2024-03").collect()] == [("2024-02", "missing")]
@@ -163,11 +232,66 @@ def test_text_functions(spark):
     assert X.child_seed(42, "a") != X.child_seed(42, "b") and 0 < X.search_seed(42, "a") < 2**31
 
 
+def test_cleaning_modes(spark):
+    df = spark.createDataFrame([("Sen. Ann Lee told the GOP that Kyiv Kyiv needs Governor's office help, said Rep. Joe's aide",)], "t string")
+    args = (["Kyiv"], ["Sen", "Rep"], ["Governor"], ["GOP"], ["office"])
+    masked, removed = df.select(X.clean(F.col("t"), *args, True), X.clean(F.col("t"), *args, False)).first()
+    assert masked == "[ENTITY] told the that [ENTITY] needs office help, said [ENTITY] aide" and removed == "told the that needs office help, said aide"
+
+
+def test_lists_with_bars(spark):
+    df = spark.createDataFrame([([7, 14],), ([],), (None,)], "a array<int>").select(X.pipe_list(F.col("a")).alias("t"))
+    assert [r[0] for r in df.collect()] == ["7|14", "", None] and [r[0] for r in df.select(X.from_pipe_list(F.col("t"), "int")).collect()] == [[7, 14], [], None]
+
+
+def test_reference_tables_and_reports(spark, tmp_path, capsys):
+    made = []
+
+    def fetch(path):
+        made.append(path)
+        Path(path).write_text("first_name,birthday\nAnn,1930-05-05\nBob,1950-01-01\n")
+
+    path = str(tmp_path / "names.csv")
+    for _ in range(2):
+        old = S.cached_reference(spark, path, fetch)
+    assert made == [path] and S.cached_reference(spark, str(tmp_path / "none.csv")) is None
+    assert [r["first_name"] for r in S.reference_names(None, old).collect()] == ["Bob"] and S.reference_names(None, None) is None
+    with S.tee(str(tmp_path / "report.txt")):
+        print("S = 185")
+    assert (tmp_path / "report.txt").read_text() == "S = 185\n" == capsys.readouterr().out
+
+
+def test_translated_headers_and_clean_articles(spark):
+    raw = spark.createDataFrame([("1", "T", "812 words", "2024/03/01", "a", None), ("2", "T", "x", "bad", "a", None)], "Nr string, Titel string, Wortzahl string, Datum string, body_1 string, body_2 string")
+    df = S.clean_articles(S.translate(raw, {"Nr": "row_index", "Titel": "title", "Wortzahl": "word_count", "Datum": "date", "body_1": "body_1", "body_2": "body_2"}).withColumn("date", F.when(F.col("date").rlike("^[0-9]"), F.col("date"))))
+    r = df.collect()
+    assert len(r) == 1 and r[0]["word_count"] == 812 and str(r[0]["date"]) == "2024-03-01" and r[0]["body"] == "a"
+    with pytest.raises(C.ContractError):
+        S.translate(raw, {"nope": "x"})
+
+
+def test_measurement_run_and_tables(spark, tmp_path):
+    from loomstat.plans import publication
+
+    one = publication.measurement_run(spark, DATA, str(tmp_path / "a"), replicates=40)
+    two = publication.measurement_run(spark, DATA, str(tmp_path / "b"), replicates=40)
+    assert one["run_id"] == two["run_id"] and set(one["outputs"]) == {"replicates", "stance", "polarization", "coherence", "index"} and json.loads((tmp_path / "a" / "run.json").read_text())["run_id"] == one["run_id"]
+    assert publication.measurement_run(spark, DATA, str(tmp_path / "c"), replicates=40, seed=1)["run_id"] != one["run_id"]
+    text = json.loads(Path(publication.write_tables(spark, DATA, str(tmp_path / "t"), ("s_decomposition", "regimes", "dominance_observed", "candidate_models"))).read_text())
+    assert text["regimes"]["header"][0] == "Regime" and text["regimes"]["rows"][0][-1] == "" and len(text) == 4
+    assert len(publication.TABLES) == 14 and spark.read.option("header", True).csv(str(tmp_path / "t" / "regimes")).count() == len(text["regimes"]["rows"])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n"one\ntwo ""q""",2\n')
     assert S.read_csv(spark, str(tmp_path / "a.csv"), ("x", "y")).first()["x"] == 'one\ntwo "q"'
     df = spark.range(5)
-    assert S.write_if_changed(df, str(tmp_path / "t")) and not S.write_if_changed(df.repartition(3), str(tmp_path / "t"))
+    table = str(tmp_path / "t")
+    assert S.write_if_changed(df, table) and not S.write_if_changed(df.repartition(3), table) and S.read_current(spark, table).count() == 5
+    assert S.write_if_changed(spark.range(6), table) and S.read_current(spark, table).count() == 6 and S.write_if_changed(df, table)
+    assert sorted(p.name[:2] for p in Path(table).iterdir() if not p.name.startswith(".")) == ["_C", "v-", "v-"]
+    with pytest.raises(S.ContractError):
+        S.read_current(spark, str(tmp_path / "no"))
     S.write_json_lines(df, str(tmp_path / "j"))
     assert S.read_json_lines(spark, str(tmp_path / "j")).count() == 5
     assert json.loads(Path(tmp_path, "m.json").read_text())["run_id"] == run if (run := S.write_metadata(str(tmp_path / "m.json"), a=1)) else False
