@@ -93,23 +93,23 @@ def fit(y: np.ndarray, taus: tuple[int, ...], p: int, trend: bool = False) -> di
     return {"phi": best, "beta": beta, "s2": s2, "innovation": u / math.sqrt(s2), "loglik": loglik, "bic": bic, "objective": bic + len(taus) * math.log(n), "cov": cov, "mean": x @ beta}
 
 
-def configurations(n: int, least: int, most: int) -> Iterator[tuple[int, ...]]:
-    """All sets of 1-based onsets with regimes of at least ``least`` months and at most ``most`` onsets."""
-    def grow(prefix: tuple[int, ...], start: int) -> Iterator[tuple[int, ...]]:
-        yield prefix
-        if len(prefix) < most:
-            for tau in range(start + least, n - least + 2):
-                yield from grow((*prefix, tau), tau)
-
-    return grow((), 1)
-
-
 def shortest_regime(onsets: tuple[int, ...], n: int) -> int:
     """Months of the shortest regime."""
     at = (1, *onsets, n + 1)
     return min(b - a for a, b in zip(at, at[1:]))
 
 
+def valid_onsets(onsets: tuple[int, ...], n: int, least: int) -> bool:
+    """Whether 1-based onsets are in order, each once, with regimes of at least ``least`` months."""
+    return list(onsets) == sorted(set(onsets)) and shortest_regime(onsets, n) >= least
+
+
+def suggested_onsets(n: int, least: int, most: int = 4) -> list[tuple[int, ...]]:
+    """Evenly spaced onsets for each number of them that the least duration allows; halves go to the even month."""
+    even = [tuple(round(1 + k * n / (m + 1)) for k in range(1, m + 1)) for m in range(min(most, n // least - 1) + 1)]
+    return [t for t in even if valid_onsets(t, n, least)]
+
+
 def search(spark: SparkSession, y: list[float], name: str, durations: tuple[int, ...] = (3, 4, 5, 6), most: int = 4, orders: tuple[int, ...] = (0, 1, 2), keep: int = 20, trend: bool = False) -> DataFrame:
     """The ``keep`` best configurations of one series for each least duration of a regime: every set of onsets and order is tried.
 

@@ -68,6 +68,25 @@ def draws(n: int, replicates: int, seed: int, namespace: str) -> Iterator[tuple[
         yield start, np.bincount(at.ravel(), minlength=size * n).reshape(size, n)
 
 
+def sequential_states(sizes: dict[str, int], replicates: int, seed: int) -> dict[str, dict]:
+    """States of one generator before each month, in order, as it draws all replicates of one month after the other.
+
+    With ``seed`` the child seed of a run by a single stream, ``cluster_bootstrap`` given these states draws that
+    run's counts, though months are drawn apart. The numbers are drawn here once more, on the driver: for parity with such a run, not for scale.
+    """
+    rng, states = np.random.default_rng(seed), {}
+    for month, n in sorted(sizes.items()):
+        states[month] = rng.bit_generator.state
+        rng.multinomial(n, np.full(n, 1.0 / n), size=replicates)
+    return states
+
+
+def _drawn_from(state: dict, n: int, replicates: int) -> Iterator[tuple[int, np.ndarray]]:
+    rng = np.random.default_rng()
+    rng.bit_generator.state = state
+    yield 0, rng.multinomial(n, np.full(n, 1.0 / n), size=replicates)
+
+
 def _usable(part: pd.DataFrame) -> pd.DataFrame:
     s, w = part["score"].to_numpy(float), part["weight"].to_numpy(float)
     return part[np.isfinite(s) & np.isfinite(w) & (w > 0)]
@@ -76,10 +95,11 @@ def _usable(part: pd.DataFrame) -> pd.DataFrame:
 _OUT = "replicate bigint, year_month string, party string, dimension string, mean double, raw_iqr double"
 
 
-def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster") -> DataFrame:
+def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster", states: dict[str, dict] | None = None) -> DataFrame:
     """Mean and interquartile range of each month, party, dimension and replicate.
 
-    A group is one month and dimension; the counts of a month are drawn alike for each of its dimensions.
+    A group is one month and dimension; the counts of a month are drawn alike for each of its dimensions,
+    from ``states`` if they are given.
     """
     rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight")
 
@@ -88,7 +108,8 @@ def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, n
         articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
         parts = [(party, _usable(part)) for party, part in pdf.assign(at=at).groupby("party")]
         out = []
-        for start, counts in draws(len(articles), replicates, seed, f"{namespace}_{month}"):
+        drawing = _drawn_from(states[month], len(articles), replicates) if states else draws(len(articles), replicates, seed, f"{namespace}_{month}")
+        for start, counts in drawing:
             for party, part in parts:
                 mean, iqr = _measured(part, counts)
                 out.append(pd.DataFrame({"replicate": np.arange(start, start + len(counts)), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": iqr}))

@@ -81,6 +81,28 @@ def ljung_box(series: DataFrame, lags: int) -> DataFrame:
     return autocorrelation(series, lags).groupBy("series").agg((F.max(F.col("n") * (F.col("n") + 2)) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag")))).alias("Q"))
 
 
+def quasi_differences(series: DataFrame, phi: float) -> DataFrame:
+    """(series, t, starts, q): y less phi times the month before; after a gap the errors start again, scaled by sqrt(1 - phi^2)."""
+    w = Window.partitionBy("series").orderBy("t")
+    starts = F.coalesce(F.col("t") - F.lag("t").over(w) > 1, F.lit(True))
+    q = F.when(F.col("starts"), F.col("y") * math.sqrt(1 - phi * phi)).otherwise(F.col("y") - phi * F.col("before"))
+    return series.withColumns({"starts": starts, "before": F.lag("y").over(w)}).withColumn("q", q).select("series", "t", "starts", "q")
+
+
+def average_ranks(series: DataFrame) -> DataFrame:
+    """(series, t, y, rank): ranks by value, ties at the mean of their places."""
+    rank = F.rank().over(Window.partitionBy("series").orderBy("y"))
+    ties = F.count(F.lit(1)).over(Window.partitionBy("series", "y"))
+    return series.where("y is not null").select("series", "t", "y", (rank + (ties - 1) / 2).alias("rank"))
+
+
+def contrast_identity(first: DataFrame, second: DataFrame, gap: DataFrame) -> DataFrame:
+    """(n_pairs, largest_difference) between differences of two series' slopes and the slopes of their gap, over the same pairs."""
+    of = lambda s, n: pairs(s).select("i", "j", F.col("slope").alias(n))
+    both = of(first, "a").join(of(second, "b"), ["i", "j"]).join(of(gap, "g"), ["i", "j"])
+    return both.agg(F.count(F.lit(1)).alias("n_pairs"), F.max(F.abs(F.col("a") - F.col("b") - F.col("g"))).alias("largest_difference"))
+
+
 def acf(y: np.ndarray, lags: int) -> np.ndarray:
     a = y - y.mean()
     v = float(a @ a)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.dist import normal_quantile
-from loomstat.functions.text import p_text
+from loomstat.functions.text import child_seed, p_text, search_seed
 from loomstat.operators import changepoint as P
 from loomstat.operators import dominance as D
 from loomstat.operators import measure as M
@@ -43,6 +43,29 @@ def paired_slope_contrast(spark: SparkSession, root: str) -> DataFrame:
     return T.paired_contrast(I.series(spark, root, "rep"), I.series(spark, root, "dem")).select("n_pairs", *r6("paired_contrast", "difference_of_medians"))
 
 
+def contrast_identity(spark: SparkSession, root: str) -> DataFrame:
+    """That the parties' slopes differ by the slope of their gap."""
+    s = I.reporting_series(spark, root)
+    of = lambda n: s.where(F.col("series") == n)
+    return T.contrast_identity(of("rep"), of("dem"), of("gap")).select("n_pairs", *r6("largest_difference"))
+
+
+def quasi_differences(spark: SparkSession, root: str) -> DataFrame:
+    """The gap without every seventh month, quasi-differenced."""
+    return T.quasi_differences(I.series(spark, root).where("t % 7 <> 3"), 0.4).select("series", "t", "starts", *r6("q"))
+
+
+def average_ranks(spark: SparkSession, root: str) -> DataFrame:
+    """Ranks of the gap in whole points, with ties."""
+    return T.average_ranks(I.series(spark, root).withColumn("y", F.bround("y"))).select("series", "t", *r6("y", "rank"))
+
+
+def child_seeds(spark: SparkSession, root: str) -> DataFrame:
+    """Seeds of named streams, whole and in 31 bits."""
+    names = [f"stream_{i}" for i in range(20)]
+    return spark.createDataFrame([(n, f"{child_seed(42, n):032x}", search_seed(42, n)) for n in names], "stream string, seed string, small_seed bigint")
+
+
 def acf_bartlett(spark: SparkSession, root: str) -> DataFrame:
     return T.autocorrelation(I.series(spark, root)).select("lag", "n", *r6("acf", "band"), "outside")
 
@@ -287,6 +310,12 @@ _FOUR = (
 ORACLE["hamed_rao_test"] = f"{_FOUR} SELECT series, CAST(n AS INTEGER) AS n, S, round(variance, 6) AS variance, round(factor, 6) AS factor, round(Z, 6) AS Z, round(S / n_pairs, 6) AS tau, round(sen_slope, 6) AS sen_slope, CASE WHEN abs(Z) <= {-_Z!r} THEN 'no trend' WHEN S > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM fz"
 
 
+ORACLE["contrast_identity"] = f"{_W}, r AS (SELECT row_number() OVER (ORDER BY year_month) - 1 AS t, round(rep_mean, 9) AS a, round(dem_mean, 9) AS b, round(rep_mean - dem_mean, 9) AS g FROM gap WHERE dimension = 'q1'), d AS (SELECT abs((y.a - x.a) / (y.t - x.t) - (y.b - x.b) / (y.t - x.t) - (y.g - x.g) / (y.t - x.t)) AS d FROM r x JOIN r y ON x.t < y.t) SELECT count(*) AS n_pairs, round(max(d), 6) AS largest_difference FROM d"
+ORACLE["quasi_differences"] = f"{_W}, k AS (SELECT *, lag(t) OVER (ORDER BY t) AS p, lag(y) OVER (ORDER BY t) AS py FROM series WHERE t % 7 <> 3) SELECT series, CAST(t AS INTEGER) AS t, coalesce(t - p > 1, true) AS starts, round(CASE WHEN coalesce(t - p > 1, true) THEN y * sqrt(1 - 0.4 * 0.4) ELSE y - 0.4 * py END, 6) AS q FROM k"
+ORACLE["average_ranks"] = f"{_W}, k AS (SELECT series, t, round_even(y, 0) AS y FROM series WHERE y IS NOT NULL) SELECT series, CAST(t AS INTEGER) AS t, y, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS rank FROM k"
+ORACLE["child_seeds"] = "WITH n AS (SELECT 'stream_' || i AS stream FROM range(20) t(i)), h AS (SELECT stream, left(sha256('loomstat-seed-1|42|' || stream), 32) AS seed FROM n) SELECT stream, seed, CAST(CAST('0x' || left(seed, 16) AS UBIGINT)::UHUGEINT * 18446744073709551616::UHUGEINT % 2147483646 + CAST('0x' || right(seed, 16) AS UBIGINT) % 2147483646 AS BIGINT) % 2147483646 + 1 AS small_seed FROM h"
+
+
 def _pacf_sql(lags: int) -> str:
     sql = f"{_ACF}, l0 AS (SELECT max(n) AS n, " + ", ".join(f"max(acf) FILTER (lag = {k}) AS r{k}" for k in range(1, lags + 1)) + " FROM rho)"
     for k in range(1, lags + 1):

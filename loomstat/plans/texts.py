@@ -103,6 +103,14 @@ def pipe_lists(spark: SparkSession, root: str) -> DataFrame:
     return days.select("day", X.pipe_list(F.col("types")).alias("types")).select("day", "types", F.size(X.from_pipe_list(F.col("types"))).alias("n_types"), X.truncated(F.col("types"), 20).alias("short"))
 
 
+def clean_export(spark: SparkSession, root: str) -> DataFrame:
+    """Articles in the form of a raw export, with bodies in parts, words and days as text, cleaned; the first of equal articles stays."""
+    a = read_table(spark, root, "articles").where("body is not null and title is not null").dropDuplicates(["article_no"])
+    raw = a.select(F.col("article_no").alias("Nr"), F.col("title").alias("Titel"), F.concat(F.col("word_count").cast("string"), F.lit(" words")).alias("Woerter"), F.date_format("date", "yyyy/MM/dd").alias("Datum"), F.substring("body", 1, 100).alias("body_1"), F.lit(None).cast("string").alias("body_2"), F.nullif(F.substring("body", 101, 100), F.lit("")).alias("body_3"))
+    named = S.translate(raw, {"Nr": "row_index", "Titel": "title", "Woerter": "word_count", "Datum": "date", "body_1": "body_1", "body_2": "body_2", "body_3": "body_3"})
+    return S.clean_articles(named).select("row_index", "word_count", F.date_format("date", "yyyy-MM-dd").alias("day"), F.md5("body").alias("body_md5"))
+
+
 def original_sentences(spark: SparkSession, root: str) -> DataFrame:
     """Each document with the first sentence of the last document of its title."""
     docs = read_table(spark, root, "documents").select("doc_id", "title", X.sentences(F.col("text")).alias("s"))
@@ -186,6 +194,7 @@ ORACLE = {
     "salience_filter": f"{_SENT}, k AS (SELECT doc_id, count(*) FILTER (t AND a AND NOT b) AS a, count(*) FILTER (t AND b AND NOT a) AS b, count(*) AS n FROM (SELECT doc_id, regexp_matches(sentence, '{_WORDS(TOPIC)}') AS t, regexp_matches(sentence, '{_WORDS(SIDE_A)}') AS a, regexp_matches(sentence, '{_WORDS(SIDE_B)}') AS b FROM e) GROUP BY 1) SELECT doc_id, round(a / n, 6) AS salience_a, round(b / n, 6) AS salience_b FROM k WHERE greatest(a, b) / n >= 0.02",
     "result_lines": "WITH e AS (SELECT CASE WHEN event_id % 7 <> 0 THEN event_id ELSE -1 END AS row_index, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) SELECT row_index, count(*) AS n_lines, count(*) FILTER (v BETWEEN 0 AND 100) AS n_scored, max(v) FILTER (v BETWEEN 0 AND 100) AS highest FROM e GROUP BY 1",
     "pipe_lists": "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types, count(DISTINCT event_type) AS n FROM events GROUP BY 1) SELECT day, types, CAST(n AS INTEGER) AS n_types, left(types, 20) AS short FROM d",
+    "clean_export": "WITH a AS (SELECT article_no, any_value(title) AS title, any_value(word_count) AS w, any_value(date) AS d, any_value(body) AS body FROM articles WHERE body IS NOT NULL AND title IS NOT NULL GROUP BY 1), r AS (SELECT *, concat_ws(' ', substr(body, 1, 100), nullif(substr(body, 101, 100), '')) AS b FROM a) SELECT article_no AS row_index, w AS word_count, strftime(d, '%Y-%m-%d') AS day, md5(b) AS body_md5 FROM r QUALIFY row_number() OVER (PARTITION BY title, substr(b, 1, 50) ORDER BY article_no) = 1",
     "original_sentences": f"{_SENT}, l AS (SELECT title, max(doc_id) AS doc_id FROM documents WHERE title IS NOT NULL GROUP BY 1), f AS (SELECT l.title, a[1] AS first FROM l LEFT JOIN s USING (doc_id)) SELECT d.doc_id, md5(first) AS first_md5 FROM documents d LEFT JOIN f USING (title)",
     "stable_article_id": "SELECT doc_id, CASE WHEN title IS NOT NULL AND source IS NOT NULL THEN 'art_v1_' || sha256('{\"source\":' || CAST(to_json(source) AS VARCHAR) || ',\"title\":' || CAST(to_json(title) AS VARCHAR) || '}') END AS stable_id FROM documents",
     "json_score_parse": "WITH e AS (SELECT event_id, props, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v, json_extract_string(props, '$.k') AS raw FROM events) SELECT event_id, CASE WHEN v BETWEEN 0 AND 100 THEN v END AS k, CASE WHEN props IS NULL OR NOT json_valid(props) THEN 'json_error' WHEN raw IS NOT NULL AND raw NOT IN ('NA', 'na') AND (v IS NULL OR v NOT BETWEEN 0 AND 100) THEN 'range_error' ELSE 'success' END AS error_type FROM e",

@@ -187,6 +187,22 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     assert a == b and len(a) == 24
 
 
+def test_months_drawn_apart_follow_one_stream(spark):
+    rows = [(m, i, p, "q1", float((7 * i) % 11), 1.0) for m, n in (("2024-01", 9), ("2024-02", 12)) for i in range(n) for p in M.PARTIES]
+    df = spark.createDataFrame(rows, "year_month string, article long, party string, dimension string, score double, weight double")
+    states = B.sequential_states({"2024-01": 9, "2024-02": 12}, 5, 123)
+    got = {(r["year_month"], r["replicate"]): r["mean"] for r in B.cluster_bootstrap(df, 5, states=states).where("party = 'democrat'").collect()}
+    rng = np.random.default_rng(123)
+    for month, n in (("2024-01", 9), ("2024-02", 12)):
+        counts, s = rng.multinomial(n, np.full(n, 1 / n), size=5), np.array([float((7 * i) % 11) for i in range(n)])
+        assert all(math.isclose(got[month, k], c @ s / n) for k, c in enumerate(counts))
+
+
+def test_suggested_onsets():
+    assert P.suggested_onsets(34, 6) == [(), (18,), (12, 24), (10, 18, 26), (8, 15, 21, 28)]
+    assert P.valid_onsets((4, 8), 10, 3) and not P.valid_onsets((4, 9), 10, 3) and not P.valid_onsets((8, 4), 10, 3)
+
+
 def test_replicate_sums_are_exact_in_any_order(spark):
     rows = [(i, "2024-01", p, "q1", float(100 * np.sin(i)), float(np.log(2 + i % 5))) for i in range(400) for p in M.PARTIES]
     df = spark.createDataFrame(rows, "article long, year_month string, party string, dimension string, score double, weight double")
