@@ -96,50 +96,48 @@ def raw_iqr(score: str = "score", minimum: int = 4, frequency: str | None = None
 ACCURACY = 10_000
 
 
-def group_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, q25, median, q75): exact linear quartiles of the values that aren't null, with a state that doesn't grow with the group.
+def group_quartiles(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """(keys, n, q25, median, q75, more): exact linear quartiles of the values that aren't null, with a state that doesn't grow with the group.
 
-    A quantile sketch first brackets each quartile by values within a known rank error. Values are
-    then counted: one by one inside a bracket, together outside, with map-side sums. The ranks wanted are
-    read off the running counts, over the few distinct values that are left.
+    A quantile sketch first brackets each quartile by values within a known rank error; ``more`` are
+    aggregates made in the same pass. Values are then counted: one by one inside a bracket, together outside, with
+    map-side sums. The ranks wanted are read off the running counts, over the few distinct values that are left.
+    ``df`` is read twice.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    x = F.col(value).cast("double")
     e = 3 / ACCURACY
     wanted = [q + d for q in (0.25, 0.5, 0.75) for d in (-e, e)]
-    sketch = F.percentile_approx("_x", wanted, ACCURACY)
-    bound = rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), sketch.alias("_b"))
-    few = F.col("_n") < 2 * ACCURACY  # here a rank is worth more than the sketch's error
+    few = F.col("n") < 2 * ACCURACY  # here a rank is worth more than the sketch's error
+    made = df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("_min"), F.max(x).alias("_max"), F.percentile_approx(x, wanted, ACCURACY).alias("_b"), *more)
     ends = [F.when(few, F.col("_max" if i % 2 else "_min")).otherwise(F.col("_b")[i]).alias(f"_e{i}") for i in range(6)]
-    bound = bound.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", *ends)
+    groups = cut(made.select("*", *ends, F.monotonically_increasing_id().alias("_group")).drop("_min", "_max", "_b"))
+    bound = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_group", *[f"_e{i}" for i in range(6)])
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    x = F.col("_x")
-    inside = F.lit(False)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, x.alias("_x")).join(bound, same)
+    x, inside = F.col("_x"), F.lit(False)
     for i in (0, 2, 4):
         inside = inside | x.between(F.col(f"_e{i}"), F.col(f"_e{i + 1}"))
     # outside the brackets a value counts only by which of them it lies beyond
     beyond = sum((F.when(x > F.col(f"_e{i}"), 1).otherwise(0) for i in (1, 3, 5)), F.lit(0))
     place = F.struct(F.when(inside, x).when(beyond == 0, F.lit(float("-inf"))).when(beyond == 1, F.col("_e1")).when(beyond == 2, F.col("_e3")).otherwise(F.col("_e5")).alias("x"), F.when(inside, 0).otherwise(beyond).alias("beyond"))
-    counted = rows.join(bound, same).groupBy(*keys, "_n", place.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")))
+    counted = rows.groupBy("_group", place.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    of_group = Window.partitionBy("_group")
+    upto = counted.withColumns({"_upto": F.sum("_c").over(of_group.orderBy("_v")), "_n": F.sum("_c").over(of_group)})
     at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))["x"]
     ranks = {q: (F.col("_n") - 1) * q for q in (0.25, 0.5, 0.75)}
-    found = upto.groupBy(*keys, "_n").agg(*[at(f(h)).alias(f"_{side}{q}") for q, h in ranks.items() for side, f in (("a", F.floor), ("b", F.ceil))])
+    found = upto.groupBy("_group", "_n").agg(*[at(f(h)).alias(f"_{side}{q}") for q, h in ranks.items() for side, f in (("a", F.floor), ("b", F.ceil))])
     between = lambda q, h: F.when(F.col(f"`_a{q}`") == F.col(f"`_b{q}`"), F.col(f"`_a{q}`")).otherwise((F.ceil(h) - h) * F.col(f"`_a{q}`") + (h - F.floor(h)) * F.col(f"`_b{q}`"))
-    return found.select(*keys, F.col("_n").alias("n"), *[between(q, h).alias(name) for (q, h), name in zip(ranks.items(), ("q25", "median", "q75"))])
+    quartiles = found.select("_group", *[between(q, h).alias(name) for (q, h), name in zip(ranks.items(), ("q25", "median", "q75"))])
+    return groups.drop(*[f"_e{i}" for i in range(6)]).join(quartiles, "_group", "left").drop("_group")
 
 
 def monthly_stance(long: DataFrame) -> DataFrame:
-    """Weighted mean, interquartile range and number of articles by month, party and dimension."""
+    """Weighted mean, interquartile range and number of articles by month, party and dimension; ``long`` is read twice."""
     keys = ["year_month", "party", "dimension"]
-    long = cut(long)
-    means = long.groupBy(*keys).agg(weighted_mean().alias("mean"), F.count("score").alias("n_articles"))
-    quartiles = group_quartiles(long, keys, "score").select(*[F.col(k).alias(f"_{k}") for k in keys], F.when(F.col("n") >= 4, F.col("q75") - F.col("q25")).alias("raw_iqr"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return means.join(quartiles, same, "left").select(*keys, "mean", "raw_iqr", "n_articles")
+    made = group_quartiles(long, keys, "score", weighted_mean().alias("mean"))
+    return made.select(*keys, "mean", F.when(F.col("n") >= 4, F.col("q75") - F.col("q25")).alias("raw_iqr"), F.col("n").alias("n_articles"))
 
 
 def monthly_polarization(stance: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def long(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stance(spark: SparkSession, root: str) -> DataFrame:
-    return M.monthly_stance(long(spark, root))
+    return M.monthly_stance(M.unpivot_dimensions(cut(rollup(spark, root))))
 
 
 def gap(spark: SparkSession, root: str) -> DataFrame:
