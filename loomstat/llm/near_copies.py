@@ -12,7 +12,7 @@ phrases, so lists are divided as in DivideSkip:
   sort does the heap's work) and give each pair its number of shared features.
   A pair goes on from T = REQUIRED shared features: at J = 0.5 it has 10 of 320
   on average and fewer than 2 with a chance of about 1 in 2,000, at J = 0.55 of
-  1 in 100,000.
+  1 in 500,000.
 * *Long lists* are those of the single runs. They are never merged: for a pair
   from the short lists each run of the smaller text is looked up by binary search
   in the sorted runs of the larger, and the pair is retained if the overlap

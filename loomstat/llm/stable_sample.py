@@ -60,7 +60,7 @@ def unpermute(words: list[int], seed: int = SEED, rounds: int = ROUNDS) -> list[
 
 def with_permuted(df: DataFrame, identifier: str, seed: int = SEED, rounds: int = ROUNDS) -> DataFrame:
     """``df`` with the canonical id as record_id and the first 53 bits of its permuted number as permuted."""
-    out = df.withColumn("record_id", canonical(F.col(identifier))).where("record_id <> ''").withColumn("_d", digits(F.col("record_id")))
+    out = df.drop("permuted", "_d").withColumn("record_id", canonical(F.col(identifier))).where("record_id <> ''").withColumn("_d", digits(F.col("record_id")))
     word = "cast(conv(substring({0}, cast(8 * i + 1 as int), 8), 16, 10) as bigint)"
     words = "transform(sequence({1}, {2}), i -> " + word + ")"
     # one fold over the rounds: written as columns on columns, the optimizer would inline each round into the next

@@ -424,3 +424,27 @@ def test_each_signal_decides(text, signal, kind, without):
 def test_blank_text_has_no_kind(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string")
     assert [r["kind"] for r in text_quality.with_kind(df, "doc_id", "text", every=True).collect()] == [None] * 3
+
+
+# all
+def test_empty_tables_and_clashing_columns(spark):
+    texts = "doc_id long, text string, id string, key string, label string, line string, kind string, n_tokens string, found string"
+    for df, n in ((spark.createDataFrame([], texts), 0), (spark.createDataFrame([(1, None, *["x"] * 7), (2, "", *["x"] * 7), (3, "One line. Two.", *["x"] * 7)], texts), 3)):
+        assert token_ids.with_ids(df, "doc_id", "text").count() == n
+        assert text_quality.with_kind(df, "doc_id", "text").count() == n
+        assert sentences.with_units(df, "doc_id", "text").count() == (2 if n else 0)
+        sized = token_ids.with_lengths(df, "doc_id", "text")
+        kinds = spark.createDataFrame([("s", 4)], "container_kind string, capacity_tokens long")
+        assert packing.containers_of(sized, kinds).agg(F.sum("n_tokens")).first()[0] == (len(token_ids.encode("One line. Two.", token_ids.vocabulary())) if n else None)
+        assert packing.containers_of(sized, kinds.where("false")).count() == 0
+    articles = spark.createDataFrame([], "article_no long, title string, body string, id long, key long, k1 long, part int")
+    pairs, who = near_copies.near_copies(articles, "article_no", "title", "body")
+    assert pairs.count() == 0 and near_copies.record_pairs(pairs, who).count() == 0
+    rows = [(1, "t", "the same words in both of them here", 5, 6, 7, 8), (2, None, "the same words in both of them here!", 5, 6, 7, 8), (3, "t", None, None, None, None, None)]
+    pairs, who = near_copies.near_copies(spark.createDataFrame(rows, articles.schema), "article_no", "title", "body")
+    assert [tuple(r) for r in near_copies.record_pairs(pairs, who).collect()] == [(1, 2)]
+    ids = spark.createDataFrame([], "stable_article_id string, load_batch int, record_id string, permuted long")
+    assert stable_sample.sample(ids, "stable_article_id", "load_batch").count() == 0
+    none = quota_sample.categorised(spark.createDataFrame([], "sample_id long, party_mentioned string, date string, quota long"))
+    targets = read_table(spark, DATA, "sample_targets")
+    assert quota_sample.report(spark, none, targets).where("quota > 0").count() == 0
