@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstat.functions.text import child_seed
-from loomstat.operators.contracts import require_share
 from loomstat.operators.measure import DIMENSIONS, PARTIES, raw_iqr
 from loomstat.session import by_group
 
@@ -209,8 +208,3 @@ def stream_stability(first: DataFrame, second: DataFrame, keys: list[str]) -> Da
 def attach(point: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Intervals beside point estimates, one to one; a point without an interval keeps its row."""
     return point.join(intervals, keys, "left")
-
-
-def require_complete(n_valid: int, replicates: int, share: float = 0.95) -> None:
-    """Fail if too few replicates can be used."""
-    require_share(n_valid, replicates, share)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings of sessions made here; a session handed in by a caller keeps its own.
@@ -58,21 +59,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/loomstat-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[str] = []
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+    """Remove the written tables, whether the session has been stopped or not."""
+    jvm = SparkContext._jvm
+    for path in _WRITTEN:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended; the folder's own retention has to remove it
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        except Exception:  # the JVM has ended; the folder's own retention has to remove it
             return
 
 

@@ -248,6 +248,19 @@ def test_text_functions(spark):
     assert X.child_seed(42, "a") != X.child_seed(42, "b") and 0 < X.search_seed(42, "a") < 2**31
 
 
+def test_catalog_reads_named_tables(spark):
+    tables = S.Catalog(spark, DATA, {"nations": "nation.parquet", "zones": "region.parquet"})
+    assert tables["nations"].count() == 25 and tables["zones"].count() == 5 and spark.sql("select count(*) from nations").first()[0] == 25
+    with pytest.raises(C.ContractError):
+        S.read_any(spark, "x.docx")
+
+
+def test_partial_autocorrelation_equals_yule_walker(spark):
+    y = np.random.default_rng(11).normal(size=40).cumsum()
+    df = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "series string, t int, y double")
+    assert np.allclose([r["pacf"] for r in T.partial_autocorrelations(df).orderBy("lag").collect()], T.pacf(y, 6), atol=1e-9)
+
+
 def test_cleaning_modes(spark):
     df = spark.createDataFrame([("Sen. Ann Lee told the GOP that Kyiv Kyiv needs Governor's office help, said Rep. Joe's aide",)], "t string")
     args = (["Kyiv"], ["Sen", "Rep"], ["Governor"], ["GOP"], ["office"])
