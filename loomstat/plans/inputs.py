@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstat.operators import measure as M
@@ -38,10 +38,6 @@ def stance(spark: SparkSession, root: str) -> DataFrame:
 
 
 def gap(spark: SparkSession, root: str) -> DataFrame:
-    return _gaps(spark, root)
-
-
-def _gaps(spark: SparkSession, root: str) -> DataFrame:
     """Gaps without the interquartile range, which the series don't need."""
     means = long(spark, root).groupBy("year_month", "party", "dimension").agg(M.weighted_mean().alias("mean"), F.count("score").alias("n_articles"))
     return M.monthly_polarization(means)
@@ -50,7 +46,7 @@ def _gaps(spark: SparkSession, root: str) -> DataFrame:
 def series(spark: SparkSession, root: str, name: str = "gap") -> DataFrame:
     """Gap, or a party's mean, of q1 by month."""
     column = {"gap": "polarization", "rep": "rep_mean", "dem": "dem_mean"}[name]
-    return cut(T.as_series(_gaps(spark, root).where("dimension = 'q1'").withColumn("v", F.round(column, 9)), name, "v"))
+    return cut(T.as_series(gap(spark, root).where("dimension = 'q1'").withColumn("v", F.round(column, 9)), name, "v"))
 
 
 def reporting_series(spark: SparkSession, root: str) -> DataFrame:
@@ -67,8 +63,6 @@ def reporting_series(spark: SparkSession, root: str) -> DataFrame:
 
 def panel(spark: SparkSession, root: str) -> DataFrame:
     """(t, year_month, polarization, rep, dem): the gap of q1 with both parties' dispersion."""
-    from pyspark.sql import Window
-
     wide = M.composite_index(stance(spark, root))
     t = (F.row_number().over(Window.orderBy("year_month")) - 1).alias("t")  # one calendar
     return cut(wide.select(t, "year_month", F.round("polarization", 9).alias("polarization"), F.round("rep_raw_iqr", 9).alias("rep"), F.round("dem_raw_iqr", 9).alias("dem")))
