@@ -33,8 +33,13 @@ def long(spark: SparkSession, root: str) -> DataFrame:
     return M.unpivot_dimensions(rollup(spark, root))
 
 
+def written_long(spark: SparkSession, root: str) -> DataFrame:
+    """The same, for operators that read it more than once."""
+    return M.unpivot_dimensions(cut(rollup(spark, root)))
+
+
 def stance(spark: SparkSession, root: str) -> DataFrame:
-    return M.monthly_stance(M.unpivot_dimensions(cut(rollup(spark, root))))
+    return M.monthly_stance(written_long(spark, root))
 
 
 def gap(spark: SparkSession, root: str) -> DataFrame:

@@ -81,7 +81,7 @@ def na_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bootstrap_given_counts(spark: SparkSession, root: str) -> DataFrame:
-    return B.replicate_measures(I.long(spark, root), REPLICATES).select("replicate", "year_month", "party", "dimension", *r6("mean"), *r10("raw_iqr"), F.col("n_drawn").cast("bigint").alias("n_drawn"))
+    return B.replicate_measures(I.written_long(spark, root), REPLICATES).select("replicate", "year_month", "party", "dimension", *r6("mean"), *r10("raw_iqr"), F.col("n_drawn").cast("bigint").alias("n_drawn"))
 
 
 def percentile_intervals(spark: SparkSession, root: str) -> DataFrame:
@@ -96,14 +96,14 @@ def stance_with_intervals(spark: SparkSession, root: str) -> DataFrame:
 
 def index_intervals(spark: SparkSession, root: str) -> DataFrame:
     """Intervals of the index, recalibrated in each replicate."""
-    made = B.replicate_measures(I.long(spark, root).where("dimension = 'q1'"), REPLICATES)
+    made = B.replicate_measures(I.written_long(spark, root).where("dimension = 'q1'"), REPLICATES)
     return M.index_intervals(made, REPLICATES).select("year_month", "n_valid", *r6("ci_lower", "ci_upper"))
 
 
 def stream_stability(spark: SparkSession, root: str) -> DataFrame:
     """Intervals of two independent halves of the replicates against each other."""
     keys = ["year_month", "party", "dimension"]
-    made = cut(B.replicate_measures(I.long(spark, root), REPLICATES).select("replicate", *keys, "mean"))
+    made = cut(B.replicate_measures(I.long(spark, root), REPLICATES, spread=False).select("replicate", *keys, "mean"))
     half = REPLICATES // 2
     one, two = (M.percentile_interval(made.where(c), keys, "mean", half) for c in (F.col("replicate") <= half, F.col("replicate") > half))
     return B.stream_stability(one, two, keys).select(*keys, *r6("length_1", "length_2", "length_ratio"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from pathlib import Path
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from loomstat.functions import text as X
 from loomstat.operators import changepoint as P
 from loomstat.operators import contracts as C
 from loomstat.operators import dominance as D
+from loomstat.operators import hashes
 from loomstat.operators import measure as M
 from loomstat.operators import regress as G
 from loomstat.operators import resample as B
@@ -210,6 +213,36 @@ def test_replicate_sums_are_exact_in_any_order(spark):
     assert len(runs) == 10 and all(r == runs[0] for r in runs)
 
 
+def test_counts_of_keys_and_replicates_are_md5(spark):
+    keys = ["", "7", "1234567", "é" * 5, "x" * 47, "x" * 50, "x" * 51, "x" * 52, "y" * 90]
+    got = hashes.counts(pa.array(keys), 1001, B._POISSON)
+    for k, row in zip(keys, got):
+        for r in (1, 9, 10, 99, 100, 999, 1000, 1001):
+            u = int(hashlib.md5(f"{k}:{r}".encode()).hexdigest()[:8], 16) % 10_000
+            assert row[r - 1] == sum(u >= p for p in B._POISSON)
+
+
+def test_replicate_measures_equal_counts_one_by_one(spark):
+    """Whether brackets hold every drawn quartile or are too narrow at first; no row is made for each replicate."""
+    rng = np.random.default_rng(3)
+    n, reps = 6000, 15
+    values = {"q1": rng.lognormal(size=n), "q2": np.round(rng.normal(size=n), 1), "q3": np.where(np.arange(n) < 9, np.arange(n) / 7, np.nan)}
+    rows = [(i, None if d == "q2" else "2024-01", "democrat", d, float(x), 1.0 + i % 3) for d, v in values.items() for i, x in enumerate(v) if x == x]
+    df = spark.createDataFrame([*rows, (1, "2024-01", "democrat", "q1", None, 1.0)], "article long, year_month string, party string, dimension string, score double, weight double").repartition(3)
+    counts = hashes.counts(pa.array([str(i) for i in range(n)]), reps, B._POISSON)
+    for deviations in (B.DEVIATIONS, 0.0):
+        made = B.replicate_measures(df, reps, deviations=deviations)
+        got = {(r["dimension"], r["replicate"]): r for r in made.collect()}
+        assert made.count() == len(got) == 3 * reps
+        for (d, k), r in got.items():
+            v, c = values[d], counts[:, k - 1] * (values[d] == values[d])
+            drawn = np.repeat(v, c)
+            w = (1.0 + np.arange(n) % 3)[c > 0] * c[c > 0]
+            assert r["n_drawn"] == len(drawn) and abs(r["mean"] - (w * v[c > 0]).sum() / w.sum()) < 1e-5
+            assert np.isclose(r["raw_iqr"], np.subtract(*np.quantile(drawn, [0.75, 0.25])), rtol=1e-12) if len(drawn) >= 4 else r["raw_iqr"] is None
+    assert "Generate" not in B.replicate_measures(df, reps)._jdf.queryExecution().toString()
+
+
 def test_quartiles_of_large_groups_are_exact(spark):
     rng = np.random.default_rng(10)
     groups = {"a": rng.lognormal(size=50_000), "ties": np.round(rng.normal(size=40_000), 1), "one": np.full(30_000, 7.0), None: rng.normal(size=5), "single": np.array([3.0])}
