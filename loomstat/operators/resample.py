@@ -284,27 +284,71 @@ _OUT = "replicate bigint, year_month string, party string, dimension string, mea
 def cluster_bootstrap(long: DataFrame, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster", states: dict[str, dict] | None = None) -> DataFrame:
     """Mean and interquartile range of each month, party, dimension and replicate.
 
-    A group is one month and dimension; the counts of a month are drawn alike for each of its dimensions,
-    from ``states`` if they are given.
+    A group is one month; its articles' counts are drawn once, alike for each of its dimensions, from ``states``
+    if they are given.
     """
     rows = long.where("article is not null").select("year_month", "article", "party", "dimension", "score", "weight")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        month, dimension = pdf["year_month"].iloc[0], pdf["dimension"].iloc[0]
+        month = pdf["year_month"].iloc[0]
         articles, at = np.unique(pdf["article"].to_numpy(), return_inverse=True)
-        parts = [(party, _usable(part)) for party, part in pdf.assign(at=at).groupby("party")]
+        pdf = pdf.assign(at=at)
+        names = [(party, dimension) for dimension, part in pdf.groupby("dimension", dropna=False) for party in part["party"].dropna().unique()]
+        cells = [_Cell(_usable(part[part["party"] == party])) for _, part in pdf.groupby("dimension", dropna=False) for party in part["party"].dropna().unique()]
+        sums = np.empty((len(articles), 5 * len(cells)))
+        for i, cell in enumerate(cells):
+            sums[:, 5 * i : 5 * i + 5] = cell.columns(len(articles))
         out = []
         drawing = _drawn_from(states[month], len(articles), replicates) if states else draws(len(articles), replicates, seed, f"{namespace}_{month}")
         for start, counts in drawing:
-            for party, part in parts:
-                mean, iqr = _measured(part, counts)
+            made = counts.astype(float) @ sums
+            for i, ((party, dimension), cell) in enumerate(zip(names, cells)):
+                mean, iqr = cell.measured(counts, made[:, 5 * i : 5 * i + 5])
                 out.append(pd.DataFrame({"replicate": np.arange(start, start + len(counts)), "year_month": month, "party": party, "dimension": dimension, "mean": mean, "raw_iqr": iqr}))
-        return pd.concat(out)
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    made = by_group(rows, ["year_month", "dimension"], one, _OUT)
+    made = by_group(rows, ["year_month"], one, _OUT)
     return made.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("mean", "raw_iqr")})
 
 
+class _Cell:
+    """Scores of one party and dimension of a month, in order, with those rows whose places a drawn quartile hardly leaves."""
+
+    def __init__(self, part: pd.DataFrame, deviations: float = DEVIATIONS):
+        s, order = part["score"].to_numpy(float), np.argsort(part["score"].to_numpy(float), kind="stable")
+        self.s, self.w, self.at = s[order], part["weight"].to_numpy(float)[order], part["at"].to_numpy()[order]
+        n = len(s)
+        reach = deviations * np.sqrt(0.1875 * n) + 2
+        self.inside = [(max(0, int(n * p - reach)), min(n, int(n * p + reach) + 1)) for p in (0.25, 0.75)]
+
+    def columns(self, articles: int) -> np.ndarray:
+        """For each article of the month its weight, weighted score and rows, and its rows before either bracket."""
+        before = [np.arange(len(self.s)) < first for first, _ in self.inside]
+        out = np.zeros((articles, 5))
+        for i, v in enumerate((self.w, self.w * self.s, np.ones(len(self.s)), *before)):
+            out[:, i] = np.bincount(self.at, weights=v, minlength=articles)
+        return out
+
+    def measured(self, counts: np.ndarray, sums: np.ndarray, minimum: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted mean and linear interquartile range in each replicate; one whose quartile left its bracket is counted whole."""
+        if not len(self.s):
+            return np.full(len(counts), np.nan), np.full(len(counts), np.nan)
+        mean = np.divide(sums[:, 1], sums[:, 0], out=np.full(len(counts), np.nan), where=sums[:, 0] > 0)
+        n, ends, left = sums[:, 2].astype(np.int64), [], np.zeros(len(counts), bool)
+        for p, (first, last), before in zip((0.25, 0.75), self.inside, sums[:, 3:].T.astype(np.int64)):
+            cum = np.cumsum(counts[:, self.at[first:last]], axis=1, dtype=np.int64) + before[:, None]
+            h = (n - 1).clip(min=0) * p
+            low = np.floor(h)
+            high = np.minimum(low + 1, (n - 1).clip(min=0))
+            left |= (low < before) | (high >= cum[:, -1])
+            a, b = (self.s[first:last][np.count_nonzero(cum <= rank[:, None], axis=1).clip(max=last - first - 1)] for rank in (low, high))
+            ends.append(a + (h - low) * (b - a))
+        iqr = np.where(n >= minimum, ends[1] - ends[0], np.nan)
+        if (left := left & (n >= minimum)).any():
+            iqr[left] = _weighted_iqr(self.s, counts[left][:, self.at], minimum)
+        return mean, iqr
+
+
 def _measured(part: pd.DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted mean and interquartile range of one cell in each replicate."""
     s, w = part["score"].to_numpy(float), part["weight"].to_numpy(float)

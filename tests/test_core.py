@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import oracle
+import pandas as pd
 import pyarrow as pa
 import pytest
 from conftest import DATA
@@ -243,6 +244,29 @@ def test_replicate_measures_equal_counts_one_by_one(spark):
     assert "Generate" not in B.replicate_measures(df, reps)._jdf.queryExecution().toString()
 
 
+def test_cells_of_a_month_share_one_draw(spark):
+    """Counts are drawn once a month, and brackets, wide or too narrow, give what counting whole gives."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    rows = [(i, "2024-01", p, d, None if i % 7 == 3 else float(x), 1.0 + i % 3) for p in M.PARTIES for d in ("q1", "q2") for i, x in enumerate(np.round(rng.lognormal(size=n), 2))]
+    df = spark.createDataFrame(rows, "article long, year_month string, party string, dimension string, score double, weight double")
+    made = B.cluster_bootstrap(df, 12)
+    assert "dimension" not in made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas [")[1].split("]")[0]
+    got = {(r["party"], r["dimension"], r["replicate"]): r for r in made.collect()}
+    counts = np.concatenate([c for _, c in B.draws(n, 12, 42, "joint_article_cluster_2024-01")])
+    for (p, d, k), r in got.items():
+        part = [(x[4], x[5], x[0]) for x in rows if x[2:4] == (p, d) and x[4] is not None]
+        s, w, at = (np.array(v) for v in zip(*part))
+        c = counts[k, at]
+        assert np.isclose(r["mean"], (c * w * s).sum() / (c * w).sum(), rtol=1e-12)
+        assert np.isclose(r["raw_iqr"], np.subtract(*np.quantile(np.repeat(s, c), [0.75, 0.25])), rtol=1e-12)
+    assert len(got) == 48
+    part = pd.DataFrame({"score": s, "weight": w, "at": at})
+    narrow, wide = B._Cell(part, 0.0), B._Cell(part)
+    (a, b), (x, y) = (c.measured(counts, counts @ c.columns(n)) for c in (narrow, wide))
+    assert (a == x).all() and (b == y).all() and (b == B._weighted_iqr(s, counts[:, at])).all()
+
+
 def test_quartiles_of_large_groups_are_exact(spark):
     rng = np.random.default_rng(10)
     groups = {"a": rng.lognormal(size=50_000), "ties": np.round(rng.normal(size=40_000), 1), "one": np.full(30_000, 7.0), None: rng.normal(size=5), "single": np.array([3.0])}
