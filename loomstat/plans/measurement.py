@@ -84,11 +84,16 @@ def bootstrap_given_counts(spark: SparkSession, root: str) -> DataFrame:
     return B.replicate_measures(I.written_long(spark, root), REPLICATES).select("replicate", "year_month", "party", "dimension", *r6("mean"), *r10("raw_iqr"), F.col("n_drawn").cast("bigint").alias("n_drawn"))
 
 
-def percentile_intervals(spark: SparkSession, root: str) -> DataFrame:
-    made = B.replicate_measures(I.long(spark, root), REPLICATES)
+def mean_intervals(long: DataFrame) -> DataFrame:
+    """Intervals of the means of each month, party and dimension."""
+    made = B.replicate_measures(long, REPLICATES, spread=False)
     return M.percentile_interval(made, ["year_month", "party", "dimension"], "mean", REPLICATES).select("year_month", "party", "dimension", "n_valid", *r6("ci_lower", "ci_upper"))
 
 
+def percentile_intervals(spark: SparkSession, root: str) -> DataFrame:
+    return mean_intervals(I.long(spark, root))
+
+
 def stance_with_intervals(spark: SparkSession, root: str) -> DataFrame:
     """Point estimates with the interval of their replicates beside them."""
     return B.attach(I.stance(spark, root), percentile_intervals(spark, root), ["year_month", "party", "dimension"]).select("year_month", "party", "dimension", *r6("mean"), "n_articles", "n_valid", "ci_lower", "ci_upper")

@@ -244,6 +244,11 @@ def test_replicate_measures_equal_counts_one_by_one(spark):
     assert "Generate" not in B.replicate_measures(df, reps)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["percentile_intervals"])
+def test_intervals_make_no_row_for_each_article_and_replicate(spark, name):
+    assert "Generate" not in catalogue.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+
+
 def test_cells_of_a_month_share_one_draw(spark):
     """Counts are drawn once a month, and brackets, wide or too narrow, give what counting whole gives."""
     rng = np.random.default_rng(8)
