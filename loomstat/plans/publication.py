@@ -110,9 +110,8 @@ def table_dominance(spark: SparkSession, root: str) -> DataFrame:
 def trajectory(spark: SparkSession, root: str) -> DataFrame:
     """Both parties' monthly means of q1 with their intervals, ready to draw."""
     keys = ["year_month", "party", "dimension"]
-    long = I.long(spark, root).where("dimension = 'q1'")
-    intervals = M.percentile_interval(B.replicate_measures(long, P.REPLICATES), keys, "mean", P.REPLICATES)
-    return R.trajectory(I.stance(spark, root), intervals).select(*keys, *P.r6("mean", "ci_lower", "ci_upper"), "n_articles")
+    long = I.written_long(spark, root).where("dimension = 'q1'")
+    return R.trajectory(M.monthly_stance(long), P.mean_intervals(long)).select(*keys, *P.r6("mean", "ci_lower", "ci_upper"), "n_articles")
 
 
 def measurement_run(spark: SparkSession, root: str, folder: str, replicates: int = 5000, seed: int = 42, namespace: str = "joint_article_cluster") -> dict:
