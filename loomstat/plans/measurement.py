@@ -96,7 +96,8 @@ def percentile_intervals(spark: SparkSession, root: str) -> DataFrame:
 
 def stance_with_intervals(spark: SparkSession, root: str) -> DataFrame:
     """Point estimates with the interval of their replicates beside them."""
-    return B.attach(I.stance(spark, root), percentile_intervals(spark, root), ["year_month", "party", "dimension"]).select("year_month", "party", "dimension", *r6("mean"), "n_articles", "n_valid", "ci_lower", "ci_upper")
+    long = I.written_long(spark, root)
+    return B.attach(M.monthly_stance(long), mean_intervals(long), ["year_month", "party", "dimension"]).select("year_month", "party", "dimension", *r6("mean"), "n_articles", "n_valid", "ci_lower", "ci_upper")
 
 
 def index_intervals(spark: SparkSession, root: str) -> DataFrame:

@@ -244,7 +244,7 @@ def test_replicate_measures_equal_counts_one_by_one(spark):
     assert "Generate" not in B.replicate_measures(df, reps)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["percentile_intervals", "trajectory"])
+@pytest.mark.parametrize("name", ["percentile_intervals", "trajectory", "stance_with_intervals"])
 def test_intervals_make_no_row_for_each_article_and_replicate(spark, name):
     assert "Generate" not in catalogue.queries()[name](spark, DATA)._jdf.queryExecution().toString()
 
