@@ -194,13 +194,15 @@ def table_ar0(panel: DataFrame, outcomes: tuple[str, str] = ("rep", "dem")) -> D
     sums = [c("polarization", "polarization").alias("pp"), c("t", "t").alias("tt"), c("polarization", "t").alias("pt"), F.count(F.lit(1)).alias("n")]
     for o in outcomes:
         sums += [F.avg(o).alias(f"{o}_0"), c("polarization", o).alias(f"{o}_p"), c("t", o).alias(f"{o}_t"), c(o, o).alias(f"{o}_o")]
-    m = panel.agg(*sums).withColumn("det", F.expr("pp * tt - pt * pt"))
+    m = panel.agg(*sums).withColumn("det", F.expr("nullif(pp * tt - pt * pt, 0D)"))  # without a solution there are no coefficients
     rows = []
     for o in outcomes:
         p, t = f"({o}_p * tt - {o}_t * pt) / det", f"({o}_t * pp - {o}_p * pt) / det"
         s2 = f"({o}_o - ({p}) * {o}_p - ({t}) * {o}_t)"
         rows += [f"named_struct('outcome', '{o}', 'term', '{term}', 'estimate', {b}, 'standard_error', sqrt({s2} * {inverse} / n))" for term, b, inverse in (("intercept", f"{o}_0", "1.0D"), ("polarization", p, "tt / det"), ("time", t, "pp / det"))]
-    return m.select("n", F.inline(F.expr(f"array({', '.join(rows)})"))).select("outcome", "term", "estimate", "standard_error", (F.col("estimate") / F.col("standard_error")).alias("t"), (F.col("n") - 3).alias("df"))
+    b, se = F.col("estimate"), F.col("standard_error")
+    t = F.when(se == 0, b * F.lit(float("inf"))).otherwise(b / se)  # as floating point has it, where division would be an error
+    return m.select("n", F.inline(F.expr(f"array({', '.join(rows)})"))).select("outcome", "term", "estimate", "standard_error", t.alias("t"), (F.col("n") - 3).alias("df"))
 
 
 def decision(summary: DataFrame) -> DataFrame:

@@ -272,6 +272,16 @@ def test_cells_of_a_month_share_one_draw(spark):
     assert (a == x).all() and (b == y).all() and (b == B._weighted_iqr(s, counts[:, at])).all()
 
 
+def test_regression_table_of_a_constant_outcome(spark):
+    """An outcome without dispersion has errors of 0, and a constant gap no coefficient; neither is a failure."""
+    panel = spark.createDataFrame([(t, float(t * t % 7), 12.0, float(t % 3)) for t in range(12)], "t int, polarization double, rep double, dem double")
+    rows = {(r["outcome"], r["term"]): r for r in G.table_ar0(panel).collect()}
+    assert len(rows) == 6 and all(rows["rep", k]["standard_error"] == 0 for k in ("intercept", "polarization", "time"))
+    assert rows["rep", "intercept"]["t"] == math.inf and math.isnan(rows["rep", "time"]["t"]) and math.isfinite(rows["dem", "time"]["t"])
+    flat = G.table_ar0(panel.withColumn("polarization", F.lit(1.0))).collect()
+    assert len(flat) == 6 and all(r["estimate"] is None and r["t"] is None for r in flat if r["term"] != "intercept")
+
+
 def test_quartiles_of_large_groups_are_exact(spark):
     rng = np.random.default_rng(10)
     groups = {"a": rng.lognormal(size=50_000), "ties": np.round(rng.normal(size=40_000), 1), "one": np.full(30_000, 7.0), None: rng.normal(size=5), "single": np.array([3.0])}
